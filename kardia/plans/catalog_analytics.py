@@ -133,7 +133,7 @@ def date_prefix_filter(spark, sf):
 
 @register("rows_to_json", f"""WITH {R}, {VITALS}
 SELECT json_object('event_id', event_id, 'subject_id', subject_id, 'start_date', {ts_text("start_date")},
-                   'resting_hr_x100', CAST(round(resting_hr * 100) AS BIGINT)) AS json FROM V""")
+                   'resting_hr_x100', CAST(round(resting_hr * 100) AS BIGINT))::VARCHAR AS json FROM V""")
 def rows_to_json(spark, sf):
     v = vitals(spark, sf).select(
         "event_id", "subject_id", F.date_format("start_date", "yyyy-MM-dd HH:mm:ss").alias("start_date"),

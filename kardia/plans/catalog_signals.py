@@ -132,7 +132,7 @@ def _zone_sql(by_user: bool) -> str:
     on = "H.subject_id = W.subject_id AND " if by_user else ""
     zones = ", ".join(f"count(H.t) FILTER (WHERE H.zone = '{z}') AS {z}" for z in S.ZONE_NAMES)
     return f"""WITH {R}, {VITALS}, {WORKOUTS}, {_HR}
-SELECT W.session_id, count(H.t) AS sample_count, 190.0 AS max_hr_used, {zones}
+SELECT W.session_id, count(H.t) AS sample_count, CAST(190.0 AS DOUBLE) AS max_hr_used, {zones}
 FROM W LEFT JOIN H ON {on}H.t BETWEEN W.start_date AND W.end_date GROUP BY 1"""
 
 
