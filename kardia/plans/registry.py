@@ -32,4 +32,5 @@ def register(key: str, oracle: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from kardia.plans import (catalog_analytics, catalog_ecg, catalog_ingest, catalog_signals,  # noqa: F401
+                              catalog_xml,
                               catalog_streaming)
