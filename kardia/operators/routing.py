@@ -18,16 +18,22 @@ from kardia.manifest import BASE_TIME_COLUMNS, SUBJECT, Manifest, Table, spark_t
 SLEEP_ANALYSIS = "HKCategoryTypeIdentifierSleepAnalysis"
 
 
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def metric_lookup(manifest: Manifest) -> Column:
-    """map<hk_identifier, struct(table_name, column_name, data_type)> literal."""
+    """map<hk_identifier, struct(table_name, column_name, data_type)> literal.
+
+    Built as one SQL expression (one JVM call) rather than hundreds of
+    ``lit`` calls; Catalyst folds it to a constant map."""
     entries = []
     for hk, table, column, dtype in manifest.metric_map():
-        entries += [F.lit(hk), F.struct(F.lit(table).alias("table_name"),
-                                        F.lit(column).alias("column_name"),
-                                        F.lit(dtype).alias("data_type"))]
+        entries.append(f"{_sql_str(hk)}, named_struct('table_name', {_sql_str(table)}, "
+                       f"'column_name', {_sql_str(column)}, 'data_type', {_sql_str(dtype)})")
     if not entries:
         raise ValueError("manifest routes no record type")
-    return F.create_map(*entries)
+    return F.expr(f"map({', '.join(entries)})")
 
 
 def route_records(records: DataFrame, manifest: Manifest, type_col: str = "type") -> DataFrame:
@@ -35,18 +41,21 @@ def route_records(records: DataFrame, manifest: Manifest, type_col: str = "type"
 
     Unmapped types are dropped (and not counted)."""
     m = metric_lookup(manifest)
-    routed = records.withColumn("_route", F.try_element_at(m, F.col(type_col)))
-    return (routed.filter(F.col("_route").isNotNull())
-            .select("*", "_route.*").drop("_route"))
+    route = F.try_element_at(m, F.col(type_col))
+    return (records.select("*", route.alias("_route")).filter(F.col("_route").isNotNull())
+            .select(*[F.col(c) for c in records.columns],
+                    F.col("_route.table_name").alias("table_name"),
+                    F.col("_route.column_name").alias("column_name"),
+                    F.col("_route.data_type").alias("data_type")))
 
 
 def with_normalised_dates(records: DataFrame) -> DataFrame:
     """B8 + typed dates: ``*_text`` (normalised, raw passthrough) and TIMESTAMPs."""
-    out = records
+    cols = []
     for base in BASE_TIME_COLUMNS:
         raw = F.col(f"{base}_raw")
-        out = out.withColumn(f"{base}_text", normalize_date(raw)).withColumn(base, parse_export_date(raw))
-    return out
+        cols += [normalize_date(raw).alias(f"{base}_text"), parse_export_date(raw).alias(base)]
+    return records.select("*", *cols)
 
 
 def with_content_id(records: DataFrame, id_col: str = "uuid") -> DataFrame:

@@ -42,7 +42,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _lit_map(d: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    """Literal map as one SQL expression (one JVM call)."""
+    return F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in d.items()) + ")")
 
 
 def event_base(spark: SparkSession, sf_dir: str) -> DataFrame:
