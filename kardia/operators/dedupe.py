@@ -16,17 +16,18 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def dedupe_first_wins(df: DataFrame, key_cols: list[str], order_cols: list[str] | None = None,
-                      null_keys_bypass: bool = True) -> DataFrame:
+                      null_keys_bypass: bool = True, bypass_cols: list[str] | None = None) -> DataFrame:
     """One row per key: the lowest (order_cols, remaining columns).
 
-    Rows with a NULL key never clash (SQLite text-key semantics, D11) and are
-    passed through unchanged when ``null_keys_bypass``.
+    Rows with a NULL in a ``bypass_cols`` key (default: any key column) never
+    clash (SQLite text-key semantics, D11) and are passed through unchanged
+    when ``null_keys_bypass``; NULLs in other key columns group together.
     """
     order_cols = list(order_cols or [])
     rest = [c for c in df.columns if c not in key_cols and c not in order_cols]
     payload = order_cols + rest
     any_null = F.lit(False)
-    for k in key_cols:
+    for k in (bypass_cols if bypass_cols is not None else key_cols):
         any_null = any_null | F.col(k).isNull()
     keyed = df.filter(~any_null) if null_keys_bypass else df
     winners = (keyed.groupBy(*key_cols)
@@ -38,14 +39,26 @@ def dedupe_first_wins(df: DataFrame, key_cols: list[str], order_cols: list[str]
     return winners
 
 
-def new_rows_only(batch: DataFrame, target: DataFrame | None, key_cols: list[str]) -> DataFrame:
-    """Rows of ``batch`` whose key is absent from ``target`` (left anti join)."""
+def new_rows_only(batch: DataFrame, target: DataFrame | None, key_cols: list[str],
+                  null_safe_cols: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``batch`` whose key is absent from ``target`` (left anti
+    join); ``null_safe_cols`` compare NULL equal to NULL."""
     if target is None:
         return batch
-    return batch.join(target.select(*key_cols), on=key_cols, how="left_anti")
+    if not null_safe_cols:
+        return batch.join(target.select(*key_cols), on=key_cols, how="left_anti")
+    t = target.select(*[F.col(k).alias(f"_t_{k}") for k in key_cols])
+    cond = None
+    for k in key_cols:
+        c = F.col(k).eqNullSafe(F.col(f"_t_{k}")) if k in null_safe_cols else (F.col(k) == F.col(f"_t_{k}"))
+        cond = c if cond is None else cond & c
+    return batch.join(t, cond, "left_anti")
 
 
 def idempotent_rows(batch: DataFrame, target: DataFrame | None, key_cols: list[str],
-                    order_cols: list[str] | None = None) -> DataFrame:
-    """In-batch first-wins, then drop keys already stored — what to append."""
-    return new_rows_only(dedupe_first_wins(batch, key_cols, order_cols), target, key_cols)
+                    order_cols: list[str] | None = None, null_safe_cols: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """In-batch first-wins, then drop keys already stored — what to append.
+    NULLs in ``null_safe_cols`` are ordinary values; other NULL keys bypass."""
+    bypass = [k for k in key_cols if k not in null_safe_cols]
+    return new_rows_only(dedupe_first_wins(batch, key_cols, order_cols, bypass_cols=bypass),
+                         target, key_cols, null_safe_cols)

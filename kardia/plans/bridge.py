@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kardia.manifest import SUBJECT, Manifest, default_manifest
 from kardia.operators.routing import route_records, wide_projection, with_content_id, with_normalised_dates
+from kardia.session import spread
 
 # FIXED VALUES (bridge): event type -> HealthKit record type.
 EVENT_TYPE_MAP = {
@@ -38,7 +39,8 @@ EXPORT_OFFSET_HOURS = -5
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table, spread over the cores if the file has too few splits."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _lit_map(d: dict) -> Column:
@@ -69,11 +71,11 @@ def event_end(ts: Column, value: Column) -> Column:
     return F.timestamp_add("MINUTE", F.floor(value).cast("int"), ts)
 
 
-def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_records(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """events as parsed ``<Record>`` attribute rows (the scan's output shape)."""
     e = event_base(spark, sf_dir)
     return e.select(
-        "event_id",
+        "event_id", *keep,
         F.col("user_id").cast("string").alias(SUBJECT),
         F.try_element_at(_lit_map(EVENT_TYPE_MAP), F.col("event_type")).alias("type"),
         F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("source_name"),
@@ -153,7 +155,7 @@ def _attr(name: str, value: Column, escape: bool = False) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit(f' {name}="'), value, F.lit('"'))).otherwise(F.lit(""))
 
 
-def record_chunks(records: DataFrame) -> DataFrame:
+def record_chunks(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Render parsed-record rows as the text chunks the ``<Record `` split yields
     (self-closing tags; every third record carries a MetadataEntry child and
     spans lines)."""
@@ -165,4 +167,4 @@ def record_chunks(records: DataFrame) -> DataFrame:
                   F.lit('>\n  <MetadataEntry key="HKMetadataKeyHeartRateMotionContext" value="0"/>\n </Record>\n '))\
             .otherwise(F.lit("/>\n "))
     body = F.concat(F.substring(attrs, 2, 1 << 30), tail)
-    return records.select("event_id", SUBJECT, body.alias("chunk"))
+    return records.select("event_id", SUBJECT, *keep, body.alias("chunk"))

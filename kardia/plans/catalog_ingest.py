@@ -36,9 +36,8 @@ SELECT event_id, CASE WHEN event_type = 'error' THEN 'bad' ELSE 'good' END AS pa
 def quarantine_split(spark, sf):
     """Error events are rendered with a broken start tag (no closing '>');
     they land in quarantine, the rest parse."""
-    recs = bridge.event_records(spark, sf)
-    chunks = bridge.record_chunks(recs).join(
-        bridge.event_base(spark, sf).select("event_id", "event_type"), "event_id")
+    recs = bridge.event_records(spark, sf, keep=("event_type",))
+    chunks = bridge.record_chunks(recs, keep=("event_type",))
     broken = F.when(F.col("event_type") == "error", F.regexp_replace(F.col("chunk"), ">", "")) \
               .otherwise(F.col("chunk"))
     # keep event_id through the parse as a passthrough column

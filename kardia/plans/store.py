@@ -84,7 +84,8 @@ class TableStore:
         Returns the appended rows' plan (already executed by the write)."""
         keys = self.key_cols(table)
         existing = self.read_raw(table)
-        rows = idempotent_rows(batch, existing.select(*keys) if existing is not None else None, keys, order_cols)
+        rows = idempotent_rows(batch, existing.select(*keys) if existing is not None else None, keys, order_cols,
+                               null_safe_cols=[SUBJECT])
         self._write(table, rows)
         return rows
 
@@ -92,7 +93,7 @@ class TableStore:
         """Rows of files not stored yet (A7), each file as a unit."""
         existing = self.read_raw(table)
         done = existing.select(SUBJECT, "file_name").distinct() if existing is not None else None
-        self._write(table, new_rows_only(batch, done, [SUBJECT, "file_name"]))
+        self._write(table, new_rows_only(batch, done, [SUBJECT, "file_name"], null_safe_cols=[SUBJECT]))
 
     def counts(self) -> DataFrame:
         """F7 over every manifest and external table (a missing table counts 0)."""

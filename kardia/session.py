@@ -65,3 +65,18 @@ def scratch_dir(spark: SparkSession, purpose: str = "run") -> str:
         base = tempfile.mkdtemp(prefix="kardia-ckpt-")
         sc.setCheckpointDir(base)
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex[:12]}")
+
+
+def spread(df, min_partitions: int | None = None):
+    """Spread a scan over the cluster's cores when it has fewer splits.
+
+    A small file with one Parquet row group is read by a single task; the
+    per-row work after it (XML parsing, signal folds) then runs on one core.
+    Below ``min_partitions`` (default: the default parallelism) the rows are
+    round-robin repartitioned; at scale a scan already has many splits and
+    this is a no-op, so no shuffle is added. Filters and column pruning still
+    pass through to the scan.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    return df.repartition(target) if n < target else df

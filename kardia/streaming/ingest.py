@@ -43,9 +43,7 @@ def ingest_batch(spark: SparkSession, chunks: DataFrame, batch_id: int, store: T
                  manifest: Manifest, staging_root: str) -> IngestReport:
     """One micro-batch through the batch plan; idempotent under replay."""
     report = IngestReport()
-    routed, bad = prepare_records(chunks, manifest)
-    write_tables(spark, routed, store, manifest, report, staging=f"{staging_root}/{batch_id}")
-    bad.write.mode("append").parquet(f"{store.root}/_quarantine")
+    write_tables(spark, chunks, store, manifest, report, staging=f"{staging_root}/{batch_id}")
     return report
 
 
