@@ -58,9 +58,12 @@ class TableStore:
 
     # ---- read --------------------------------------------------------------
     def read_raw(self, table: str) -> DataFrame | None:
+        """Stored files read under the current manifest schema: a column added
+        since a file was written reads as NULL there (B13), without the extra
+        job a ``mergeSchema`` footer merge would launch."""
         if not self.exists(table):
             return None
-        return self.spark.read.option("mergeSchema", "true").parquet(self.path(table))
+        return self.spark.read.schema(self.schema(table)).parquet(self.path(table))
 
     def read(self, table: str) -> DataFrame:
         """Stored rows under the current manifest schema (empty if none)."""

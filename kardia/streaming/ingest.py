@@ -32,7 +32,8 @@ from kardia.sources.records import RECORD_SEPARATOR
 
 def record_stream(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming chunks (``<Record `` split) of every export file in ``folder``."""
-    r = spark.readStream.format("text").option("lineSep", RECORD_SEPARATOR)
+    # recursive lookup: files in any sub-folder, no partition-column inference
+    r = spark.readStream.format("text").option("lineSep", RECORD_SEPARATOR).option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     df = r.load(folder)
@@ -41,8 +42,15 @@ def record_stream(spark: SparkSession, folder: str, max_files_per_trigger: int |
 
 def ingest_batch(spark: SparkSession, chunks: DataFrame, batch_id: int, store: TableStore,
                  manifest: Manifest, staging_root: str) -> IngestReport:
-    """One micro-batch through the batch plan; idempotent under replay."""
+    """One micro-batch through the batch plan; idempotent under replay.
+
+    The streaming file source makes one partition per file and micro-batches
+    run without AQE, so a batch of many small files is coalesced (no shuffle)
+    to the default parallelism before it is parsed and staged."""
     report = IngestReport()
+    target = spark.sparkContext.defaultParallelism
+    if chunks.rdd.getNumPartitions() > target:
+        chunks = chunks.coalesce(target)
     write_tables(spark, chunks, store, manifest, report, staging=f"{staging_root}/{batch_id}")
     return report
 

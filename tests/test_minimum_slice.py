@@ -61,3 +61,15 @@ def test_reingest_is_noop(spark, tmp):
     assert again.total_mapped == 3          # K8: counted before dedupe
     assert again.inserted["records"] == 0
     assert store.read("records").count() == 3
+
+
+def test_schema_evolution_reads_old_files(spark, tmp):
+    """A column added to the manifest reads as NULL for rows stored before."""
+    old = load_manifest(MANIFEST)
+    path = write_export(os.path.join(tmp, "carl"))
+    root = os.path.join(tmp, "store")
+    ingest_export(spark, path, TableStore(spark, root, old), old)
+    head, _, tail = MANIFEST.rpartition("]")
+    new = load_manifest(head + '  { name = "spo2", hk_type = "HKQuantityTypeIdentifierOxygenSaturation", data_type = "REAL" },\n]' + tail)
+    rows = TableStore(spark, root, new).read("records").collect()
+    assert len(rows) == 3 and all(r["spo2"] is None for r in rows)
