@@ -103,3 +103,12 @@ class TableStore:
         from kardia.operators.query import table_counts
         names = list(self.manifest.tables) + self.manifest.external_tables()
         return table_counts({n: self.read(n) for n in names})
+
+
+def count_files(spark: SparkSession, pattern: str) -> int:
+    """Number of files matching a glob (a driver-side listing, no job)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(p)
+    return 0 if found is None else len(found)
