@@ -34,13 +34,13 @@ def route_totals(points: DataFrame, file_col: str = "file_name", time_col: str =
     """per route file — point count, distance (km), elevation gain (m),
     first and last point time."""
     seg = route_segments(points, file_col, time_col, tie_cols, bin_unit)
-    order = F.struct(F.col(time_col), *[F.col(c) for c in tie_cols])
+    # plain min/max of the time keep this a (map-side combined) hash aggregate
     return seg.groupBy(file_col).agg(
         F.count(F.lit(1)).alias("point_count"),
         (F.sum("segment_m") / 1000.0).alias("distance_km"),
         F.sum("gain_m").alias("elevation_gain_m"),
-        F.min(order)[time_col].alias("first_time"),
-        F.max(order)[time_col].alias("last_time"))
+        F.min(time_col).alias("first_time"),
+        F.max(time_col).alias("last_time"))
 
 
 def workout_routes(workouts: DataFrame, totals: DataFrame, route_col: str = "route_file",
