@@ -240,16 +240,12 @@ B AS (SELECT *, CASE WHEN rc > rb AND rb > 0 THEN (CASE WHEN hb > 0 THEN hc / hb
 C AS (SELECT *, CAST(round(greatest(least(raw, 100.0), 0.0)) AS INTEGER) AS score FROM B)
 SELECT subject_id, strftime(day, '%Y-%m-%d') AS as_of, score AS recovery_score,
   CASE WHEN score > 80 THEN 'Optimal' WHEN score > 50 THEN 'Good' WHEN score > 30 THEN 'Strained' ELSE 'Recovery Needed' END AS status,
-  round(hb + 1e-9, 4) AS hrv_baseline, round(hc + 1e-9, 4) AS hrv_current,
-  round(rb + 1e-9, 4) AS rhr_baseline, round(rc + 1e-9, 4) AS rhr_current
+  round(hb, 4) AS hrv_baseline, round(hc, 4) AS hrv_current,
+  round(rb, 4) AS rhr_baseline, round(rc, 4) AS rhr_current
 FROM C""")
 def recovery_daily(spark, sf):
-    """Means of 2-decimal values can sit exactly on a 4-place rounding tie;
-    both sides add 1e-9 first so summation-order noise cannot flip them."""
     v = bridge.metric_table(spark, sf, "vitals")
-    out = sessions.recovery_daily(v, subject_cols=["subject_id"])
-    return out.select(*[F.round(F.col(c) + 1e-9, 4).alias(c) if c.startswith(("hrv_", "rhr_")) else F.col(c)
-                        for c in out.columns])
+    return r4(sessions.recovery_daily(v, subject_cols=["subject_id"]))
 
 
 @register("recovery_status", f"""WITH {R}
