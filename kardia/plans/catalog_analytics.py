@@ -22,7 +22,8 @@ def r4(df: DataFrame) -> DataFrame:
     """Round double columns to 4 places (sums are order dependent); tie-safe
     like the oracle side (see ``registry.TIE_EPS``)."""
     from kardia.plans.registry import TIE_EPS
-    return df.select(*[F.round(F.col(f.name) + TIE_EPS, 4).alias(f.name) if f.dataType.typeName() == "double"
+    return df.select(*[(F.round(F.col(f.name) + TIE_EPS, 4) + F.lit(0.0)).alias(f.name)
+                       if f.dataType.typeName() == "double"
                        else F.col(f.name) for f in df.schema.fields])
 
 

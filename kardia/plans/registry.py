@@ -27,7 +27,7 @@ TIE_EPS = 1e-9
 
 
 def tie_safe_rounding(sql: str) -> str:
-    """Rewrite every ``round(<expr>, 4)`` as ``round((<expr>) + 1e-9, 4)``."""
+    """Rewrite every ``round(<expr>, 4)`` as ``(round((<expr>) + 1e-9, 4) + 0.0)``."""
     out, i, low = [], 0, sql.lower()
     while True:
         j = low.find("round(", i)
@@ -56,7 +56,8 @@ def tie_safe_rounding(sql: str) -> str:
         args.append(sql[start:k - 1])
         inner = tie_safe_rounding(args[0])
         if len(args) == 2 and args[1].strip() == "4":
-            out.append(sql[i:j] + f"round(({inner}) + {TIE_EPS}, 4)")
+            # "+ 0.0" turns a rounded -0.0 into 0.0 (Spark's decimal rounding has no -0)
+            out.append(sql[i:j] + f"(round(({inner}) + {TIE_EPS}, 4) + 0.0)")
         else:
             out.append(sql[i:j] + "round(" + ",".join([inner] + args[1:]) + ")")
         i = k
