@@ -60,12 +60,11 @@ def workout_routes(workouts: DataFrame, totals: DataFrame, route_col: str = "rou
         "first_time", "last_time")
 
 
-def route_point_lists(points: DataFrame, file_col: str = "file_name", time_col: str = "timestamp",
-                      tie_cols: list[str] | tuple[str, ...] = ("point_seq",)) -> DataFrame:
-    """Q8: each file's points as one time-ordered array (for a details view of
-    a single workout; a route is one recording, so the list is bounded by the
-    device's recording length)."""
-    fields = [time_col, *tie_cols, "latitude", "longitude", "elevation",
-              *(["speed_ms"] if "speed_ms" in points.columns else [])]
-    return points.groupBy(file_col).agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("route_points"))
+def route_points_of(points: DataFrame, file_name: str, file_col: str = "file_name",
+                    time_col: str = "timestamp",
+                    tie_cols: list[str] | tuple[str, ...] = ("point_seq",)) -> DataFrame:
+    """Q7 + Q8: the points of one route file in time order (the details view
+    of a single workout) — a pushed-down filter plus a sort, never a collected
+    array."""
+    return (points.filter(F.col(file_col) == F.lit(file_name))
+            .orderBy(F.asc_nulls_first(time_col), *[F.asc(c) for c in tie_cols]))

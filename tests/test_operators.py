@@ -151,3 +151,26 @@ def test_recovery_edges(spark):
     assert daily[("u", "2024-01-29")] == 98
     # as_of 01-23: base since 01-16 = all but the 01-10 row; current since 01-22 = same rows
     assert daily[("u", "2024-01-23")] == 100
+
+
+def test_route_points_of_orders_one_file(spark):
+    rows = [("a", 2, ts(5), 1.0, 1.0, 1.0), ("a", 1, ts(5), 1.0, 1.0, 1.0), ("a", 3, ts(1), 1.0, 1.0, 1.0),
+            ("b", 1, ts(0), 1.0, 1.0, 1.0)]
+    pts = spark.createDataFrame(rows, "file_name string, point_seq long, timestamp timestamp, "
+                                      "latitude double, longitude double, elevation double")
+    assert [r["point_seq"] for r in routes.route_points_of(pts, "a").collect()] == [3, 1, 2]
+
+
+def test_csv_export(spark, tmp):
+    """Header, NULL as empty; the text form matches csv_lines."""
+    import glob
+    import os
+    from kardia.operators.query import csv_header, csv_lines, export_csv
+    df = spark.createDataFrame([(1, "x,y", None, 60.0), (2, None, 3, 0.5)], "id int, s string, n int, d double")
+    out = os.path.join(tmp, "csv")
+    export_csv(df.coalesce(1), out)
+    text = open(glob.glob(os.path.join(out, "part-*.csv"))[0]).read().splitlines()
+    assert text[0] == csv_header(df) == "id,s,n,d"
+    assert text[1] == '1,"x,y",,60.0' and text[2] == "2,,3,0.5"
+    lines = sorted(r["line"] for r in csv_lines(df).collect())
+    assert lines == ['1,"x,y",,60', "2,,3,0.5"]          # shortest float text (60.0 -> 60)
