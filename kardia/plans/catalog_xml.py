@@ -93,10 +93,14 @@ SELECT strftime(st, '%Y-%m-%d %H:%M:%S') || ' +0000' AS session_id, 'HKWorkoutAc
   o_orderpriority AS avg_mets, o_orderstatus || '%' AS humidity, strftime(st, '%Y-%m-%d %H:%M:%S') AS start_date
 FROM O LEFT JOIN S ON S.l_orderkey = O.o_orderkey""")
 def workout_scan(spark, sf):
-    t = default_manifest().table("workouts")
+    """A2 through the splittable path: each workout sits in a text chunk the
+    ``<Record `` split yields (after a record's attributes), is cut out of it
+    and parsed."""
+    m = default_manifest()
     x = workout_xml(spark, sf)
-    parsed = el.parse_elements(x, F.col("xml"), el.workout_schema(t))
-    rows = el.extract_workouts(parsed, t)
+    chunks = x.select(F.concat(F.lit('type="HKQuantityTypeIdentifierHeartRate" value="1"/>\n '),
+                               F.col("xml"), F.lit("\n ")).alias("chunk"))
+    rows = el.workouts_from_chunks(chunks, m, keep=())
     return ts_str(rows.select("session_id", "activity_type", "duration_minutes", "source_name", "route_file",
                               "active_calories", "basal_calories", "distance_cycling", "distance_walking",
                               "avg_mets", "humidity", "start_date"))
@@ -186,8 +190,9 @@ def summary_scan(spark, sf):
                    F.lit(' activeEnergyBurned="'), _dec(F.col("o_totalprice") / 100, 4),
                    F.lit('" activeEnergyBurnedGoal="500" appleExerciseTime="'), (F.col("o_custkey") % 90).cast("string"),
                    F.lit('"/>'))
-    parsed = el.parse_elements(o, xml, el.summary_schema(t))
-    rows = el.extract_summaries(parsed, t)
+    chunks = o.select(F.concat(F.lit('type="HKQuantityTypeIdentifierStepCount" value="1"/>\n '), xml,
+                               F.lit("\n</HealthData>\n")).alias("chunk"))
+    rows = el.summaries_from_chunks(chunks, default_manifest(), keep=())
     return ts_str(rows.select("date", "active_energy", "active_energy_goal", "exercise_time", "stand_hours", "start_date"))
 
 

@@ -157,7 +157,51 @@ def extract_route_points(parsed: DataFrame, src: RouteSource, struct_col: str |
     return parsed.select(*cols)
 
 
-# ---- file scans ---------------------------------------------------------------
+# ---- elements cut from the splittable text scan -------------------------------
+
+_START_TAG = r"""^([^"'>]*+(?:(?:"[^"]*+"|'[^']*+')[^"'>]*+)*+)>"""
+
+
+def element_texts(chunks: DataFrame, tag: str, chunk_col: str = "chunk",
+                  keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Every ``<tag …>…</tag>`` / ``<tag …/>`` element found in text chunks.
+
+    The chunks come from the ``<Record `` text split, which Hadoop splits at
+    any offset — unlike the XML source, which reads a whole file in one task.
+    Only chunks containing the tag are exploded (one row per element; a
+    workout's text is bounded by its children). An element cut off by the end
+    of the file yields no row."""
+    c = F.col(chunk_col)
+    pieces = F.split(c, rf"<{tag}(?=[\s/>])")
+    x = chunks.filter(c.contains(f"<{tag}")).select(
+        *keep, F.posexplode(pieces).alias("_pos", "_piece")).filter(F.col("_pos") > 0)
+    p = F.col("_piece")
+    head = F.regexp_extract(p, _START_TAG, 1)
+    closed = F.regexp_extract(p, rf"(?s)^(.*?</{tag}\s*>)", 1)
+    xml = (F.when(head.rlike(r"/\s*$"), F.concat(F.lit(f"<{tag}"), head, F.lit(">")))
+           .when(closed != "", F.concat(F.lit(f"<{tag}"), closed)))
+    return x.select(*keep, xml.alias("xml")).filter(F.col("xml").isNotNull())
+
+
+def workouts_from_chunks(chunks: DataFrame, manifest: Manifest, chunk_col: str = "chunk",
+                         keep: list[str] | tuple[str, ...] = (SUBJECT,)) -> DataFrame | None:
+    t = manifest.tables.get("workouts")
+    if t is None:   # D17
+        return None
+    texts = element_texts(chunks, WORKOUT_TAG, chunk_col, keep)
+    return extract_workouts(parse_elements(texts, F.col("xml"), workout_schema(t), keep), t, keep=keep)
+
+
+def summaries_from_chunks(chunks: DataFrame, manifest: Manifest, chunk_col: str = "chunk",
+                          keep: list[str] | tuple[str, ...] = (SUBJECT,)) -> DataFrame | None:
+    t = manifest.tables.get("activity_summaries")
+    if t is None:
+        return None
+    texts = element_texts(chunks, SUMMARY_TAG, chunk_col, keep)
+    return extract_summaries(parse_elements(texts, F.col("xml"), summary_schema(t), keep), t, keep=keep)
+
+
+# ---- file scans (XML source: one task per file; for small files) ------------
 
 def _read(spark: SparkSession, paths, row_tag: str, schema: str, glob: str | None = None) -> DataFrame:
     r = spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE").schema(schema)
