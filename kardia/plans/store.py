@@ -82,11 +82,26 @@ class TableStore:
             out = out.sortWithinPartitions("start_date")
         out.write.mode("append").parquet(self.path(table))
 
-    def append_new(self, table: str, batch: DataFrame, order_cols: list[str] | None = None) -> DataFrame:
+    def append_new(self, table: str, batch: DataFrame, order_cols: list[str] | None = None,
+                   time_bounds: tuple | None = None) -> DataFrame:
         """In-batch first-wins + anti-join on stored keys, then append.
+
+        ``time_bounds`` = the batch's (min, max) ``start_date``. A stored row
+        can only share a key with a batch row if it has the same start
+        (content ids hash the start; workout / summary keys are their start),
+        so only stored rows in that range — or without a start — are read for
+        the anti-join; files are sorted by ``start_date``, so the range prunes
+        row groups instead of shuffling every stored key.
         Returns the appended rows' plan (already executed by the write)."""
         keys = self.key_cols(table)
         existing = self.read_raw(table)
+        if existing is not None and time_bounds is not None and None not in time_bounds:
+            lo, hi = time_bounds
+            t = F.col("start_date")
+            # a day of slack: the bounds come back to Python as local wall time
+            lo_c = F.timestamp_add("DAY", F.lit(-1), F.lit(lo).cast("timestamp"))
+            hi_c = F.timestamp_add("DAY", F.lit(1), F.lit(hi).cast("timestamp"))
+            existing = existing.filter(t.isNull() | ((t >= lo_c) & (t <= hi_c)))
         rows = idempotent_rows(batch, existing.select(*keys) if existing is not None else None, keys, order_cols,
                                null_safe_cols=[SUBJECT])
         self._write(table, rows)
