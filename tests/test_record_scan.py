@@ -130,3 +130,37 @@ def test_broken_xml_keeps_good_records(spark, tmp):
     assert rep.quarantined == 1
     assert rep.mapped["vitals"] == 4
     assert spark.read.parquet(os.path.join(tmp, "store", "_quarantine")).count() == 1
+
+
+def test_large_load_is_split(spark, tmp):
+    """FIXTURES §3 large load: 100,000 records (even: heart rate, odd: steps)
+    in one export; with a small split size the scan runs in several tasks
+    and every record is ingested."""
+    import math
+    m = default_manifest()
+    folder = os.path.join(tmp, "big")
+    os.makedirs(folder)
+    path = os.path.join(folder, "export.xml")
+    with open(path, "w") as fh:
+        fh.write('<?xml version="1.0"?>\n<HealthData>\n')
+        for i in range(100_000):
+            mm, ss = divmod(i, 60)
+            hh, mm = divmod(mm, 60)
+            dd, hh = divmod(hh, 24)
+            t = f"2024-01-{1 + dd:02d} {hh:02d}:{mm:02d}:{ss:02d} +0000"
+            if i % 2 == 0:
+                typ, val = "HKQuantityTypeIdentifierHeartRate", f"{60 + math.sin(i * 0.1) * 20 + 20:.4f}"
+            else:
+                typ, val = "HKQuantityTypeIdentifierStepCount", "15"
+            fh.write(f' <Record type="{typ}" sourceName="Gen" startDate="{t}" endDate="{t}" value="{val}"/>\n')
+        fh.write("</HealthData>\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
+    try:
+        assert rec.read_record_chunks(spark, path).rdd.getNumPartitions() > 4
+        store = TableStore(spark, os.path.join(tmp, "store"), m)
+        rep = ingest_export(spark, path, store, m)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert rep.mapped["vitals"] == 50_000 and rep.mapped["activity"] == 50_000
+    assert rep.inserted["vitals"] == 50_000 and rep.inserted["activity"] == 50_000
