@@ -9,7 +9,7 @@ from kardia.operators import aggregate as agg
 from kardia.operators import query as qry
 from kardia.plans import bridge
 from kardia.plans.registry import register
-from kardia.plans.sql import R, VITALS, iso, ts_text
+from kardia.plans.sql import R, VITALS, ts_text
 
 # Demo aggregate settings for vitals (the shipped manifest declares none).
 VITALS_AGGS = {"heart_rate": "avg", "resting_hr": "min", "hrv_sdnn": "max", "hr_recovery": "count"}

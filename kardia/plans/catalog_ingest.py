@@ -6,10 +6,10 @@ from pyspark.sql import SparkSession, functions as F
 
 from kardia.functions.dates import normalize_date
 from kardia.functions.scalars import typed_cast
-from kardia.manifest import default_manifest, load_manifest, table_schema
+from kardia.manifest import default_manifest, load_manifest
 from kardia.operators import dedupe, routing
 from kardia.plans import bridge
-from kardia.plans.catalog_analytics import r4, ts_str
+from kardia.plans.catalog_analytics import r4
 from kardia.plans.registry import register
 from kardia.plans.sql import COLUMN_OF, HK_TYPE, R, TABLE_OF, VALUE_TEXT, iso
 from kardia.sources import records as rec

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kardia.functions import scalars as S
-from kardia.operators import intervals, query as qry, routes, sessions
+from kardia.operators import intervals, routes, sessions
 from kardia.plans import bridge
 from kardia.plans.catalog_analytics import r4, ts_str
 from kardia.plans.registry import register

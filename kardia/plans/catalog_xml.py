@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from kardia.functions.scalars import base_name
 from kardia.manifest import default_manifest
 from kardia.plans import bridge
-from kardia.plans.catalog_analytics import r4, ts_str
+from kardia.plans.catalog_analytics import ts_str
 from kardia.plans.registry import register
 from kardia.sources import elements as el
 

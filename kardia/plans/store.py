@@ -10,7 +10,7 @@ are NULL (B13) and generated ``expression`` columns are computed (B11).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from kardia.manifest import SUBJECT, Manifest, ecg_schema, route_schema, table_schema
 from kardia.operators.dedupe import idempotent_rows, new_rows_only
@@ -76,11 +76,14 @@ class TableStore:
         return df
 
     # ---- write -------------------------------------------------------------
-    def _write(self, table: str, df: DataFrame) -> None:
+    def _write(self, table: str, df: DataFrame) -> int:
+        """Append; returns the number of rows written (observed during the write)."""
         out = conform(df, self.schema(table))
         if "start_date" in out.columns:
             out = out.sortWithinPartitions("start_date")
-        out.write.mode("append").parquet(self.path(table))
+        obs = Observation(f"written_{table}")
+        out.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(self.path(table))
+        return int(obs.get.get("n", 0))
 
     def append_new(self, table: str, batch: DataFrame, order_cols: list[str] | None = None,
                    time_bounds: tuple | None = None) -> DataFrame:
@@ -92,7 +95,7 @@ class TableStore:
         so only stored rows in that range — or without a start — are read for
         the anti-join; files are sorted by ``start_date``, so the range prunes
         row groups instead of shuffling every stored key.
-        Returns the appended rows' plan (already executed by the write)."""
+        Returns the number of rows appended."""
         keys = self.key_cols(table)
         existing = self.read_raw(table)
         if existing is not None and time_bounds is not None and None not in time_bounds:
@@ -104,14 +107,13 @@ class TableStore:
             existing = existing.filter(t.isNull() | ((t >= lo_c) & (t <= hi_c)))
         rows = idempotent_rows(batch, existing.select(*keys) if existing is not None else None, keys, order_cols,
                                null_safe_cols=[SUBJECT])
-        self._write(table, rows)
-        return rows
+        return self._write(table, rows)
 
-    def append_files(self, table: str, batch: DataFrame) -> None:
+    def append_files(self, table: str, batch: DataFrame) -> int:
         """Rows of files not stored yet (A7), each file as a unit."""
         existing = self.read_raw(table)
         done = existing.select(SUBJECT, "file_name").distinct() if existing is not None else None
-        self._write(table, new_rows_only(batch, done, [SUBJECT, "file_name"], null_safe_cols=[SUBJECT]))
+        return self._write(table, new_rows_only(batch, done, [SUBJECT, "file_name"], null_safe_cols=[SUBJECT]))
 
     def counts(self) -> DataFrame:
         """F7 over every manifest and external table (a missing table counts 0)."""
