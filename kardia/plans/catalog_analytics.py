@@ -168,3 +168,13 @@ def table_counts(spark, sf):
               "route_points": bridge.route_points(spark, sf),
               "ecg_recordings": bridge.ecg_recordings(spark, sf)}
     return qry.table_counts(tables)
+
+
+@register("bucket_day_by_user", f"""WITH {R}, {VITALS}
+SELECT subject_id, strftime(start_date, '%Y-%m-%d') AS time_bucket,
+       round(avg(heart_rate), 4) AS heart_rate, min(resting_hr) AS resting_hr,
+       max(hrv_sdnn) AS hrv_sdnn, count(NULL::DOUBLE) AS hr_recovery
+FROM V GROUP BY 1, 2""")
+def bucket_day_by_user(spark, sf):
+    """F1 set-based: one bucket series per subject (the reference serves one)."""
+    return r4(agg.bucket_aggregate(vitals(spark, sf), "day", aggs=VITALS_AGGS, subject_cols=["subject_id"]))
