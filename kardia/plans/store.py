@@ -122,6 +122,14 @@ class TableStore:
         return table_counts({n: self.read(n) for n in names})
 
 
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Recursively delete a folder this job created (Hadoop FileSystem)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.delete(p, True)
+
+
 def count_files(spark: SparkSession, pattern: str) -> int:
     """Number of files matching a glob (a driver-side listing, no job)."""
     jvm = spark.sparkContext._jvm
