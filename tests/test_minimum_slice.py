@@ -73,3 +73,23 @@ def test_schema_evolution_reads_old_files(spark, tmp):
     new = load_manifest(head + '  { name = "spo2", hk_type = "HKQuantityTypeIdentifierOxygenSaturation", data_type = "REAL" },\n]' + tail)
     rows = TableStore(spark, root, new).read("records").collect()
     assert len(rows) == 3 and all(r["spo2"] is None for r in rows)
+
+
+def test_many_subjects_at_once(spark, tmp):
+    """Exports of several subjects in one ingest: identical records of two
+    people are both kept (the subject is part of the key); re-ingesting
+    both is a no-op; the run's staging folder is removed after commit."""
+    import glob
+    m = load_manifest(MANIFEST)
+    paths = [write_export(os.path.join(tmp, who)) for who in ("ann", "ben")]
+    store = TableStore(spark, os.path.join(tmp, "store"), m)
+    from kardia.session import scratch_dir
+    base = os.path.dirname(scratch_dir(spark, "probe"))     # where staging folders go
+    ckpt_before = set(glob.glob(os.path.join(base, "stage-*")))
+    rep = ingest_export(spark, paths, store, m)
+    assert rep.inserted["records"] == 6
+    per = {r["subject_id"]: r["n"] for r in store.read("records").groupBy("subject_id").agg(F.count("*").alias("n")).collect()}
+    assert per == {"ann": 3, "ben": 3}
+    assert ingest_export(spark, paths, store, m).inserted["records"] == 0
+    ckpt_after = set(glob.glob(os.path.join(base, "stage-*")))
+    assert ckpt_after <= ckpt_before            # no staging folder left behind
