@@ -28,14 +28,27 @@ def _bins(start, end, unit: str):
     return F.sequence(F.date_trunc(unit, start), F.date_trunc(unit, end), F.expr(_STEP[unit]))
 
 
+def choose_bin_unit(intervals: DataFrame, start_col: str, end_col: str,
+                    hour_limit_minutes: int = 6 * 60) -> str:
+    """Bin unit from the interval-length distribution — hours when 99 % of
+    intervals are shorter than ``hour_limit_minutes`` (few bins per interval,
+    small bins), else days. One approximate-percentile aggregate (one row)."""
+    mins = F.timestamp_diff("MINUTE", F.col(start_col), F.col(end_col))
+    p99 = intervals.select(F.percentile_approx(mins, 0.99).alias("p")).first()["p"]
+    return "hour" if p99 is not None and p99 <= hour_limit_minutes else "day"
+
+
 def range_join(intervals: DataFrame, points: DataFrame, start_col: str, end_col: str, time_col: str,
                equi_cols: list[str] | tuple[str, ...] = (), bin_unit: str = "day") -> DataFrame:
     """Pairs (interval row, point row) with ``start <= t <= end`` (both inclusive).
 
     Intervals with NULL bounds or ``end < start`` match nothing (and are
     dropped before the bins are generated). Column names of the two sides
-    must be disjoint apart from ``equi_cols``.
+    must be disjoint apart from ``equi_cols``. ``bin_unit="auto"`` picks the
+    unit with :func:`choose_bin_unit`.
     """
+    if bin_unit == "auto":
+        bin_unit = choose_bin_unit(intervals, start_col, end_col)
     iv = intervals.filter(F.col(start_col).isNotNull() & F.col(end_col).isNotNull()
                           & (F.col(end_col) >= F.col(start_col)))
     iv = iv.withColumn("_bin", F.explode(_bins(F.col(start_col), F.col(end_col), bin_unit)))

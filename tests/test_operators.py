@@ -174,3 +174,13 @@ def test_csv_export(spark, tmp):
     assert text[1] == '1,"x,y",,60.0' and text[2] == "2,,3,0.5"
     lines = sorted(r["line"] for r in csv_lines(df).collect())
     assert lines == ['1,"x,y",,60', "2,,3,0.5"]          # shortest float text (60.0 -> 60)
+
+
+def test_range_join_auto_bins(spark, points):
+    from kardia.operators.intervals import choose_bin_unit
+    short = spark.createDataFrame([("a", ts(0), ts(30)), ("b", ts(60), ts(200))], "sid string, s timestamp, e timestamp")
+    long_ = spark.createDataFrame([("a", ts(0), ts(3000))], "sid string, s timestamp, e timestamp")
+    assert choose_bin_unit(short, "s", "e") == "hour" and choose_bin_unit(long_, "s", "e") == "day"
+    a = intervals.range_join(short, points.select("t", "v"), "s", "e", "t", bin_unit="auto").count()
+    b = intervals.range_join(short, points.select("t", "v"), "s", "e", "t", bin_unit="day").count()
+    assert a == b
