@@ -62,8 +62,8 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str | StructType) -> DataFrame:
-    """Apply ``fn`` (columns in, columns out, as Python lists or arrays) to each Arrow batch of ``df``."""
+def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] | list[dict]], schema: str | StructType) -> DataFrame:
+    """Apply ``fn`` to each Arrow batch of ``df``: columns in, columns (lists or arrays) or a list of rows out."""
     bounded_batches(df.sparkSession)
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
@@ -72,6 +72,8 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], sc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
+            if isinstance(cols, list):
+                cols = {f.name: [r[f.name] for r in cols] for f in arrow}
             yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
