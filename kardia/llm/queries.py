@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kardia.llm import op1_planes, op2_automaton, op3_decontaminate, op7_simhash
+from kardia.llm import op1_planes, op2_automaton, op3_decontaminate, op4_chunks, op6_secrets, op7_simhash, op8_quality, op10_toxicity
 from kardia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,12 +37,38 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@register
+def op4_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content-defined chunk fingerprints of all documents, against their edited texts and the next documents."""
+    return op4_chunks.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
+@register
+def op6_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return op6_secrets.scan(table(spark, sf_dir, "documents")).drop("secrets")
+
+
 @register
 def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and near-duplicate components of all documents."""
     return op7_simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@register
+def op8_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return op8_quality.score(docs, op8_quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@register
+def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return op10_toxicity.score(docs, op10_toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
