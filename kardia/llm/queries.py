@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kardia.llm import op1_planes, op2_automaton, op3_decontaminate, op4_chunks, op6_secrets, op7_simhash, op8_quality, op10_toxicity
+from kardia.llm import op1_planes, op2_automaton, op3_decontaminate, op4_chunks, op6_secrets, op7_simhash, op8_quality, op9_surrogates, op10_toxicity
 from kardia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,13 @@ def op8_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_quality.score(docs, op8_quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@register
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data, after the check for collisions."""
+    docs = op9_surrogates.checked(table(spark, sf_dir, "documents"), op9_surrogates.key_of(spark))
+    return op9_surrogates.pseudonymise(docs, op9_surrogates.key_of(spark)).select("doc_id", "n_entities", "kinds", "text")
+
+
 @register
 def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents."""
