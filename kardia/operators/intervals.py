@@ -21,6 +21,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from kardia.manifest import SUBJECT
+
+Cols = list[str] | tuple[str, ...]
 _STEP = {"hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY", "minute": "INTERVAL 1 MINUTE"}
 
 
@@ -28,27 +31,17 @@ def _bins(start, end, unit: str):
     return F.sequence(F.date_trunc(unit, start), F.date_trunc(unit, end), F.expr(_STEP[unit]))
 
 
-def choose_bin_unit(intervals: DataFrame, start_col: str, end_col: str,
-                    hour_limit_minutes: int = 6 * 60) -> str:
-    """Bin unit from the interval-length distribution — hours when 99 % of
-    intervals are shorter than ``hour_limit_minutes`` (few bins per interval,
-    small bins), else days. One approximate-percentile aggregate (one row)."""
-    mins = F.timestamp_diff("MINUTE", F.col(start_col), F.col(end_col))
-    p99 = intervals.select(F.percentile_approx(mins, 0.99).alias("p")).first()["p"]
-    return "hour" if p99 is not None and p99 <= hour_limit_minutes else "day"
-
-
 def range_join(intervals: DataFrame, points: DataFrame, start_col: str, end_col: str, time_col: str,
-               equi_cols: list[str] | tuple[str, ...] = (), bin_unit: str = "day") -> DataFrame:
+               equi_cols: Cols | None = None, bin_unit: str = "day") -> DataFrame:
     """Pairs (interval row, point row) with ``start <= t <= end`` (both inclusive).
 
     Intervals with NULL bounds or ``end < start`` match nothing (and are
     dropped before the bins are generated). Column names of the two sides
-    must be disjoint apart from ``equi_cols``. ``bin_unit="auto"`` picks the
-    unit with :func:`choose_bin_unit`.
+    must be disjoint apart from ``equi_cols``, which default to the subject
+    where both sides have one. ``bin_unit`` should be about as long as an
+    interval; an interval is copied to each bin it overlaps.
     """
-    if bin_unit == "auto":
-        bin_unit = choose_bin_unit(intervals, start_col, end_col)
+    equi_cols = subject_keys(equi_cols, intervals, points)
     iv = intervals.filter(F.col(start_col).isNotNull() & F.col(end_col).isNotNull()
                           & (F.col(end_col) >= F.col(start_col)))
     iv = iv.withColumn("_bin", F.explode(_bins(F.col(start_col), F.col(end_col), bin_unit)))
@@ -63,33 +56,40 @@ def range_join(intervals: DataFrame, points: DataFrame, start_col: str, end_col:
 
 def interval_point_counts(intervals: DataFrame, points: DataFrame, id_col: str, start_col: str,
                           end_col: str, time_col: str, category_col: str | None = None,
-                          categories: tuple[str, ...] = (), equi_cols: list[str] | tuple[str, ...] = (),
-                          bin_unit: str = "hour") -> DataFrame:
-    """Per interval id: ``n`` = points with ``start <= t <= end`` and, for each
-    category, ``n_<category>``. Every interval id appears (zeros if none)."""
-    equi = list(equi_cols)
+                          categories: tuple[str, ...] = (), equi_cols: Cols | None = None,
+                          bin_unit: str = "hour", value_col: str | None = None) -> DataFrame:
+    """Per (keys…, interval id): ``n`` = points with ``start <= t <= end``; for each
+    category, ``n_<category>``; with ``value_col``, ``total`` = the sum of its values.
+
+    Every interval appears (zeros if none); ids need to be unique within the
+    keys only. NULL keys match each other."""
+    equi = list(subject_keys(equi_cols, intervals, points))
     cats = list(categories)
 
     def counters(is_point):
         cols = [F.when(is_point, 1).otherwise(0).alias("_c")]
         for i, c in enumerate(cats):
             cols.append(F.when(is_point & (F.col(category_col) == c), 1).otherwise(0).alias(f"_c{i}"))
+        if value_col:
+            cols.append(F.coalesce(F.when(is_point, F.col("_value")), F.lit(0)).alias("_cv"))
         return cols
 
-    names = ["_c"] + [f"_c{i}" for i in range(len(cats))]
+    names = ["_c"] + [f"_c{i}" for i in range(len(cats))] + (["_cv"] if value_col else [])
+    value = [F.col(value_col).alias("_value")] if value_col else []
+    no_value = [F.lit(None).cast(points.schema[value_col].dataType).alias("_value")] if value_col else []
     pts = points.filter(F.col(time_col).isNotNull()).select(
         *equi, F.col(time_col).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("_id"),
-        F.lit(0).alias("_sign"), *([F.col(category_col)] if category_col else []))
+        F.lit(0).alias("_sign"), *([F.col(category_col)] if category_col else []), *value)
     valid = intervals.filter(F.col(start_col).isNotNull() & F.col(end_col).isNotNull()
                              & (F.col(end_col) >= F.col(start_col)))
     # open marker sorts before points at the same instant (counts t < start),
     # close marker after them (counts t <= end)
     opens = valid.select(*equi, F.col(start_col).alias("_t"), F.lit(0).alias("_kind"),
                          F.col(id_col).cast("string").alias("_id"), F.lit(-1).alias("_sign"),
-                         *([F.lit(None).cast("string").alias(category_col)] if category_col else []))
+                         *([F.lit(None).cast("string").alias(category_col)] if category_col else []), *no_value)
     closes = valid.select(*equi, F.col(end_col).alias("_t"), F.lit(2).alias("_kind"),
                           F.col(id_col).cast("string").alias("_id"), F.lit(1).alias("_sign"),
-                          *([F.lit(None).cast("string").alias(category_col)] if category_col else []))
+                          *([F.lit(None).cast("string").alias(category_col)] if category_col else []), *no_value)
     u = pts.unionByName(opens).unionByName(closes).withColumn("_bin", F.date_trunc(bin_unit, F.col("_t")))
     u = u.select("*", *counters(F.col("_kind") == 1))
 
@@ -101,11 +101,26 @@ def interval_point_counts(intervals: DataFrame, points: DataFrame, id_col: str,
 
     w = Window.partitionBy(*equi, "_bin").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     running = u.select(*equi, "_bin", "_kind", "_id", "_sign", *[F.sum(n).over(w).alias(f"_r{n}") for n in names])
-    marks = running.filter(F.col("_kind") != 1).join(offsets, [*equi, "_bin"], "left")
-    signed = marks.groupBy("_id").agg(*[
+    marks = join_keys(running.filter(F.col("_kind") != 1), offsets, [*equi, "_bin"])
+    signed = marks.groupBy(*equi, "_id").agg(*[
         F.sum(F.col("_sign") * (F.col(f"_r{n}") + F.col(f"_o{n}"))).alias(n) for n in names])
-    out_names = ["n"] + [f"n_{c}" for c in cats]
-    res = signed.select(F.col("_id"), *[F.col(n).cast("long").alias(o) for n, o in zip(names, out_names)])
-    base = intervals.select(F.col(id_col), F.col(id_col).cast("string").alias("_id"))
-    return base.join(res, "_id", "left").select(
-        id_col, *[F.coalesce(F.col(o), F.lit(0).cast("long")).alias(o) for o in out_names])
+    out_names = ["n"] + [f"n_{c}" for c in cats] + (["total"] if value_col else [])
+    res = signed.select(*equi, "_id", *[F.col(n).alias(o) if o == "total" else F.col(n).cast("long").alias(o)
+                                        for n, o in zip(names, out_names)])
+    base = intervals.select(*equi, F.col(id_col), F.col(id_col).cast("string").alias("_id"))
+    return join_keys(base, res, [*equi, "_id"]).select(
+        *equi, id_col, *[F.coalesce(F.col(o), F.lit(0)).alias(o) for o in out_names])
+
+
+def subject_keys(given: Cols | None, *tables: DataFrame) -> Cols:
+    """The given key columns; by default the subject, where every table has it (a table of one person may lack it)."""
+    if given is not None:
+        return given
+    return (SUBJECT,) if all(SUBJECT in t.columns for t in tables) else ()
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on null-safe equality of ``keys``, keeping the left side's keys."""
+    renamed = right.select(*[F.col(c).alias(f"_k{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_k{k}"]) for k in keys])
+    return left.join(renamed, cond, "left").drop(*[f"_k{k}" for k in keys])

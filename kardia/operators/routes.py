@@ -6,19 +6,22 @@ workouts that reference the file — never one copy of the points per workout.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from kardia.functions.scalars import haversine_m
+from kardia.manifest import SUBJECT
+from kardia.operators.intervals import Cols, join_keys, subject_keys
 from kardia.operators.sequence import with_previous
 
 POINT_VALUES = ["latitude", "longitude", "elevation"]
 
 
 def route_segments(points: DataFrame, file_col: str = "file_name", time_col: str = "timestamp",
-                   tie_cols: list[str] | tuple[str, ...] = ("point_seq",), bin_unit: str = "hour") -> DataFrame:
-    """G1 + G2 + H1: each point with its predecessor's position, the segment
+                   tie_cols: Cols = ("point_seq",), bin_unit: str = "hour", subject_cols: Cols | None = None) -> DataFrame:
+    """G1 + G2 + H1: within a subject's route file, each point with its predecessor's position, the segment
     length in metres and the positive elevation delta (0 for the first point)."""
-    x = with_previous(points, [file_col], time_col, list(tie_cols), POINT_VALUES, bin_unit)
+    subject_cols = subject_keys(subject_cols, points)
+    x = with_previous(points, [*subject_cols, file_col], time_col, list(tie_cols), POINT_VALUES, bin_unit)
     p = F.col("prev")
     seg = F.when(p.isNotNull(), haversine_m(p["latitude"], p["longitude"], F.col("latitude"), F.col("longitude")))
     gain = F.when(p.isNotNull() & (F.col("elevation") > p["elevation"]), F.col("elevation") - p["elevation"])
@@ -30,12 +33,13 @@ def route_segments(points: DataFrame, file_col: str = "file_name", time_col: str
 
 
 def route_totals(points: DataFrame, file_col: str = "file_name", time_col: str = "timestamp",
-                 tie_cols: list[str] | tuple[str, ...] = ("point_seq",), bin_unit: str = "hour") -> DataFrame:
-    """per route file — point count, distance (km), elevation gain (m),
+                 tie_cols: Cols = ("point_seq",), bin_unit: str = "hour", subject_cols: Cols | None = None) -> DataFrame:
+    """per subject and route file — point count, distance (km), elevation gain (m),
     first and last point time."""
-    seg = route_segments(points, file_col, time_col, tie_cols, bin_unit)
+    subject_cols = subject_keys(subject_cols, points)
+    seg = route_segments(points, file_col, time_col, tie_cols, bin_unit, subject_cols)
     # plain min/max of the time keep this a (map-side combined) hash aggregate
-    return seg.groupBy(file_col).agg(
+    return seg.groupBy(*subject_cols, file_col).agg(
         F.count(F.lit(1)).alias("point_count"),
         (F.sum("segment_m") / 1000.0).alias("distance_km"),
         F.sum("gain_m").alias("elevation_gain_m"),
@@ -44,13 +48,17 @@ def route_totals(points: DataFrame, file_col: str = "file_name", time_col: str =
 
 
 def workout_routes(workouts: DataFrame, totals: DataFrame, route_col: str = "route_file",
-                   file_col: str = "file_name") -> DataFrame:
-    """Workouts ⟕ route totals on ``route_file = file_name``.
+                   file_col: str = "file_name", subject_cols: Cols | None = None) -> DataFrame:
+    """Workouts ⟕ route totals on the subject (NULL equals NULL) and ``route_file = file_name``.
 
     A workout without a route keeps its row with NULL route fields; a route
     file without points reports zero points and 0.0 totals."""
-    t = totals.withColumnRenamed(file_col, "_route_key")
-    j = workouts.join(t, workouts[route_col] == t["_route_key"], "left").drop("_route_key")
+    subject_cols = subject_keys(subject_cols, workouts, totals)
+    t = totals.withColumnsRenamed({file_col: "_route_key", **{c: f"_k{c}" for c in subject_cols}})
+    on = workouts[route_col] == t["_route_key"]
+    for c in subject_cols:
+        on = on & workouts[c].eqNullSafe(t[f"_k{c}"])
+    j = workouts.join(t, on, "left")
     has_route = F.col(route_col).isNotNull()
     return j.select(
         *workouts.columns,
@@ -60,11 +68,38 @@ def workout_routes(workouts: DataFrame, totals: DataFrame, route_col: str = "rou
         "first_time", "last_time")
 
 
+def workout_points(workouts: DataFrame, points: DataFrame, route_col: str = "route_file", session_col: str = "session_id",
+                   file_col: str = "file_name", time_col: str = "timestamp", tie_cols: Cols = ("point_seq",),
+                   bin_unit: str = "hour", subject_cols: Cols | None = None) -> DataFrame:
+    """E1 + Q8: the points of every workout's route as a long relation — subject, session,
+    sequence number (from 1, in time order), time, position, elevation, speed, segment length and gain.
+
+    The sequence number is a count within the time bin plus the points of
+    earlier bins, so a route is never one task."""
+    subject_cols = subject_keys(subject_cols, workouts, points)
+    keys = [*subject_cols, file_col]
+    seg = route_segments(points, file_col, time_col, tie_cols, bin_unit, subject_cols).withColumn("_bin", F.date_trunc(bin_unit, F.col(time_col)))
+    order = [F.asc_nulls_first(time_col), *[F.asc_nulls_first(c) for c in tie_cols]]
+    bins = seg.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(*keys, "_bin", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    numbered = join_keys(seg.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy(*order))), bins, [*keys, "_bin"])
+    numbered = numbered.withColumn("sequence", (F.col("_before") + F.col("_at")).cast("long"))
+    w = workouts.filter(F.col(route_col).isNotNull()).select(
+        session_col, F.col(route_col).alias("_route"), *[F.col(c).alias(f"_w{c}") for c in subject_cols])
+    on = numbered[file_col] == w["_route"]
+    for c in subject_cols:
+        on = on & numbered[c].eqNullSafe(w[f"_w{c}"])
+    return numbered.join(w, on).select(*subject_cols, session_col, "sequence", time_col, "latitude", "longitude", "elevation", "speed_ms", "segment_m", "gain_m")
+
+
 def route_points_of(points: DataFrame, file_name: str, file_col: str = "file_name",
-                    time_col: str = "timestamp",
-                    tie_cols: list[str] | tuple[str, ...] = ("point_seq",)) -> DataFrame:
-    """Q7 + Q8: the points of one route file in time order (the details view
+                    time_col: str = "timestamp", tie_cols: Cols = ("point_seq",),
+                    subject: str | None = None) -> DataFrame:
+    """Q7 + Q8: the points of one subject's route file in time order (the details view
     of a single workout) — a pushed-down filter plus a sort, never a collected
-    array."""
+    array. In a table with subjects, no ``subject`` means the rows without one."""
+    if subject_keys(None, points):
+        points = points.filter(F.col(SUBJECT).eqNullSafe(F.lit(subject).cast("string")))
     return (points.filter(F.col(file_col) == F.lit(file_name))
             .orderBy(F.asc_nulls_first(time_col), *[F.asc(c) for c in tie_cols]))

@@ -7,25 +7,29 @@ from pyspark.sql import DataFrame, Window, functions as F
 from kardia.functions.dates import bound
 from kardia.functions.scalars import (ZONE_NAMES, clamp_round, hr_zone, interval_seconds,
                                       recovery_status, sleep_stage_label)
-from kardia.operators.intervals import interval_point_counts
+from kardia.manifest import default_manifest
+from kardia.operators.intervals import interval_point_counts, join_keys, subject_keys
 
 
 # ---- F5 heart-rate zones ----------------------------------------------------
 
-def hr_zone_histogram(workouts: DataFrame, samples: DataFrame, max_hr: float = 190.0,
+def hr_zone_histogram(workouts: DataFrame, samples: DataFrame, max_hr: float | None = None,
                       session_col: str = "session_id", hr_col: str = "heart_rate",
-                      time_col: str = "start_date", subject_cols: list[str] | tuple[str, ...] = (),
+                      time_col: str = "start_date", subject_cols: list[str] | tuple[str, ...] | None = None,
                       bin_unit: str = "hour") -> DataFrame:
-    """Per workout: samples with ``hr > 0`` and ``start <= t <= end`` by zone
-    (all five present, 0 if empty) plus the sample count and max HR used.
+    """Per (subject, workout): samples with ``hr > 0`` and ``start <= t <= end`` by zone
+    (all five present, 0 if empty) plus the sample count and max HR used
+    (``max_hr``, by default that of the shipped manifest's profile).
 
     Counting uses :func:`interval_point_counts` (no session × sample pairs)."""
+    subject_cols = subject_keys(subject_cols, workouts, samples)
+    max_hr = default_manifest().max_heart_rate if max_hr is None else max_hr
     s = samples.filter(F.col(hr_col) > 0).select(
         *subject_cols, F.col(time_col).alias("_t"), hr_zone(F.col(hr_col), max_hr).alias("_zone"))
     w = workouts.select(*subject_cols, session_col, F.col("start_date").alias("_s"), F.col("end_date").alias("_e"))
     counts = interval_point_counts(w, s, session_col, "_s", "_e", "_t", category_col="_zone",
                                    categories=ZONE_NAMES, equi_cols=subject_cols, bin_unit=bin_unit)
-    return counts.select(session_col, F.col("n").alias("sample_count"),
+    return counts.select(*subject_cols, session_col, F.col("n").alias("sample_count"),
                          F.lit(float(max_hr)).alias("max_hr_used"),
                          *[F.col(f"n_{z}").alias(z) for z in ZONE_NAMES])
 
@@ -80,7 +84,9 @@ def recovery_score(vitals: DataFrame, as_of: str, subject_cols: list[str] | tupl
     and resting HR in ONE scan (conditional averages).
 
     Windows start at UTC midnight ``as_of - 7`` / ``as_of - 1`` days and have
-    no upper bound (K3); empty averages are 0.0."""
+    no upper bound (K3); empty averages are 0.0, so a subject without rows in the
+    window scores 0. Subjects come from a scan of the key columns alone; the
+    values are read from the window's time range only."""
     d = F.to_date(F.lit(as_of))
     since7 = F.to_timestamp(F.date_sub(d, 7))
     since1 = F.to_timestamp(F.date_sub(d, 1))
@@ -93,7 +99,12 @@ def recovery_score(vitals: DataFrame, as_of: str, subject_cols: list[str] | tupl
         F.coalesce(F.avg(F.when((rhr > 0), rhr)), F.lit(0.0)).alias("rhr_baseline"),
         F.coalesce(F.avg(F.when((rhr > 0) & (t >= since1), rhr)), F.lit(0.0)).alias("rhr_current"),
     ]
-    agg = rows.groupBy(*subject_cols).agg(*exprs) if subject_cols else rows.agg(*exprs)
+    if subject_cols:
+        zeros = {c: 0.0 for c in ("hrv_baseline", "hrv_current", "rhr_baseline", "rhr_current")}
+        agg = join_keys(vitals.select(*subject_cols).distinct(), rows.groupBy(*subject_cols).agg(*exprs),
+                         list(subject_cols)).fillna(zeros)
+    else:
+        agg = rows.agg(*exprs)
     final, status = _score(F.col("hrv_baseline"), F.col("hrv_current"), F.col("rhr_baseline"), F.col("rhr_current"))
     return agg.select(*subject_cols, final.alias("recovery_score"), status.alias("status"),
                       "hrv_baseline", "hrv_current", "rhr_baseline", "rhr_current")
@@ -103,9 +114,9 @@ def recovery_daily(vitals: DataFrame, subject_cols: list[str] | tuple[str, ...]
     """Recovery for every (subject, day) as ``as_of``, set-based.
 
     Rows are first reduced to daily partial sums/counts (map-side combined);
-    the open-ended windows ``[as_of-7, ∞)`` / ``[as_of-1, ∞)`` are then suffix
-    sums over days, found with a window over the *daily* rows (one per
-    subject-day) and a range frame in days — raw rows are never windowed."""
+    the windows ``[as_of-7, as_of]`` / ``[as_of-1, as_of]`` are then range frames in
+    days over the *daily* rows (one per subject-day) — raw rows are never
+    windowed, and later rows never change an earlier day."""
     hrv, rhr = F.col("hrv_sdnn"), F.col("resting_hr")
     daily = vitals.filter(F.col("start_date").isNotNull()).groupBy(
         *subject_cols, F.to_date("start_date").alias("day")).agg(
@@ -113,8 +124,8 @@ def recovery_daily(vitals: DataFrame, subject_cols: list[str] | tuple[str, ...]
         F.sum(F.when(rhr > 0, rhr)).alias("rs"), F.count(F.when(rhr > 0, rhr)).alias("rc"))
     dn = F.datediff(F.col("day"), F.lit("1970-01-01").cast("date"))
     daily = daily.withColumn("_dn", dn)
-    w7 = Window.partitionBy(*subject_cols).orderBy("_dn").rangeBetween(-7, Window.unboundedFollowing)
-    w1 = Window.partitionBy(*subject_cols).orderBy("_dn").rangeBetween(-1, Window.unboundedFollowing)
+    w7 = Window.partitionBy(*subject_cols).orderBy("_dn").rangeBetween(-7, 0)
+    w1 = Window.partitionBy(*subject_cols).orderBy("_dn").rangeBetween(-1, 0)
 
     def avg_over(s, c, w):
         return F.when(F.sum(c).over(w) > 0, F.sum(s).over(w) / F.sum(c).over(w)).otherwise(F.lit(0.0))

@@ -111,22 +111,30 @@ def sleep_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def workouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions: ``signup`` events, 36 h long, linked to the user's route file."""
+    """Sessions: ``signup`` events, from the full hour, 36 h long, with a route file per day.
+
+    The session id is the start text and the file is named by the day, so both
+    repeat across people; equal starts of one person collapse (K7)."""
     e = event_base(spark, sf_dir).filter(F.col("event_type") == "signup")
+    start = F.date_trunc("hour", F.col("ts"))
     return e.select(
         F.col("user_id").cast("string").alias(SUBJECT),
-        F.col("event_id").cast("string").alias("session_id"),
-        F.col("ts").alias("start_date"),
-        F.timestamp_add("HOUR", F.lit(WORKOUT_HOURS), F.col("ts")).alias("end_date"),
-        F.concat(F.lit("route_"), F.col("user_id").cast("string"), F.lit(".gpx")).alias("route_file"))
+        F.date_format(start, "yyyy-MM-dd HH:mm:ss").alias("session_id"),
+        start.alias("start_date"),
+        F.timestamp_add("HOUR", F.lit(WORKOUT_HOURS), start).alias("end_date"),
+        route_file(F.col("ts")).alias("route_file")).distinct()
+
+
+def route_file(ts: Column) -> Column:
+    return F.concat(F.lit("route_"), F.date_format(ts, "yyyy-MM-dd"), F.lit(".gpx"))
 
 
 def route_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GPS points: one route per user, ordered by (timestamp, point_seq)."""
+    """GPS points: one route per user and day, ordered by (timestamp, point_seq)."""
     e = event_base(spark, sf_dir)
     return e.select(
         F.col("user_id").cast("string").alias(SUBJECT),
-        F.concat(F.lit("route_"), F.col("user_id").cast("string"), F.lit(".gpx")).alias("file_name"),
+        route_file(F.col("ts")).alias("file_name"),
         F.col("event_id").alias("point_seq"),
         F.col("ts").alias("timestamp"),
         (F.lit(37.0) + F.col("value") / 1000).alias("latitude"),

@@ -39,14 +39,17 @@ VITALS = """V AS (SELECT event_id, CAST(user_id AS VARCHAR) AS subject_id, ts AS
        CASE WHEN event_type = 'view' THEN v END AS hrv_sdnn
 FROM R WHERE event_type IN ('click','view','error'))"""
 
-WORKOUTS = """W AS (SELECT CAST(user_id AS VARCHAR) AS subject_id, CAST(event_id AS VARCHAR) AS session_id,
-       ts AS start_date, ts + INTERVAL 36 HOUR AS end_date,
-       'route_' || CAST(user_id AS VARCHAR) || '.gpx' AS route_file
+# sessions start on the hour, so people share session ids, and one person's equal starts collapse
+WORKOUTS = """W AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS subject_id,
+       strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS session_id,
+       date_trunc('hour', ts) AS start_date, date_trunc('hour', ts) + INTERVAL 36 HOUR AS end_date,
+       'route_' || strftime(ts, '%Y-%m-%d') || '.gpx' AS route_file
 FROM R WHERE event_type = 'signup')"""
 
-POINTS = """P AS (SELECT 'route_' || CAST(user_id AS VARCHAR) || '.gpx' AS file_name, event_id AS point_seq,
+POINTS = """P AS (SELECT CAST(user_id AS VARCHAR) AS subject_id,
+       'route_' || strftime(ts, '%Y-%m-%d') || '.gpx' AS file_name, event_id AS point_seq,
        ts AS timestamp, 37.0 + value / 1000 AS latitude, -122.0 + (event_id % 1000) / 1000 AS longitude,
-       value AS elevation
+       value AS elevation, value / 10 AS speed_ms
 FROM R)"""
 
 
