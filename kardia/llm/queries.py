@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kardia.llm import op1_planes, op2_automaton, op3_decontaminate, op4_chunks, op6_secrets, op7_simhash, op8_quality, op9_surrogates, op10_toxicity
+from kardia.llm import op1_planes, op2_automaton, op3_decontaminate, op4_chunks, op5_suffixes, op6_secrets, op7_simhash, op8_quality, op9_surrogates, op10_toxicity
 from kardia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,12 @@ def op4_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_chunks.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+@register
+def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that documents share, of all documents."""
+    return op5_suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @register
 def op6_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
