@@ -48,7 +48,7 @@ def bucket_pattern(unit: str) -> str:
     try:
         return BUCKET_PATTERNS[unit]
     except KeyError:
-        raise ValueError("Invalid bucket. Use 'hour', 'day', or 'month'") from None
+        raise ValueError(f"no bucket of this name: {unit!r} (there are {', '.join(BUCKET_PATTERNS)})") from None
 
 
 def time_bucket(ts: Column | str, unit: str) -> Column:

@@ -116,7 +116,8 @@ def typed_cast(text, data_type: str) -> Column:
     if dt == "DATETIME":
         from kardia.functions.dates import parse_any_date
         return parse_any_date(c)
-    return F.trim(c).try_cast(spark_type(dt))
+    # Java's number parser also takes a type letter at the end ("1d", "12f"); those are not numbers here
+    return F.when(~F.trim(c).rlike("[dDfFlL]$"), F.trim(c)).try_cast(spark_type(dt))
 
 
 def base_name(path) -> Column:

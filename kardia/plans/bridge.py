@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kardia.manifest import SUBJECT, Manifest, default_manifest
 from kardia.operators.routing import route_records, wide_projection, with_content_id, with_normalised_dates
-from kardia.session import spread
 
 # FIXED VALUES (bridge): event type -> HealthKit record type.
 EVENT_TYPE_MAP = {
@@ -39,8 +38,8 @@ EXPORT_OFFSET_HOURS = -5
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, spread over the cores if the file has too few splits."""
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _lit_map(d: dict) -> Column:
@@ -164,7 +163,7 @@ def _attr(name: str, value: Column, escape: bool = False) -> Column:
 
 
 def record_chunks(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Render parsed-record rows as the text chunks the ``<Record `` split yields
+    """Render parsed-record rows as the text chunks the ``<Record`` split yields
     (self-closing tags; every third record carries a MetadataEntry child and
     spans lines)."""
     attrs = F.concat(
@@ -174,5 +173,5 @@ def record_chunks(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     tail = F.when(F.col("event_id") % 3 == 0,
                   F.lit('>\n  <MetadataEntry key="HKMetadataKeyHeartRateMotionContext" value="0"/>\n </Record>\n '))\
             .otherwise(F.lit("/>\n "))
-    body = F.concat(F.substring(attrs, 2, 1 << 30), tail)
+    body = F.concat(attrs, tail)
     return records.select("event_id", SUBJECT, *keep, body.alias("chunk"))

@@ -10,6 +10,7 @@ from kardia.operators import query as qry
 from kardia.plans import bridge
 from kardia.plans.registry import register
 from kardia.plans.sql import R, VITALS, ts_text
+from kardia.session import scratch_dir
 
 # Demo aggregate settings for vitals (the shipped manifest declares none).
 VITALS_AGGS = {"heart_rate": "avg", "resting_hr": "min", "hrv_sdnn": "max", "hr_recovery": "count"}
@@ -145,13 +146,14 @@ def rows_to_json(spark, sf):
 
 
 @register("csv_export_rows", f"""WITH {R}, {VITALS}
-SELECT concat_ws(',', CAST(event_id AS VARCHAR), subject_id, {ts_text("start_date")},
-       coalesce(CAST(CAST(round(heart_rate * 100) AS BIGINT) AS VARCHAR), '')) AS line FROM V""")
+SELECT 'event_id,subject_id,start_date,end_date,heart_rate,resting_hr,hrv_sdnn' AS line
+UNION ALL SELECT concat_ws(',', CAST(event_id AS VARCHAR), subject_id, {ts_text("start_date")}, {ts_text("end_date")},
+       {", ".join(f"coalesce(regexp_replace(CAST({c} AS VARCHAR), '[.]0$', ''), '')" for c in ("heart_rate", "resting_hr", "hrv_sdnn"))}) FROM V""")
 def csv_export_rows(spark, sf):
-    v = vitals(spark, sf).select(
-        "event_id", "subject_id", F.date_format("start_date", "yyyy-MM-dd HH:mm:ss").alias("start_date"),
-        F.round(F.col("heart_rate") * 100).cast("long").alias("hr_x100"))
-    return qry.csv_lines(v)
+    """The rows as the export has written them, header included."""
+    path = scratch_dir(spark, "csv")
+    qry.export_csv(ts_str(_vitals_rows(spark, sf)), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 @register("table_counts", f"""WITH {R}
@@ -178,12 +180,3 @@ FROM V GROUP BY 1, 2""")
 def bucket_day_by_user(spark, sf):
     """F1 set-based: one bucket series per subject (the reference serves one)."""
     return r4(agg.bucket_aggregate(vitals(spark, sf), "day", aggs=VITALS_AGGS, subject_cols=["subject_id"]))
-
-
-@register("table_footprint")
-def table_footprint(spark, sf):
-    """F8: bytes on disk and file count per driver table (distinct files)."""
-    from kardia.operators.query import table_footprint as tf
-    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-             "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-    return tf(spark, {n: f"{sf}/{n}.parquet" for n in names})

@@ -9,9 +9,11 @@ from kardia.functions.scalars import typed_cast
 from kardia.manifest import default_manifest, load_manifest
 from kardia.operators import dedupe, routing
 from kardia.plans import bridge
-from kardia.plans.catalog_analytics import r4
+from kardia.plans.catalog_analytics import r4, ts_str
 from kardia.plans.registry import register
-from kardia.plans.sql import COLUMN_OF, HK_TYPE, R, TABLE_OF, VALUE_TEXT, iso
+from kardia.plans.sql import COLUMN_OF, HK_TYPE, R, TABLE_OF, VALUE_TEXT, VITALS, iso, ts_text
+from kardia.plans.store import TableStore
+from kardia.session import scratch_dir
 from kardia.sources import records as rec
 
 # ---- A1 record scan (parse the chunks the '<Record ' split produces) --------
@@ -125,24 +127,28 @@ def derived_column(spark, sf):
     return r4(routing.with_generated_columns(rows, t).select("event_id", "heart_rate", "effort_score"))
 
 
-@register("schema_evolution", f"""WITH {R}
-SELECT event_id, round(v, 4) AS heart_rate, NULL::DOUBLE AS hrv_sdnn FROM R
-WHERE event_type = 'click' AND ts < TIMESTAMP '2024-01-15 00:00:00'
-UNION ALL
-SELECT event_id, CASE WHEN event_type = 'click' THEN round(v, 4) END,
-       CASE WHEN event_type = 'view' THEN round(v, 4) END FROM R
-WHERE event_type IN ('click','view') AND ts >= TIMESTAMP '2024-01-15 00:00:00'""")
+_OLD_MANIFEST = """
+[tables.vitals]
+columns = [
+  { name = "heart_rate", hk_type = "HKQuantityTypeIdentifierHeartRate", data_type = "REAL" },
+  { name = "resting_hr", hk_type = "HKQuantityTypeIdentifierRestingHeartRate", data_type = "REAL" },
+]
+"""
+
+
+@register("schema_evolution", f"""WITH {R}, {VITALS}
+SELECT DISTINCT subject_id, {ts_text('start_date')} AS start_date, {ts_text('end_date')} AS end_date, round(heart_rate, 4) AS heart_rate,
+       round(resting_hr, 4) AS resting_hr, round(hrv_sdnn, 4) AS hrv_sdnn FROM V
+WHERE start_date >= TIMESTAMP '2024-01-15 00:00:00' OR hrv_sdnn IS NULL""")
 def schema_evolution(spark, sf):
-    """An old batch written under a manifest without ``hrv_sdnn`` is read
-    back under the new manifest — the added column is NULL for old rows."""
+    """The first half is stored under a manifest without ``hrv_sdnn``, the second under the
+    present one; read under the present one, the added column is NULL in the old files."""
     cut = F.lit("2024-01-15 00:00:00").cast("timestamp")
-    full = bridge.metric_table(spark, sf, "vitals")
-    old = full.filter((F.col("start_date") < cut) & F.col("heart_rate").isNotNull()) \
-              .select("event_id", "heart_rate")
-    new = full.filter((F.col("start_date") >= cut) & (F.col("heart_rate").isNotNull() | F.col("hrv_sdnn").isNotNull())) \
-              .select("event_id", "heart_rate", "hrv_sdnn")
-    merged = old.unionByName(new, allowMissingColumns=True)
-    return r4(merged.select("event_id", "heart_rate", "hrv_sdnn"))
+    root = scratch_dir(spark, "evolution")
+    for m, half in ((load_manifest(_OLD_MANIFEST), F.col("start_date") < cut), (default_manifest(), F.col("start_date") >= cut)):
+        TableStore(spark, root, m).append_new("vitals", bridge.metric_table(spark, sf, "vitals", m, with_id=True).filter(half), order_cols=["creation_date"])
+    v = TableStore(spark, root, default_manifest()).read("vitals")
+    return r4(ts_str(v.select("subject_id", "start_date", "end_date", "heart_rate", "resting_hr", "hrv_sdnn")))
 
 
 # ---- C1 / E4 / A7 dedupe and incremental -------------------------------------

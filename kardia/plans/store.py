@@ -128,12 +128,3 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return fs.delete(p, True)
-
-
-def count_files(spark: SparkSession, pattern: str) -> int:
-    """Number of files matching a glob (a driver-side listing, no job)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(pattern)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.globStatus(p)
-    return 0 if found is None else len(found)

@@ -60,27 +60,15 @@ def configure(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession, purpose: str = "run") -> str:
     """A fresh sub-folder of the cluster's checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session; when it is unset (tests,
-    local runs) a folder under the system temp dir is registered first.
+    ``spark.checkpoint.dir`` is read from the session. Only a local master without
+    it (tests) gets a folder under the system temp dir; on a cluster a missing
+    setting is an error, because executors would write where nobody else reads.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="kardia-ckpt-")
         sc.setCheckpointDir(base)
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex[:12]}")
-
-
-def spread(df, min_partitions: int | None = None):
-    """Spread a scan over the cluster's cores when it has fewer splits.
-
-    A small file with one Parquet row group is read by a single task; the
-    per-row work after it (XML parsing, signal folds) then runs on one core.
-    Below ``min_partitions`` (default: the default parallelism) the rows are
-    round-robin repartitioned; at scale a scan already has many splits and
-    this is a no-op, so no shuffle is added. Filters and column pruning still
-    pass through to the scan.
-    """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
-    return df.repartition(target) if n < target else df

@@ -169,8 +169,8 @@ def element_texts(chunks: DataFrame, tag: str, chunk_col: str = "chunk",
     The chunks come from the ``<Record `` text split, which Hadoop splits at
     any offset — unlike the XML source, which reads a whole file in one task.
     Only chunks containing the tag are exploded (one row per element; a
-    workout's text is bounded by its children). An element cut off by the end
-    of the file yields no row."""
+    workout's text is bounded by its children). ``xml`` is NULL for an element
+    that is cut off by the end of the file; ``raw`` is its text, for quarantine."""
     c = F.col(chunk_col)
     pieces = F.split(c, rf"<{tag}(?=[\s/>])")
     x = chunks.filter(c.contains(f"<{tag}")).select(
@@ -180,7 +180,27 @@ def element_texts(chunks: DataFrame, tag: str, chunk_col: str = "chunk",
     closed = F.regexp_extract(p, rf"(?s)^(.*?</{tag}\s*>)", 1)
     xml = (F.when(head.rlike(r"/\s*$"), F.concat(F.lit(f"<{tag}"), head, F.lit(">")))
            .when(closed != "", F.concat(F.lit(f"<{tag}"), closed)))
-    return x.select(*keep, xml.alias("xml")).filter(F.col("xml").isNotNull())
+    return x.select(*keep, xml.alias("xml"), F.concat(F.lit(f"<{tag}"), p).alias("raw"))
+
+
+# bytes of one element's chunk, at most; what stands before a file's first element is longer and is skipped unread
+MAX_ELEMENT_BYTES = 1 << 28
+
+
+def read_element_chunks(spark: SparkSession, paths: str | list[str], tag: str) -> DataFrame:
+    """The file as text split at ``<tag ``: one chunk per element, read by as many tasks as the file has splits.
+
+    The file's part before its first element (all its records) passes by unread."""
+    df = (spark.read.option("lineSep", f"<{tag} ").option("recursiveFileLookup", "true")
+          .option("mapreduce.input.linerecordreader.line.maxlength", str(MAX_ELEMENT_BYTES)).text(paths))
+    value = F.col("value")
+    return df.filter(value.rlike(r"^\s*[A-Za-z_:][\w:.-]*\s*=")).select(
+        F.concat(F.lit(f"<{tag} "), value).alias("chunk"), F.col("_metadata.file_path").alias("file_path"))
+
+
+def element_counts(chunk: Column, tag: str) -> list[Column]:
+    """Chunks with an element of this tag, and chunks with one whose name isn't followed by a space (not split there)."""
+    return [F.count_if(chunk.rlike(rf"<{tag}[\s/>]")).alias(tag), F.count_if(chunk.rlike(rf"<{tag}[\t\r\n/>]")).alias(f"{tag}__odd")]
 
 
 def workouts_from_chunks(chunks: DataFrame, manifest: Manifest, chunk_col: str = "chunk",
@@ -188,7 +208,11 @@ def workouts_from_chunks(chunks: DataFrame, manifest: Manifest, chunk_col: str =
     t = manifest.tables.get("workouts")
     if t is None:   # D17
         return None
-    texts = element_texts(chunks, WORKOUT_TAG, chunk_col, keep)
+    texts = element_texts(chunks, WORKOUT_TAG, chunk_col, keep).filter(F.col("xml").isNotNull())
+    return workouts_from_texts(texts, t, keep)
+
+
+def workouts_from_texts(texts: DataFrame, t: Table, keep: list[str] | tuple[str, ...] = (SUBJECT,)) -> DataFrame:
     return extract_workouts(parse_elements(texts, F.col("xml"), workout_schema(t), keep), t, keep=keep)
 
 
@@ -197,7 +221,11 @@ def summaries_from_chunks(chunks: DataFrame, manifest: Manifest, chunk_col: str
     t = manifest.tables.get("activity_summaries")
     if t is None:
         return None
-    texts = element_texts(chunks, SUMMARY_TAG, chunk_col, keep)
+    texts = element_texts(chunks, SUMMARY_TAG, chunk_col, keep).filter(F.col("xml").isNotNull())
+    return summaries_from_texts(texts, t, keep)
+
+
+def summaries_from_texts(texts: DataFrame, t: Table, keep: list[str] | tuple[str, ...] = (SUBJECT,)) -> DataFrame:
     return extract_summaries(parse_elements(texts, F.col("xml"), summary_schema(t), keep), t, keep=keep)
 
 
@@ -212,26 +240,6 @@ def _read(spark: SparkSession, paths, row_tag: str, schema: str, glob: str | Non
                      F.col("_metadata.file_name").alias("file_name"))
 
 
-def scan_workouts(spark: SparkSession, paths, manifest: Manifest, subject: Column | None = None) -> DataFrame:
-    """A2: every ``<Workout>`` element (one partition per file; workouts are few)."""
-    t = manifest.tables.get("workouts")
-    if t is None:   # D17: workouts not configured -> nothing to read
-        return None
-    df = _read(spark, paths, WORKOUT_TAG, workout_schema(t))
-    subj = subject if subject is not None else F.lit(None).cast("string")
-    return extract_workouts(df.withColumn(SUBJECT, subj), t, keep=(SUBJECT,))
-
-
-def scan_summaries(spark: SparkSession, paths, manifest: Manifest, subject: Column | None = None) -> DataFrame:
-    """A3: every ``<ActivitySummary>`` element."""
-    t = manifest.tables.get("activity_summaries")
-    if t is None:
-        return None
-    df = _read(spark, paths, SUMMARY_TAG, summary_schema(t))
-    subj = subject if subject is not None else F.lit(None).cast("string")
-    return extract_summaries(df.withColumn(SUBJECT, subj), t, keep=(SUBJECT,))
-
-
 def scan_gpx(spark: SparkSession, folder: str, src: RouteSource, subject: Column | None = None) -> DataFrame:
     """A5: every ``<trkpt>`` of the ``*.gpx`` files in a folder, keyed by file name."""
     df = _read(spark, folder, TRKPT_TAG, gpx_schema(src), glob=f"*.{src.file_extension}")

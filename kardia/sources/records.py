@@ -2,7 +2,7 @@
 
 The XML source reads a whole file in one task (multi-line mode), and line
 mode breaks records spanning lines. Instead the file is read as *text* with
-``<Record `` as the record separator: Hadoop splits the file at any byte
+``<Record`` as the record separator: Hadoop splits the file at any byte
 offset and each task resynchronises on the separator, so a 100 GB export is
 read by hundreds of tasks. Each chunk starts with the record's attribute
 list; only the start tag is kept (children such as ``MetadataEntry`` are
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-RECORD_SEPARATOR = "<Record "
+RECORD_SEPARATOR = "<Record"
 # A start tag: attribute text up to the first '>' outside quotes.
 START_TAG = r"""^([^"'>]*+(?:(?:"[^"]*+"|'[^']*+')[^"'>]*+)*+)>"""
 # FIXED VALUES: attribute names of an exported <Record> element.
@@ -31,8 +31,8 @@ RECORD_XML_SCHEMA = ", ".join(f"_{a} string" for a in RECORD_ATTRIBUTES)
 
 
 def read_record_chunks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Raw text chunks, one per ``<Record `` occurrence, plus the file path."""
-    df = (spark.read.option("lineSep", RECORD_SEPARATOR).text(paths)
+    """Raw text chunks, one per ``<Record`` occurrence (folders recursively), plus the file path."""
+    df = (spark.read.option("lineSep", RECORD_SEPARATOR).option("recursiveFileLookup", "true").text(paths)
           .select(F.col("value").alias("chunk"), F.col("_metadata.file_path").alias("file_path")))
     return df
 
@@ -44,8 +44,9 @@ def start_tag(chunk: Column) -> Column:
 
 
 def is_record_chunk(chunk: Column) -> Column:
-    """A record chunk begins with an attribute name (the file head begins with '<')."""
-    return chunk.rlike(r"^\s*[A-Za-z_:]")
+    """A record chunk begins with white space and an attribute name (the file head
+    begins with '<', an element with a longer name goes on with a letter)."""
+    return chunk.rlike(r"^\s+[A-Za-z_:]")
 
 
 def parse_record_chunks(chunks: DataFrame, chunk_col: str = "chunk") -> DataFrame:
@@ -53,7 +54,8 @@ def parse_record_chunks(chunks: DataFrame, chunk_col: str = "chunk") -> DataFram
 
     Output columns: every passthrough column of ``chunks`` except the chunk,
     then ``type, source_name, source_version, unit, device, creation_date_raw,
-    start_date_raw, end_date_raw, value, parse_ok``.
+    start_date_raw, end_date_raw, value, parse_ok, raw`` (``raw``: the start tag, or
+    the whole chunk if no tag can be isolated; for quarantine).
     """
     keep = [c for c in chunks.columns if c != chunk_col]
     c = F.col(chunk_col)
@@ -61,17 +63,17 @@ def parse_record_chunks(chunks: DataFrame, chunk_col: str = "chunk") -> DataFram
     # ``inline`` generator: a later filter on its output (parse_ok, type) then
     # cannot be pushed below it, which would evaluate the step twice per row.
     tagged = chunks.filter(is_record_chunk(c)).select(
-        *keep, F.inline(F.array(F.struct(start_tag(c).alias("_tag")))))
-    xml = F.from_xml(F.concat(F.lit(RECORD_SEPARATOR), F.col("_tag"), F.lit("/>")), RECORD_XML_SCHEMA)
-    parsed = tagged.select(*keep, "_tag", F.inline(F.array(xml)))
+        *keep, c.alias("_chunk"), F.inline(F.array(F.struct(start_tag(c).alias("_tag")))))
+    xml = F.from_xml(F.concat(F.lit(RECORD_SEPARATOR + " "), F.col("_tag"), F.lit("/>")), RECORD_XML_SCHEMA)
+    parsed = tagged.select(*keep, "_chunk", "_tag", F.inline(F.array(xml)))
     attrs = [F.col(f"_{a}").alias(_SNAKE[a]) for a in RECORD_ATTRIBUTES]
     ok = (F.col("_tag") != "") & F.col("_type").isNotNull()
-    return parsed.select(*keep, *attrs, ok.alias("parse_ok"))
+    return parsed.select(*keep, *attrs, ok.alias("parse_ok"), F.when(F.col("_tag") == "", F.col("_chunk")).otherwise(F.col("_tag")).alias("raw"))
 
 
 def split_quarantine(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, quarantined) — a bad record never stops the rest."""
-    good = records.filter(F.col("parse_ok")).drop("parse_ok")
+    good = records.filter(F.col("parse_ok")).drop("parse_ok", "raw")
     bad = records.filter(~F.col("parse_ok")).drop("parse_ok")
     return good, bad
 
@@ -79,8 +81,3 @@ def split_quarantine(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 def scan_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Whole A1 scan: text split -> start tag -> attributes (incl. parse_ok)."""
     return parse_record_chunks(read_record_chunks(spark, paths))
-
-
-def subject_from_path(path: Column) -> Column:
-    """Default subject id: the name of the folder holding the export file."""
-    return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)

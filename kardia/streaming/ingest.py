@@ -11,14 +11,14 @@
   ``dropDuplicates`` or ``dropDuplicatesWithinWatermark``).
 * I3 new-file pickup: the file source's checkpoint remembers processed files;
   ``trigger(availableNow=True)`` processes what is new and stops.
-* I4 ``bucket_stream``: hour/day buckets as event-time windows (month: by
-  ``date_trunc``) kept up to date; no watermark by default, so late rows always
+* I4 ``bucket_stream``: hour/day/month buckets kept up to date over rows deduplicated on
+  their content id; no watermark by default, so late rows always
   count, as with recompute-on-read; pass ``watermark`` to bound the state.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kardia.functions.dates import bucket_pattern
@@ -30,36 +30,35 @@ from kardia.plans.store import TableStore
 from kardia.sources.records import RECORD_SEPARATOR
 
 
-def record_stream(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming chunks (``<Record `` split) of every export file in ``folder``."""
+# files of a micro-batch, at most; bounds its work whatever has piled up
+MAX_FILES_PER_TRIGGER = 1000
+
+
+def record_stream(spark: SparkSession, folder: str, max_files_per_trigger: int = MAX_FILES_PER_TRIGGER,
+                  subject: Column | None = None) -> DataFrame:
+    """Streaming chunks (``<Record`` split) of every export file in ``folder``.
+
+    ``subject`` is an expression over ``file_path`` and ``chunk``; by default the file's folder."""
     # recursive lookup: files in any sub-folder, no partition-column inference
     r = spark.readStream.format("text").option("lineSep", RECORD_SEPARATOR).option("recursiveFileLookup", "true")
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    df = r.load(folder)
-    return df.select(F.col("value").alias("chunk"), subject_from_path(F.col("_metadata.file_path")).alias(SUBJECT))
+    df = r.option("maxFilesPerTrigger", max_files_per_trigger).load(folder)
+    df = df.select(F.col("value").alias("chunk"), F.col("_metadata.file_path").alias("file_path"))
+    return df.withColumn(SUBJECT, subject if subject is not None else subject_from_path(F.col("file_path"))).drop("file_path")
 
 
 def ingest_batch(spark: SparkSession, chunks: DataFrame, batch_id: int, store: TableStore,
                  manifest: Manifest, staging_root: str) -> IngestReport:
-    """One micro-batch through the batch plan; idempotent under replay.
-
-    The streaming file source makes one partition per file and micro-batches
-    run without AQE, so a batch of many small files is coalesced (no shuffle)
-    to the default parallelism before it is parsed and staged."""
+    """One micro-batch through the batch plan — records, workouts and daily summaries; idempotent under replay."""
     report = IngestReport()
-    target = spark.sparkContext.defaultParallelism
-    if chunks.rdd.getNumPartitions() > target:
-        chunks = chunks.coalesce(target)
     write_tables(spark, chunks, store, manifest, report, staging=f"{staging_root}/{batch_id}")
     return report
 
 
 def start_ingest(spark: SparkSession, folder: str, store: TableStore, manifest: Manifest,
                  checkpoint: str, available_now: bool = True, processing_time: str | None = None,
-                 max_files_per_trigger: int | None = None) -> StreamingQuery:
+                 max_files_per_trigger: int = MAX_FILES_PER_TRIGGER, subject: Column | None = None) -> StreamingQuery:
     """Continuous (or available-now) ingest of new export files."""
-    chunks = record_stream(spark, folder, max_files_per_trigger)
+    chunks = record_stream(spark, folder, max_files_per_trigger, subject)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         ingest_batch(batch.sparkSession, batch, batch_id, store, manifest, f"{checkpoint}/staging")
@@ -81,31 +80,26 @@ def dedupe_stream(df: DataFrame, key_cols: list[str], watermark: tuple[str, str]
 def bucket_stream(records: DataFrame, bucket: str, aggs: dict[str, str],
                   subject_cols: list[str] | tuple[str, ...] = (), time_col: str = "start_date",
                   watermark: str | None = None) -> DataFrame:
-    """I4: streaming time-bucket aggregate with the batch operator's labels."""
+    """I4: streaming time-bucket aggregate with the batch operator's labels; rows without a time form a NULL bucket."""
     pattern = bucket_pattern(bucket)
     src = records.withWatermark(time_col, watermark) if watermark else records
-    if bucket in ("hour", "day"):
-        key = F.window(F.col(time_col), "1 hour" if bucket == "hour" else "1 day")
-        grouped = src.groupBy(*subject_cols, key.alias("_w"))
-        label = F.date_format(F.col("_w.start"), pattern)
-    else:
-        grouped = src.groupBy(*subject_cols, F.date_trunc("month", F.col(time_col)).alias("_w"))
-        label = F.date_format(F.col("_w"), pattern)
+    grouped = src.groupBy(*subject_cols, F.date_trunc(bucket, F.col(time_col)).alias("_w"))
+    label = F.date_format(F.col("_w"), pattern)
     return grouped.agg(*aggregate_exprs(aggs=aggs)).select(*subject_cols, label.alias("time_bucket"),
                                                            *[F.col(c) for c in aggs])
 
 
-def typed_stream(spark: SparkSession, folder: str, manifest: Manifest, table: str) -> DataFrame:
-    """Streaming typed rows of one metric table (for live aggregates)."""
-    routed, _ = prepare_records(record_stream(spark, folder), manifest)
-    return wide_projection(routed, manifest.table(table))
+def typed_stream(spark: SparkSession, folder: str, manifest: Manifest, table: str, subject: Column | None = None) -> DataFrame:
+    """Streaming typed rows of one metric table (for live aggregates), each content id of a subject once."""
+    routed, _ = prepare_records(record_stream(spark, folder, subject=subject), manifest)
+    return dedupe_stream(wide_projection(routed, manifest.table(table)), [SUBJECT, "uuid"])
 
 
 def run_bucket_stream(spark: SparkSession, folder: str, manifest: Manifest, table: str, bucket: str,
-                      aggs: dict[str, str], out_path: str, checkpoint: str) -> None:
+                      aggs: dict[str, str], out_path: str, checkpoint: str, subject: Column | None = None) -> None:
     """I4 to completion: the complete result table (one row per bucket,
     bounded by the time span) is rewritten after each micro-batch."""
-    agg = bucket_stream(typed_stream(spark, folder, manifest, table), bucket, aggs)
+    agg = bucket_stream(typed_stream(spark, folder, manifest, table, subject), bucket, aggs)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(out_path)

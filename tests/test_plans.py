@@ -8,7 +8,7 @@ from kardia.plans import registry
 registry.load_all()
 
 SF = "/root/testdata/sf0.001"
-STREAMING = {"stream_ingest", "stream_dedupe", "stream_new_files", "stream_bucket_hour"}
+STREAMING = {"stream_ingest", "stream_dedupe", "stream_new_files", "stream_bucket_hour", "stream_ingest_workouts"}
 
 
 def test_entry_runs(spark):

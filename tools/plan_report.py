@@ -30,8 +30,7 @@ def main() -> None:
     spark = build_session("local[8]", shuffle_partitions=16, extra_conf={"spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     print("# Physical plans of the registered queries\n")
-    print(f"Generated by `tools/plan_report.py` at `{sf}` (static plan, before AQE re-planning; "
-          "`RoundRobin` exchanges come from `spread()` on single-split driver files and vanish at scale).\n")
+    print(f"Generated by `tools/plan_report.py` at `{sf}` (static plan, before AQE re-planning).\n")
     print("| query | shuffles (hash/range/single) | joins | aggregates | windows | pushed filters |")
     print("| --- | --- | --- | --- | --- | --- |")
     for name, fn in sorted(entry.queries().items()):
