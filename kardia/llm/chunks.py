@@ -11,53 +11,81 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 # a space beside other white space (or at an end) is no border
-_BESIDE = re.compile(r"^ | $|\s | \s")
+_BESIDE = r"^ | $|[\s\v\x{1C}-\x{1F}\x{85}\p{Z}] | [\s\v\x{1C}-\x{1F}\x{85}\p{Z}]"
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 
 # chunks of a generation of a worker's memo; it holds two generations at most, which bounds its memory
-REMEMBERED = 250_000
+REMEMBERED = 500_000
+MARKS = ".,"
+FIRST_UNSURE = "\u0530"  # from here on, what is a letter differs between versions of Unicode
 
 
-def split(text: str) -> list[str]:
-    """Chunks of a text; all but the first one follow a space that is not part of them."""
-    if _BESIDE.search(text):
-        return _BORDER.split(text)
-    return text.split(" ")
+def _marked(chunk: str) -> bool:
+    """Whether a chunk is letters and one mark, which the pre-tokenizer parts."""
+    return chunk[-1:] in MARKS and chunk[:-1].isalpha() and (chunk.isascii() or max(chunk) < FIRST_UNSURE)
 
 
 class Memo:
-    """Results of ``encode`` (a list of strings to a list of results) by string.
+    """Ids (little-endian unsigned 32-bit bytes, from ``encode``) by chunk.
 
     Full, a generation becomes the old one and the one before is forgotten;
-    what is met again moves to the young one, so frequent chunks stay.
+    what is met again moves to the young one, so frequent chunks stay. A word with
+    a mark is put together from the ids of both.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = REMEMBERED):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = REMEMBERED):
         self.encode, self.limit, self.young, self.old = encode, limit, {}, {}
+        self.marks = dict(zip(MARKS, encode(list(MARKS))))
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, a batch at a time: its chunks are numbered by Arrow, looked up once each, and gathered by NumPy."""
+        column = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(column, _BESIDE).to_numpy(zero_copy_only=False) if texts else np.zeros(0, bool)
+        even = np.flatnonzero(~odd)
+        lists = pc.split_pattern(column.take(pa.array(even)), " ")
+        chunks = lists.flatten().dictionary_encode()
+        bounds = lists.offsets.to_numpy()
+        codes = chunks.indices.to_numpy().astype(np.int64)
+        # the first chunk of a text follows no space, so it is a case of its own
+        heads = [texts[i].partition(" ")[0] for i in even.tolist()]
+        codes[bounds[:-1]] = len(chunks.dictionary) + np.arange(len(heads))
+        found = self._following(chunks.dictionary.to_pylist()) + self.encode(heads)
+        flat = np.frombuffer(b"".join(found), "<u4")
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        starts = np.cumsum(lengths) - lengths
+        sizes = lengths[codes]
+        ends = np.cumsum(sizes)
+        gathered = flat[np.repeat(starts[codes] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.append(0, ends)[bounds]
+        out: list = [None] * len(texts)
+        for i, a, b in zip(even.tolist(), cuts.tolist(), cuts[1:].tolist()):
+            out[i] = gathered[a:b]
+        for i in np.flatnonzero(odd).tolist():
+            first, *rest = _BORDER.split(texts[i])
+            out[i] = np.frombuffer(self.encode([first])[0] + b"".join(self._following(rest)), "<u4")
+        return out
 
-    def get(self, wanted: set[str]) -> dict[str, object]:
-        """A dictionary that has the results of all wanted strings; good until the next call."""
+    def _following(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that follow a space, in order."""
         if len(self.young) >= self.limit:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing = wanted.difference(young)
-        if old:
-            again = missing.intersection(old)
-            young.update((c, old[c]) for c in again)
-            missing -= again
-        new = list(missing)
-        young.update(zip(new, self.encode(new)))
-        return young
-
+        missing = self._forgotten(set(chunks))
+        marked = [c for c in missing if _marked(c)]
+        new = list(missing.difference(marked) | self._forgotten({c[:-1] for c in marked}))
+        self.young.update(zip(new, self.encode([" " + c for c in new])))
+        self.young.update((c, self.young[c[:-1]] + self.marks[c[-1]]) for c in marked)
+        return list(map(self.young.__getitem__, chunks))
 
-def encode_chunks(memo: Memo, texts: list[str]) -> list[list]:
-    """For each text, the memo's results of its chunks in order (none for an empty text).
-
-    A chunk after the first is looked up with its space, so that all are whole strings.
-    """
-    parts = [split(t) if t else [] for t in texts]
-    wanted = {" " + c for c in set().union(*(p[1:] for p in parts))} | {p[0] for p in parts if p}
-    known = memo.get(wanted)
-    after = {c[1:]: v for c, v in ((w, known[w]) for w in wanted) if c[:1] == " "}
-    return [[known[p[0]], *map(after.__getitem__, p[1:])] if p else [] for p in parts]
+    def _forgotten(self, chunks: set[str]) -> set[str]:
+        """Chunks of neither generation; those of the old one move to the young one."""
+        missing = chunks.difference(self.young)
+        if self.old:
+            again = [c for c in missing if c in self.old]
+            self.young.update((c, self.old[c]) for c in again)
+            missing.difference_update(again)
+        return missing

@@ -13,6 +13,7 @@ sizes of its planes, and the documents (or pieces of them) that lie in it.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
-from kardia.llm.chunks import Memo, encode_chunks
+from kardia.llm.chunks import Memo
 from kardia.llm.common import arrow_schema, bounded_batches, documents, map_rows, ordered_buckets, scratch
 
 CHUNK_IDS = 1 << 16
@@ -61,7 +62,7 @@ def tokenizer_memo(name: str = TOKENIZER) -> Memo:
     tok = Tokenizer.from_file(public_tokenizers.path(name))
 
     def encode(chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
 
     return Memo(encode)
 
@@ -74,7 +75,7 @@ def encode_texts(texts: list[str], name: str = TOKENIZER, end_id: int | None = E
     if name not in _memo:
         _memo[name] = tokenizer_memo(name)
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-    return [b"".join(parts) + end for parts in encode_chunks(_memo[name], texts)]
+    return [ids.tobytes() + end for ids in _memo[name].ids(texts)]
 
 
 class ChunkWriter:

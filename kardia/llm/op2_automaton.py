@@ -22,17 +22,16 @@ from __future__ import annotations
 
 import hashlib
 import json
-from itertools import chain
+from array import array
 
 import regex
 from pyspark.sql import DataFrame
 
-from kardia.llm.chunks import Memo, encode_chunks
+from kardia.llm.chunks import FIRST_UNSURE, Memo
 from kardia.llm.common import documents, map_rows
 
 TOKENIZER = "byte_bpe_50k.json"
 PRE_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-FIRST_UNSURE = "\u0530"
 # words and arcs that one worker remembers; bounds its memory
 REMEMBERED_WORDS = 200_000
 REMEMBERED_ARCS = 300_000
@@ -187,10 +186,10 @@ class Codec:
     def __init__(self, name: str):
         self.automaton = load(name)
         self.decimal = {i: str(i) for i in self.automaton.label}
-        self.chunks = Memo(lambda new: [tuple(self.automaton.encode(c)) for c in new])
+        self.chunks = Memo(lambda new: [array("I", self.automaton.encode(c)).tobytes() for c in new])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [list(chain.from_iterable(parts)) for parts in encode_chunks(self.chunks, texts)]
+        return [ids.tolist() for ids in self.chunks.ids(texts)]
 
     def decimals(self, ids: list[int]) -> str:
         return ",".join(map(self.decimal.__getitem__, ids))
