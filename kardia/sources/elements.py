@@ -51,13 +51,18 @@ def summary_schema(table: Table) -> str:
 
 
 def gpx_schema(src: RouteSource) -> str:
-    """Point attributes ``lat``/``lon`` and child element text by tag name;
-    the tag may also sit under ``<extensions>``."""
+    """Point attributes ``lat``/``lon``, child element text by tag name, and the
+    ``extensions`` block as text: a tag may sit in it at any depth."""
     fields = ["_lat string", "_lon string"]
     tags = [t for t, _, _ in src.columns if t not in ("lat", "lon")]
     fields += [f"`{t}` string" for t in tags]
-    fields.append("extensions struct<" + ", ".join(f"`{t}`: string" for t in tags) + ">")
-    return ", ".join(fields)
+    return ", ".join([*fields, "extensions string"])
+
+
+def _nested(block: Column, tag: str) -> Column:
+    """Text of the first element of this name in a block of XML text, with or without a prefix; NULL if there is none."""
+    found = F.regexp_extract(block, rf"<(?:[\w.-]+:)?{tag}(?:\s[^>]*)?>([^<]*)</", 1)
+    return F.when(found != "", found)
 
 
 def parse_elements(df: DataFrame, xml: Column, schema: str, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
@@ -149,7 +154,7 @@ def extract_route_points(parsed: DataFrame, src: RouteSource, struct_col: str |
         if tag in ("lat", "lon"):
             raw = a(f"_{tag}")
         else:
-            raw = F.coalesce(a(f"`{tag}`"), a(f"extensions.`{tag}`"))
+            raw = F.coalesce(a(f"`{tag}`"), _nested(a("extensions"), tag))
         if dtype == "DATETIME":
             cols += [parse_any_date(raw).alias(col), raw.alias(f"{col}_raw")]
         else:
@@ -240,8 +245,8 @@ def _read(spark: SparkSession, paths, row_tag: str, schema: str, glob: str | Non
                      F.col("_metadata.file_name").alias("file_name"))
 
 
-def scan_gpx(spark: SparkSession, folder: str, src: RouteSource, subject: Column | None = None) -> DataFrame:
-    """A5: every ``<trkpt>`` of the ``*.gpx`` files in a folder, keyed by file name."""
+def scan_gpx(spark: SparkSession, folder: str | list[str], src: RouteSource, subject: Column | None = None) -> DataFrame:
+    """A5: every ``<trkpt>`` of the ``*.gpx`` files in a folder (or of a list of files), keyed by file name."""
     df = _read(spark, folder, TRKPT_TAG, gpx_schema(src), glob=f"*.{src.file_extension}")
     subj = subject if subject is not None else F.lit(None).cast("string")
     return extract_route_points(df.withColumn(SUBJECT, subj), src, keep=(SUBJECT, "file_name"))

@@ -115,3 +115,22 @@ def test_footprint_is_a_listing(spark, tmp):
     r = table_footprint(spark, {"t": path}).first()
     files = [f for f in os.listdir(path) if f.endswith(".parquet")]
     assert r["file_count"] == len(files) and r["bytes"] == sum(os.path.getsize(os.path.join(path, f)) for f in files)
+
+
+def test_side_cars_are_read_once_and_at_any_depth(spark, tmp, monkeypatch):
+    from kardia.plans import ingest
+    m = default_manifest()
+    folder = os.path.join(tmp, "dee", m.routes.folder)
+    os.makedirs(folder)
+    point = '<trkpt lat="47.{0}" lon="8.{0}"><ele>4{0}</ele><time>2024-05-01T10:0{0}:00Z</time>{1}</trkpt>'
+    speeds = ["<speed>1.5</speed>", "<extensions><speed>2.5</speed></extensions>",
+              "<extensions><x:TrackPoint><x:inner><x:speed unit='m'>3.5</x:speed></x:inner></x:TrackPoint></extensions>", ""]
+    with open(os.path.join(folder, "a.gpx"), "w") as f:
+        f.write("<gpx xmlns:x='u'><trk><trkseg>" + "".join(point.format(i, s) for i, s in enumerate(speeds)) + "</trkseg></trk></gpx>")
+    store = TableStore(spark, os.path.join(tmp, "store"), m)
+    table = m.routes.target_table
+    assert ingest.import_external(spark, os.path.join(tmp, "dee"), store, m, subject="dee")[table] == 4
+    assert [r["speed_ms"] for r in store.read(table).orderBy("timestamp").collect()] == [1.5, 2.5, 3.5, None]
+    monkeypatch.setattr(ingest.el, "scan_gpx", lambda *a, **k: 1 / 0)  # nothing is read the second time
+    assert ingest.import_external(spark, os.path.join(tmp, "dee"), store, m, subject="dee")[table] == 0
+    assert ingest.new_files(spark, folder, "gpx", store, table, "eve") and not ingest.new_files(spark, folder, "gpx", store, table, "dee")
