@@ -51,12 +51,20 @@ def word_hashes(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
 
 
 def run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of n words: a polynomial of their hashes modulo 2^64, mixed."""
+    """A hash of each run of n words: a polynomial of their hashes modulo 2^64, put together from runs of 1, 2, 4 ... words, and mixed."""
     m = len(hashes) - n + 1
-    out, power = np.zeros(max(m, 0), np.uint64), np.uint64(1)
-    for i in range(n if m > 0 else 0):
-        out += hashes[i:i + m] * power
-        power = np.uint64(int(power) * int(_BASE) & 0xFFFFFFFFFFFFFFFF)
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    out, done, power = np.zeros(m, np.uint64), 0, 1  # of the first words of each run; base to the number of words done
+    part, size, step = hashes, 1, int(_BASE)  # runs of this size; base to that size
+    while True:
+        if n & size:
+            out += part[done:done + m] * np.uint64(power)
+            done, power = done + size, power * step % (1 << 64)
+        if done == n:
+            break
+        part = part[:-size] + part[size:] * np.uint64(step)
+        size, step = 2 * size, step * step % (1 << 64)
     out ^= out >> np.uint64(32)
     out *= _MIX
     return out ^ out >> np.uint64(29)
@@ -198,9 +206,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     bounded_batches(docs.sparkSession)
     rows = documents(docs, id_col, text_col).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
     texts = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy(F.xxhash64("text"), "text"))).where("n = 1").drop("n")
-    kept = suffixes(rows)
+    kept = materialise(suffixes(rows), "suffixes")
     shared = kept.groupBy("depth_hash").agg(F.min("doc").alias("lowest"), F.max("doc").alias("highest")).where("lowest < highest")
-    found = materialise(kept.join(shared, "depth_hash"), "suffixes")
+    found = materialise(kept.join(shared, "depth_hash"), "suffixes-shared")
     per_text = found.select("doc", F.struct("at", "depth_hash").alias("s")).groupBy("doc").agg(F.collect_list("s").alias("shared"))
     longer = extensions(contexts(texts.join(per_text, "doc")))
     other = F.when(F.col("lowest") < F.col("doc"), F.col("lowest")).otherwise(F.col("highest"))
