@@ -20,22 +20,30 @@ _BESIDE = r"^ | $|[\s\v\x{1C}-\x{1F}\x{85}\p{Z}] | [\s\v\x{1C}-\x{1F}\x{85}\p{Z}
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 
 # chunks of a generation of a worker's memo; it holds two generations at most, which bounds its memory
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 MARKS = ".,"
 FIRST_UNSURE = "\u0530"  # from here on, what is a letter differs between versions of Unicode
 
 
 def _marked(chunk: str) -> bool:
     """Whether a chunk is letters and one mark, which the pre-tokenizer parts."""
-    return chunk[-1:] in MARKS and chunk[:-1].isalpha() and (chunk.isascii() or max(chunk) < FIRST_UNSURE)
+    return len(chunk) > 1 and chunk[-1] in MARKS and chunk[chunk[0] == "\n":-1].isalpha() and (chunk.isascii() or max(chunk) < FIRST_UNSURE)
+
+
+def _lines(chunk: str) -> list[str]:
+    """A chunk cut before its line breaks, which the pre-tokenizer parts; whole if one stands beside other white space."""
+    first, *rest = chunk.split("\n")
+    if not first or first[-1].isspace() or any(not r or r[0].isspace() or r[-1].isspace() for r in rest):
+        return [chunk]
+    return [first, *("\n" + r for r in rest)]
 
 
 class Memo:
     """Ids (little-endian unsigned 32-bit bytes, from ``encode``) by chunk.
 
     Full, a generation becomes the old one and the one before is forgotten;
-    what is met again moves to the young one, so frequent chunks stay. A word with
-    a mark is put together from the ids of both.
+    what is met again moves to the young one, so frequent chunks stay. Words with
+    a mark and chunks of several lines are put together from the ids of their parts.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = REMEMBERED):
@@ -54,7 +62,7 @@ class Memo:
         # the first chunk of a text follows no space, so it is a case of its own
         heads = [texts[i].partition(" ")[0] for i in even.tolist()]
         codes[bounds[:-1]] = len(chunks.dictionary) + np.arange(len(heads))
-        found = self._following(chunks.dictionary.to_pylist()) + self.encode(heads)
+        found = self._following(chunks.dictionary.to_numpy(zero_copy_only=False).tolist()) + self.encode(heads)
         flat = np.frombuffer(b"".join(found), "<u4")
         lengths = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         starts = np.cumsum(lengths) - lengths
@@ -74,12 +82,17 @@ class Memo:
         """Ids of chunks that follow a space, in order."""
         if len(self.young) >= self.limit:
             self.old, self.young = self.young, {}
+        young = self.young
         missing = self._forgotten(set(chunks))
+        lined = {c: lines for c in missing if "\n" in c and len(lines := _lines(c)) > 1}
+        missing.difference_update(lined)
+        missing |= self._forgotten({x for lines in lined.values() for x in lines})
         marked = [c for c in missing if _marked(c)]
         new = list(missing.difference(marked) | self._forgotten({c[:-1] for c in marked}))
-        self.young.update(zip(new, self.encode([" " + c for c in new])))
-        self.young.update((c, self.young[c[:-1]] + self.marks[c[-1]]) for c in marked)
-        return list(map(self.young.__getitem__, chunks))
+        young.update(zip(new, self.encode([c if c[:1] == "\n" else " " + c for c in new])))
+        young.update((c, young[c[:-1]] + self.marks[c[-1]]) for c in marked)
+        young.update((c, b"".join(map(young.__getitem__, lines))) for c, lines in lined.items())
+        return list(map(young.__getitem__, chunks))
 
     def _forgotten(self, chunks: set[str]) -> set[str]:
         """Chunks of neither generation; those of the old one move to the young one."""

@@ -56,15 +56,15 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep Arrow batches small, so a worker holds a few megabytes of text at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] | list[dict]], schema: str | StructType) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] | list[dict]], schema: str | StructType, rows: int = BATCH_ROWS) -> DataFrame:
     """Apply ``fn`` to each Arrow batch of ``df``: columns in, columns (lists or arrays) or a list of rows out."""
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, rows)
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
     arrow = arrow_schema(schema)

@@ -23,15 +23,16 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from kardia.llm.chunks import Memo
-from kardia.llm.common import arrow_schema, bounded_batches, documents, map_rows, ordered_buckets, scratch
+from kardia.llm.common import arrow_schema, bounded_batches, documents, map_rows, materialise, ordered_buckets, scratch
 
 CHUNK_IDS = 1 << 16
+BATCH_ROWS = 1500  # documents encoded together: more share more words
 LEVEL = 3
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 
 CHUNKS = """segment long, chunk long, first long, n_ids long, layout string, plane_bytes array<int>, planes binary,
-            docs array<struct<doc_id:long,start:long,from:long,n:long,piece:long>>"""
+            docs array<struct<doc_id:long,start:long,from:long,n:long,piece:long,last:boolean>>"""
 
 
 def shuffle(ids: np.ndarray, layout: str = "byte") -> list[bytes]:
@@ -91,7 +92,7 @@ class ChunkWriter:
         at, piece, n, start = 0, 0, len(ids) // 4, self.first + self.held
         while at < n:
             take = min(self.size - self.held, n - at)
-            self.docs.append({"doc_id": doc_id, "start": start, "from": self.held, "n": take, "piece": piece})
+            self.docs.append({"doc_id": doc_id, "start": start, "from": self.held, "n": take, "piece": piece, "last": at + take == n})
             self.buffer.append(ids[4 * at:4 * (at + take)])
             self.held, at, piece = self.held + take, at + take, piece + 1
             if self.held == self.size:
@@ -120,7 +121,7 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     Null and empty texts have just the end id. Repeated ids keep all their rows,
     by text. A null id comes first. An empty table writes empty files.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, BATCH_ROWS)
     dealt, bounds = ordered_buckets(documents(docs, id_col, text_col))
     dealt = dealt.repartitionByRange(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "text")
     schema = StructType.fromDDL(CHUNKS)
@@ -160,7 +161,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     offsets = {r.segment: r.before for r in before.toLocalIterator()}
 
     def checksums(cols):
-        out = {c: [] for c in ("doc_id", "start", "piece", "n", "crc")}
+        out = {c: [] for c in ("doc_id", "start", "piece", "n", "crc", "whole")}
         for segment, n_ids, layout, sizes, planes, docs in zip(*(cols[c] for c in ("segment", "n_ids", "layout", "plane_bytes", "planes", "docs"))):
             raw = read_chunk(planes, sizes, n_ids, layout).tobytes()
             for d in docs:
@@ -169,6 +170,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 out["piece"].append(d["piece"])
                 out["n"].append(d["n"])
                 out["crc"].append(zlib.crc32(raw[4 * d["from"]:4 * (d["from"] + d["n"])]))
+                out["whole"].append(d["piece"] == 0 and d["last"])
         return out
 
     def whole(cols):
@@ -181,9 +183,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         return {"doc_id": cols["doc_id"], "start": cols["start"], "n_tokens": [sum(p["n"] for p in ps) for ps in cols["pieces"]], "ids_crc32": crcs}
 
     chunks = spark.read.schema(StructType.fromDDL(CHUNKS)).parquet(f"{path}/chunks")
-    pieces = map_rows(chunks, checksums, "doc_id long, start long, piece long, n long, crc long")
-    by_document = pieces.groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("piece", "n", "crc"))).alias("pieces"))
-    return map_rows(by_document, whole, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    pieces = materialise(map_rows(chunks, checksums, "doc_id long, start long, piece long, n long, crc long, whole boolean"), "planes-read")
+    alone = pieces.where("whole").select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    by_document = pieces.where("NOT whole").groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("piece", "n", "crc"))).alias("pieces"))
+    return alone.unionByName(map_rows(by_document, whole, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
