@@ -24,6 +24,7 @@ import hashlib
 import json
 from array import array
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
@@ -32,9 +33,10 @@ from kardia.llm.common import documents, map_rows
 
 TOKENIZER = "byte_bpe_50k.json"
 PRE_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-# words and arcs that one worker remembers; bounds its memory
-REMEMBERED_WORDS = 200_000
-REMEMBERED_ARCS = 300_000
+# chunks of a generation, words and arcs that one worker remembers; bounds its memory
+REMEMBERED_CHUNKS = 200_000
+REMEMBERED_WORDS = 100_000
+REMEMBERED_ARCS = 200_000
 NEVER = 1 << 62
 
 
@@ -186,10 +188,13 @@ class Codec:
     def __init__(self, name: str):
         self.automaton = load(name)
         self.decimal = {i: str(i) for i in self.automaton.label}
-        self.chunks = Memo(lambda new: [array("I", self.automaton.encode(c)).tobytes() for c in new])
+        self.chunks = Memo(lambda new: [array("I", self.automaton.encode(c)).tobytes() for c in new], REMEMBERED_CHUNKS)
+
+    def arrays(self, texts: list[str]) -> list[np.ndarray]:
+        return self.chunks.ids(texts)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [ids.tolist() for ids in self.chunks.ids(texts)]
+        return [ids.tolist() for ids in self.arrays(texts)]
 
     def decimals(self, ids: list[int]) -> str:
         return ",".join(map(self.decimal.__getitem__, ids))
@@ -207,7 +212,7 @@ def codec(name: str = TOKENIZER) -> Codec:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = TOKENIZER) -> DataFrame:
     """``(doc_id, ids)`` of each row; a null or empty text has no ids. Repeated rows give repeated results."""
     def run(cols):
-        return {"doc_id": cols["doc_id"], "ids": codec(name).encode(cols["text"])}
+        return {"doc_id": cols["doc_id"], "ids": [a.astype(np.int32) for a in codec(name).arrays(cols["text"])]}
 
     return map_rows(documents(docs, id_col, text_col), run, "doc_id long, ids array<int>")
 
@@ -225,11 +230,13 @@ def roundtrip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     def run(cols):
         c = codec(name)
         out = {"doc_id": cols["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
-        for ids in c.encode(cols["text"]):
+        for array_ in c.arrays(cols["text"]):
+            ids = array_.tolist()
             out["n_tokens"].append(len(ids))
             out["ids_sha256"].append(hashlib.sha256(c.decimals(ids).encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(c.automaton.decode(ids).encode()).hexdigest())
-            out["ids"].append(ids)
+            if with_ids:
+                out["ids"].append(array_.astype(np.int32))
         return out
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
