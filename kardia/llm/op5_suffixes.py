@@ -207,7 +207,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = documents(docs, id_col, text_col).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
     texts = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy(F.xxhash64("text"), "text"))).where("n = 1").drop("n")
     kept = materialise(suffixes(rows), "suffixes")
-    shared = kept.groupBy("depth_hash").agg(F.min("doc").alias("lowest"), F.max("doc").alias("highest")).where("lowest < highest")
+    # written, so that the join below has plain exchanges on both sides and a passage that very many documents share can be split
+    shared = materialise(kept.groupBy("depth_hash").agg(F.min("doc").alias("lowest"), F.max("doc").alias("highest")).where("lowest < highest"), "suffixes-common")
     found = materialise(kept.join(shared, "depth_hash"), "suffixes-shared")
     per_text = found.select("doc", F.struct("at", "depth_hash").alias("s")).groupBy("doc").agg(F.collect_list("s").alias("shared"))
     longer = extensions(contexts(texts.join(per_text, "doc")))
