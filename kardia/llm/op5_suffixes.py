@@ -9,7 +9,7 @@ more words of the passage.
 1. Retained suffixes are compared at depth: their first ``DEPTH`` words, as a 64-bit hash.
    Suffixes alone at that depth, or in one document only, are dropped.
 2. The rest are sorted by the words that follow and, apart, by the words that go before
-   (backwards); neighbours in these orders have the longest common extensions. The matches
+   (backwards); the nearest of other documents in these orders have the longest common extensions. The matches
    are extended by them to the right and to the left, up to the next retained place.
 3. Extended matches of a document are united; a united passage of at least ``LEAST`` words is
    reported with its place in the original text.
@@ -156,7 +156,9 @@ def extensions(sides: DataFrame) -> DataFrame:
     """``(doc, at, side, words, char)``: by how many words each suffix's match goes on, on either side, and to where.
 
     Contexts are dealt by suffix, side and first word, for others have nothing in common, and
-    sorted; neighbours of different documents are compared as they stream by.
+    sorted. Each is compared with the nearest one of another document on either side as they stream
+    by: what it has in common with it is the least of what the neighbours between have in common.
+    Only neighbours of one document are held, which are no more than its places.
     """
     tasks = int(sides.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lined = sides.repartition(tasks, "depth_hash", "side", "first").sortWithinPartitions("depth_hash", "side", "words", "doc", "at")
@@ -164,22 +166,36 @@ def extensions(sides: DataFrame) -> DataFrame:
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the row before, with its extension so far
+        held: list[list] = []  # the last rows, all of one document: which row of another one follows is not known yet
         for b in batches:
             cols, done = b.to_pydict(), []
             for doc, at, side, deep, words, chars in zip(*(cols[c] for c in ("doc", "at", "side", "depth_hash", "words", "chars"))):
-                row = [doc, at, side, 0, deep, words, chars]
-                if last is not None:
-                    if last[4] == deep and last[2] == side and last[0] != doc:
-                        n = common_words(last[5], words)
-                        last[3], row[3] = max(last[3], n), n
-                    done.append(last)
-                last = row
+                row = [doc, at, side, 0, words, chars, 0, deep]  # at 3 words common with the nearest row of another document, at 6 with the row before
+                if held:
+                    last = held[-1]
+                    near = last[7] == deep and last[2] == side
+                    n = common_words(last[4], words) if near else 0
+                    if near and last[0] == doc:
+                        row[3], row[6] = min(n, last[3]), n
+                    else:
+                        row[3] = n
+                        done += settled(held, n)
+                        held = []
+                held.append(row)
             yield finished(done)
-        yield finished([last] if last is not None else [])
-
-    def finished(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([{"doc": d, "at": at, "side": side, "words": n, "char": unpacked(chars, side, n, len(words) // 4)} for d, at, side, n, _, words, chars in rows], schema=arrow)
+        yield finished(settled(held, 0))
+
+    def settled(rows: list[list], n: int) -> list[list]:
+        """Rows of one document, of which the last has n words in common with the row of another document that follows."""
+        for row in reversed(rows):
+            row[3] = max(row[3], n)
+            n = min(n, row[6])
+        return rows
+
+    def finished(rows: list[list]) -> pa.RecordBatch:
+        doc, at, side, words = ([r[i] for r in rows] for i in range(4))
+        char = [unpacked(r[5], r[2], r[3], len(r[4]) // 4) for r in rows]
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((doc, at, side, words, char), arrow)], schema=arrow)
 
     return lined.mapInArrow(run, schema)
 

@@ -292,6 +292,19 @@ def test_repeats_of_planted_passages(spark, clashing, no_docs):
     assert op5_suffixes.repeated_passages(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("length", [51, 90])
+def test_repeats_of_a_passage_that_one_document_holds_several_times(spark, length):
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    texts = {}
+    for i in range(12):
+        copies, passage = (2, 3, 10)[i % 3], text(length)
+        texts |= {2 * i: " ".join(f"{text(rng.randrange(5, 40))} {passage}" for _ in range(copies)) + " " + text(30), 2 * i + 1: f"{text(25)} {passage} {text(25)}"}
+    found = op5_suffixes.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    check_repeats(found, texts)
+    assert Counter(r.doc_id for r in found) == Counter({d: (2, 3, 10)[d // 2 % 3] if d % 2 == 0 else 1 for d in texts})
+
+
 # ---- 6: secrets ----------------------------------------------------------------------
 
 def plain_base(x):
