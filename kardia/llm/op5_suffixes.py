@@ -12,11 +12,12 @@ more words of the passage.
    (backwards); the nearest of other documents in these orders have the longest common extensions. The matches
    are extended by them to the right and to the left, up to the next retained place.
 3. Extended matches of a document are united; a united passage of at least ``LEAST`` words is
-   reported with its place in the original text.
+   reported with its place in the original text, and with the classes of its matches: where
+   their words stand in the lowest document that holds them.
 
 Words are those of :mod:`op3_decontaminate`: A-Z lower-cased, without punctuation. Everything
 reported lies in matches of ``DEPTH`` words or more with another document, and every passage
-of ``WINDOW + DEPTH - 1`` = 51 words that two documents share is found.
+of ``WINDOW + DEPTH - 1`` = 51 words that two documents share is found, and links the two by a class.
 """
 
 from __future__ import annotations
@@ -81,10 +82,10 @@ def retained(hashes: np.ndarray) -> np.ndarray:
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """``(doc, at, depth_hash)`` of the retained suffixes of ``docs(doc, text)``."""
+    """``(doc, at, depth_hash, back)`` of the retained suffixes of ``docs(doc, text)``; ``back`` words before is the text's first one with this hash."""
     def run(cols):
         memo: dict[bytes, int] = {}
-        doc, at, deep = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        doc, at, deep, back = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for d, text in zip(cols["doc"], cols["text"]):
             h = word_hashes(words_of(text), memo)
             places = retained(h)
@@ -92,9 +93,11 @@ def suffixes(docs: DataFrame) -> DataFrame:
                 doc += [d] * len(places)
                 at.append(places)
                 deep.append(run_hashes(h, DEPTH)[places])
-        return {"doc": doc, "at": np.concatenate(at).astype(np.int32), "depth_hash": np.concatenate(deep).view(np.int64)}
+                _, first, same = np.unique(deep[-1], return_index=True, return_inverse=True)
+                back.append(places - places[first[same]])
+        return {"doc": doc, "at": np.concatenate(at).astype(np.int32), "depth_hash": np.concatenate(deep).view(np.int64), "back": np.concatenate(back).astype(np.int32)}
 
-    return map_rows(docs, run, "doc long, at int, depth_hash long")
+    return map_rows(docs, run, "doc long, at int, depth_hash long, back int")
 
 
 def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -201,22 +204,50 @@ def extensions(sides: DataFrame) -> DataFrame:
 
 
 def united(matches: list[tuple]) -> list[tuple]:
-    """(first word, end, first char, end, partner) of matches, those that overlap or touch united; the smallest partner stays."""
+    """(first word, end, first char, end, partner, matches) of ``(first word, end, first char, end, partner, at, class_doc, class_at)``.
+
+    Matches that overlap or touch are united; the smallest partner stays.
+    """
     out: list[tuple] = []
-    for a, b, start, end, partner in sorted(matches):
+    for m in sorted(matches):
+        a, b, start, end, partner = m[:5]
         if out and a <= out[-1][1]:
-            _, b0, start0, end0, partner0 = out[-1]
-            out[-1] = (out[-1][0], max(b, b0), min(start, start0), max(end, end0), min(partner, partner0))
+            a0, b0, start0, end0, partner0, own = out[-1]
+            own.append(m)
+            out[-1] = (a0, max(b, b0), min(start, start0), max(end, end0), min(partner, partner0), own)
+        else:
+            out.append((a, b, start, end, partner, [m]))
+    return out
+
+
+def classes(matches: list[tuple]) -> list[dict]:
+    """The runs of a passage's matches whose words stand one after the other in the lowest document that holds them.
+
+    A run that repeats itself within ``DEPTH`` words counts once.
+    """
+    runs: dict[int, list] = {}  # of each class document, the last run: the dict, and the last match's place here and there
+    out = []
+    for _, _, start, end, _, at, doc, place in sorted(matches, key=lambda m: m[5]):
+        run, at0, place0 = runs.get(doc, (None, 0, 0))
+        if run is not None and at - at0 <= DEPTH and place - place0 in (0, at - at0):
+            run["class_words"] = place + DEPTH - run["class_at"]
+            run["start"], run["end"] = min(start, run["start"]), max(end, run["end"])
         else:
-            out.append((a, b, start, end, partner))
+            run = {"class_doc": doc, "class_at": place, "class_words": DEPTH, "start": start, "end": end}
+            out.append(run)
+        runs[doc] = (run, at, place)
     return out
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """``(doc_id, start, end, n_words, partner_id)``: passages that a document shares with another one, in code points.
+    """``(doc_id, start, end, n_words, partner_id, classes)``: passages that a document shares with another one, in code points.
 
     ``partner_id`` is the smallest id of another document with a part of the
-    passage. Null, empty and short texts have none. Rows without an id take no part. Of rows with
+    passage. A passage may join texts that are shared with different documents; ``classes`` lists
+    them. Words ``class_at`` to ``class_at + class_words`` of ``class_doc``, the lowest document that holds
+    them (possibly this one), stand in this document, between ``start`` and ``end``, which
+    are as far as its matches go with any document. Two documents share the words at which their
+    classes of one ``class_doc`` overlap, so every link can be rebuilt from these rows without pairs. Null, empty and short texts have none. Rows without an id take no part. Of rows with
     one id, the one whose text has the smallest hash stands for all.
     """
     bounded_batches(docs.sparkSession)
@@ -224,13 +255,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy(F.xxhash64("text"), "text"))).where("n = 1").drop("n")
     kept = materialise(suffixes(rows), "suffixes")
     # written, so that the join below has plain exchanges on both sides and a passage that very many documents share can be split
-    shared = materialise(kept.groupBy("depth_hash").agg(F.min("doc").alias("lowest"), F.max("doc").alias("highest")).where("lowest < highest"), "suffixes-common")
+    shared = materialise(kept.groupBy("depth_hash").agg(F.min("doc").alias("lowest"), F.max("doc").alias("highest"), F.min_by(F.col("at") - F.col("back"), "doc").alias("place")).where("lowest < highest"), "suffixes-common")
     found = materialise(kept.join(shared, "depth_hash"), "suffixes-shared")
     per_text = found.select("doc", F.struct("at", "depth_hash").alias("s")).groupBy("doc").agg(F.collect_list("s").alias("shared"))
     longer = extensions(contexts(texts.join(per_text, "doc")))
     other = F.when(F.col("lowest") < F.col("doc"), F.col("lowest")).otherwise(F.col("highest"))
-    parts = longer.withColumn("partner", F.lit(None).cast("long")).unionByName(found.select("doc", "at", other.alias("partner")), allowMissingColumns=True)
-    per_doc = parts.groupBy("doc").agg(F.collect_list(F.struct("at", "side", "words", "char", "partner")).alias("parts"))
+    parts = longer.withColumn("partner", F.lit(None).cast("long")).unionByName(found.select("doc", "at", other.alias("partner"), "lowest", "place"), allowMissingColumns=True)
+    per_doc = parts.groupBy("doc").agg(F.collect_list(F.struct("at", "side", "words", "char", "partner", "lowest", "place")).alias("parts"))
 
     def run(cols):
         out = []
@@ -240,9 +271,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 own = list(own)
                 side = {p["side"]: p for p in own if p["side"]}
                 if len(side) == 2:
-                    partner = min(p["partner"] for p in own if p["partner"] is not None)
-                    matches.append((at - side["l"]["words"], at + DEPTH + side["r"]["words"], side["l"]["char"], side["r"]["char"], partner))
-            out += [{"doc_id": doc, "start": start, "end": end, "n_words": b - a, "partner_id": partner} for a, b, start, end, partner in united(matches) if b - a >= least]
+                    partner, lowest, place = min((p["partner"], p["lowest"], p["place"]) for p in own if p["partner"] is not None)
+                    matches.append((at - side["l"]["words"], at + DEPTH + side["r"]["words"], side["l"]["char"], side["r"]["char"], partner, at, lowest, place))
+            out += [{"doc_id": doc, "start": start, "end": end, "n_words": b - a, "partner_id": partner, "classes": classes(own)}
+                    for a, b, start, end, partner, own in united(matches) if b - a >= least]
         return out
 
-    return map_rows(per_doc, run, "doc_id long, start long, end long, n_words long, partner_id long")
+    return map_rows(per_doc, run, "doc_id long, start long, end long, n_words long, partner_id long, "
+                    "classes array<struct<class_doc:long,class_at:int,class_words:int,start:long,end:long>>")

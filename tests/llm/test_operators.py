@@ -305,6 +305,34 @@ def test_repeats_of_a_passage_that_one_document_holds_several_times(spark, lengt
     assert Counter(r.doc_id for r in found) == Counter({d: (2, 3, 10)[d // 2 % 3] if d % 2 == 0 else 1 for d in texts})
 
 
+def test_repeats_keep_each_link(spark):
+    """Documents that share an article behind a header that many hold are linked by the article, too."""
+    rng = random.Random(10)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    header, articles = text(60), [text(70), text(51)]
+    texts = {i: f"{header} {text(40)}" for i in (1, 3, 20, 21, 22)} | {5: f"{header} {articles[0]}", 9: f"{header} {articles[0]} {text(9)}", 6: f"{header} {articles[1]}", 30: f"{header} {articles[1]}"}
+    texts |= {40: text(20) + " a b" * 300, 41: text(20) + " a b" * 200}  # a text that repeats itself is one passage of one class
+    found = op5_suffixes.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    check_repeats(found, texts)
+    words = {d: op5_suffixes.words_of(t) for d, t in texts.items()}
+    held, links = {}, {}
+    for r in found:
+        for c in r.classes:
+            run = words[c.class_doc][c.class_at:c.class_at + c.class_words]
+            assert len(run) == c.class_words and b" ".join(run) in b" ".join(op5_suffixes.words_of(texts[r.doc_id][c.start:c.end])) and r.start <= c.start < c.end <= r.end
+            for w in range(c.class_at, c.class_at + c.class_words):
+                held.setdefault((c.class_doc, w), set()).add(r.doc_id)
+    for (doc, w), docs in held.items():
+        for a in docs:
+            for b in docs - {a}:
+                links.setdefault((a, b), set()).add(words[doc][w])
+    assert all((a, b) in links for a in texts for b in texts if a != b and max(a, b) < 40)
+    for article, (a, b) in zip(articles, ((5, 9), (6, 30))):
+        own = set(op5_suffixes.words_of(article))
+        assert len(links[a, b] & own) >= 30 and not any(links[p] & own for p in links if set(p) != {a, b})
+    assert [len(r.classes) for r in found if r.doc_id >= 40] == [1, 1]
+
+
 # ---- 6: secrets ----------------------------------------------------------------------
 
 def plain_base(x):
