@@ -1,8 +1,10 @@
 """Secret scans: base patterns, and dictionary-primed zstandard novelty for what they miss.
 
 Base spans are matches of three patterns (assignments, access keys, long hex runs).
-Beyond them, a candidate is a run of key characters in which letter cases and digits mix, and
-which stands near a sensitive word, in the same line. Its novelty is the number of bytes by which it lengthens
+Beyond them, a candidate is a run of key characters that stands near a sensitive word: shortly
+before it, also in the lines above, or behind it in its line; of ``NAME=value`` the value is the
+candidate and the name its context, and a run that follows another one after a line break (a key in
+several lines) is near what that is near. Its novelty is the number of bytes by which it lengthens
 the compressed surrounding code: zstandard, primed with a dictionary of common
 identifiers, compresses the text around the candidate with and without it. Names, paths
 and repetitions cost little; a candidate that costs nearly its whole
@@ -25,12 +27,14 @@ LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24  # characters
 LEAST_CANDIDATE = 16  # characters
 MIXED = 0.25  # changes between lower case, upper case and digits, per character of a candidate
 NOVEL = 0.8  # marginal bytes per byte of the candidate
-REACH = 64  # characters before a candidate in which a sensitive word stands
+LONG, IN_LONG = 128, 0.7  # a longer candidate shapes the code that compresses it; marginal bytes per byte beyond that length
+REACH = 64  # characters before and behind a candidate in which a sensitive word stands
 AROUND = 256  # characters of surrounding code on either side
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{%d,}" % LEAST_HEX)  # a run is taken whole, so the least length can be in the pattern
+BREAK = re.compile(r"""(?:\s|\\[nrt]|["'+,\\])+""")  # between the lines of one value
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_CANDIDATE)
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -74,6 +78,22 @@ def changes(word: str) -> int:
     return sum(a != b for a, b in zip(kinds, kinds[1:]) if a and b)
 
 
+def value_start(text: str, start: int, end: int) -> int:
+    """Where the value of ``NAME=value`` begins in a run of key characters; its start if it holds no such name."""
+    while (cut := text.find("=", start, end)) >= 0 and text[cut:end].strip("="):
+        name = text[start:cut]
+        if changes(name) >= MIXED * len(name) and not any(w in name.lower() for w in SENSITIVE):
+            break
+        start = cut + 1
+    return start
+
+
+def sensitive(text: str, run: int, start: int, end: int) -> bool:
+    """Whether a sensitive word stands before the candidate, with its name from ``run`` on, or behind it in its line."""
+    before, behind = text[max(0, run - REACH):start].lower(), text[end:end + REACH].partition("\n")[0].lower()
+    return any(w in before or w in behind for w in SENSITIVE)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base patterns' matches, ascending; kinds as places in :data:`KINDS`."""
     found = []
@@ -94,20 +114,42 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], threshold: float =
         return []
     found, known, k = [], sorted((a, b) for a, _, b in base), 0
     reached = 0  # largest end of the base spans that start before the candidate ends
+    lines: list[tuple[int, int, bool]] = []  # candidates that follow one another, and whether a base span touches them
+    near = False  # whether they stand near a sensitive word
+
+    def settle() -> None:
+        """Measure the candidates in what surrounds them all: other lines of one key say nothing about the cost of a line."""
+        for start, end, touched in lines if near else ():
+            if not touched and novel(text[start:end], text[max(0, lines[0][0] - AROUND):lines[0][0]], text[lines[-1][1]:lines[-1][1] + AROUND], threshold):
+                found.append((start, 3, end))
+
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
         while k < len(known) and known[k][0] < end:
             reached = max(reached, known[k][1])
             k += 1
-        word = m[0]
-        if reached > start or changes(word) < MIXED * len(word):
+        start = value_start(text, start, end)
+        if end - start < LEAST_CANDIDATE:
             continue
-        context = text[max(0, start - REACH):start].rpartition("\n")[2].lower()
-        if any(w in context for w in SENSITIVE) and _novelty(text, start, end) >= threshold * len(word):
-            found.append((start, 3, end))
+        if not (lines and BREAK.fullmatch(text, lines[-1][1], start)):
+            settle()
+            lines, near = [], False
+        if not near and sensitive(text, m.start(), start, end):
+            settle()
+            lines, near = [], True
+        lines.append((start, end, reached > start))
+    settle()
     return found
 
 
+def novel(word: str, before: str, after: str, threshold: float = NOVEL) -> bool:
+    """Whether a candidate is incompressible in its surroundings."""
+    if changes(word) < MIXED * len(word):
+        return False
+    least = threshold * min(len(word), LONG) + IN_LONG * max(0, len(word) - LONG)
+    return marginal_bytes(word, before, after) >= least
+
+
 def spans(text: str) -> list[tuple[int, int, int]]:
     base = base_spans(text)
     return sorted(base + novel_spans(text, base))
