@@ -8,14 +8,18 @@ several lines) is near what that is near. Its novelty is the number of bytes by
 the compressed surrounding code: zstandard, primed with a dictionary of common
 identifiers, compresses the text around the candidate with and without it. Names, paths
 and repetitions cost little; a candidate that costs nearly its whole
-length is incompressible and is reported as ``novel``.
+length is incompressible and is reported as ``novel``. A candidate in which letter cases and digits
+hardly mix is plain: as zstandard cannot tell a long word from random letters, its letters
+must also cost, by the pairs of letters in known words, what random ones cost.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from functools import lru_cache
+from math import log2
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -25,8 +29,10 @@ from kardia.llm.common import documents, map_rows
 KINDS = ("assign", "access", "hex", "novel")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24  # characters
 LEAST_CANDIDATE = 16  # characters
-MIXED = 0.25  # changes between lower case, upper case and digits, per character of a candidate
+MIXED = 0.25  # changes between lower case, upper case and digits, per character; a candidate with fewer is plain
 NOVEL = 0.8  # marginal bytes per byte of the candidate
+PLAIN = 0.5  # marginal bytes per byte of a plain candidate, whose letters need less than a byte
+PLAIN_BITS = log2(26)  # bits per character of a plain candidate by the letters of known words: no less than letters at random
 LONG, IN_LONG = 128, 0.7  # a longer candidate shapes the code that compresses it; marginal bytes per byte beyond that length
 REACH = 64  # characters before and behind a candidate in which a sensitive word stands
 AROUND = 256  # characters of surrounding code on either side
@@ -53,6 +59,27 @@ IDENTIFIERS = ("abstract account application array assert async attribute author
                "sequence server service session setting signature source static status storage stream string struct suffix super switch system table "
                "target template test this thread throw time timestamp token transaction true type undefined unique update upload url user username uuid "
                "value variable vector version void while window worker write www xml yaml")
+# and frequent words, which show how letters follow one another
+COMMON = ("about above account action after again against all almost alone along already also although always among amount another answer anything "
+          "appear area around because become before began behind being believe below between beyond both bring brought build business called came "
+          "cannot carry cause center century certain change children city close come common community company complete condition consider continue "
+          "control could country course decide develop different difference direction discover during early earth economic education effect effort "
+          "either energy enough especially even evening every example experience explain family father feeling field figure finally first follow "
+          "force foreign forward friend from general give government great ground group growth happen hard have head health hear heart heavy help "
+          "here high history hold home hour house however human hundred idea important include increase indeed industry influence information "
+          "inside instead interest international issue itself kind knowledge language large later lead learn leave less letter level light likely "
+          "listen little living local long made make making many material matter maybe mean measure meeting member method middle might mind minute "
+          "modern money month moral morning mother mountain move much music must name nation national natural near necessary need never nothing "
+          "notice number office often once open operation order other outside over paper part particular party past pattern people perhaps period "
+          "person physical picture piece place plan plant play point political population position possible power practice present president "
+          "pressure probably problem produce product program provide purpose quality question quickly quite rather reach ready reason receive "
+          "recent record relation religion remain report research responsible result return right river road room school science second section "
+          "seem sense serve several shall short should show side simple since single situation size small social society something sometimes soon "
+          "sort sound south special spirit stand start state station still stop story street strength strong structure student study such sudden "
+          "suggest support sure surface system table take teacher tell term than that their them theory there therefore these they thing think "
+          "those though thought thousand through time today together toward trade training travel tree true trying turn under understand union "
+          "university until usually various very view voice walk want watch water week weight well were western what when where whether which "
+          "while white whole whose wide will wind window winter within without woman wonder word work world would write written year young")
 
 _PRIMED = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
@@ -94,6 +121,32 @@ def sensitive(text: str, run: int, start: int, end: int) -> bool:
     return any(w in before or w in behind for w in SENSITIVE)
 
 
+@lru_cache(maxsize=1)
+def _followers() -> dict[str, float]:
+    """Bits of a letter behind another one, or at the beginning of a word (behind a space), in known words."""
+    pairs = Counter(x + y for w in f"{IDENTIFIERS} {COMMON}".split() for x, y in zip(" " + w, w))
+    firsts = Counter()
+    for pair, n in pairs.items():
+        firsts[pair[0]] += n
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return {x + y: -log2((pairs[x + y] + 0.5) / (firsts[x] + 13)) for x in " " + letters for y in letters}
+
+
+def letter_bits(word: str) -> float:
+    """Bits of a candidate by the letters of known words; a digit has those of a digit, where letters and digits meet six."""
+    bits, last, table = 0.0, " ", _followers()
+    for i, c in enumerate(word):
+        if c.isdigit():
+            bits, last = bits + (log2(10) if last == "0" else 6), "0"
+        elif c.isalpha():
+            if c.isupper() and i and word[i - 1].islower():
+                last = " "
+            bits, last = bits + (6 if last == "0" else table[last + c.lower()]), c.lower()
+        else:
+            bits, last = bits + 3, " "
+    return bits
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base patterns' matches, ascending; kinds as places in :data:`KINDS`."""
     found = []
@@ -145,7 +198,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], threshold: float =
 def novel(word: str, before: str, after: str, threshold: float = NOVEL) -> bool:
     """Whether a candidate is incompressible in its surroundings."""
     if changes(word) < MIXED * len(word):
-        return False
+        return letter_bits(word) >= PLAIN_BITS * len(word) and marginal_bytes(word, before, after) >= PLAIN * len(word)
     least = threshold * min(len(word), LONG) + IN_LONG * max(0, len(word) - LONG)
     return marginal_bytes(word, before, after) >= least
 

@@ -386,6 +386,19 @@ def test_secrets_of_several_lines():
     assert not op6_secrets.novel_spans(text.replace("PRIVATE KEY", "PICTURE"), [])
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", BASE64])
+@pytest.mark.parametrize("before", ["bearer: ", "the text of a letter that goes on for a while, and at last comes to the passphrase "])
+def test_secrets_of_any_alphabet(alphabet, before):
+    found = [op6_secrets.novel_spans(before + key + " end", []) == [(len(before), 3, len(before) + 32)] for key in random_keys(200, alphabet, 32)]
+    assert sum(found) >= 198
+
+
+def test_names_are_no_secrets():
+    for name in ("counterrevolutionaries", "internationalization", "get_user_credentials_from_session", "DJANGO_SETTINGS_MODULE",
+                 "src/main/java/com/example/app", "AWS_SECRET_ACCESS_KEY", "Wissenschaftsministerium", "aaaaaaaaaaaaaaaaaaaaaaaa", "xyqzxyqzxyqzxyqzxyqzxyqz"):
+        assert not op6_secrets.novel_spans(f"bearer: {name} end", []), name
+
+
 # ---- 7: SimHash -----------------------------------------------------------------------
 
 def plain_simhash(text):
