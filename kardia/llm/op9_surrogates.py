@@ -1,8 +1,9 @@
 """PII: keyed surrogates that keep an entity's type, format, script and gender.
 
-Detected entities are e-mail addresses, IPv4 addresses, card numbers, phone numbers, social
-security numbers, IBANs, and names of persons (after a title, or a known given name
-before a family name). Each is replaced by a surrogate of the same kind:
+Detected entities are e-mail addresses, IPv4 and IPv6 addresses, card numbers, phone numbers, social
+security numbers, IBANs, and names of persons: after a title, a known given name
+before a family name, two capitalised words after words such as "my name is", and family names
+alone in a document that introduces them. Each is replaced by a surrogate of the same kind:
 
 * digits and letters go through a keyed permutation of all strings of the same length,
   alphabets and format (a Feistel network of keyed BLAKE2 rounds). A permutation maps
@@ -31,37 +32,96 @@ from kardia.llm.common import documents, map_rows, rewrite_texts
 
 ROUNDS = 8
 KEY_SETTING = "spark.kardia.surrogate.key"  # the key; whoever runs the job sets it, the default is for tests
-KINDS = ("email", "iban", "ssn", "ip", "card", "phone", "name")
+KINDS = ("email", "iban", "ssn", "ip", "ip6", "card", "phone", "name")
 
 # FIXED VALUES: given names by gender and script, and titles by gender
 GIVEN = {
-    ("f", "latin"): ("Alice", "Barbara", "Caroline", "Charlotte", "Christine", "Claudia", "Emily", "Francesca", "Gabriela", "Hannah", "Isabelle", "Jennifer",
-                     "Katharina", "Margaret", "Michelle", "Natalie", "Patricia", "Rebecca", "Stephanie", "Veronica"),
-    ("m", "latin"): ("Alexander", "Benjamin", "Charles", "Christopher", "Dominic", "Edward", "Frederick", "Gabriel", "Jonathan", "Joseph", "Lawrence", "Leonardo",
-                     "Matthew", "Michael", "Nicholas", "Patrick", "Sebastian", "Theodore", "Vincent", "William"),
+    ("f", "latin"): tuple(("Ada Adele Agnes Aisha Alexandra Alice Alicia Alina Alison Amanda Amelia Amy Ana Anastasia Andrea Angela Angelina Anita Anja "
+                     "Ann Anna Anne Annette Annie Antonia Ashley Astrid Audrey Barbara Beate Beatrice Beatriz Bella Bernadette Betty Birgit Brenda "
+                     "Bridget Britta Camila Carla Carmen Carol Carolina Caroline Catherine Cecilia Celine Charlene Charlotte Chloe Christina "
+                     "Christine Cindy Claire Clara Claudia Colette Cristina Cynthia Dagmar Daniela Danielle Deborah Debra Denise Diana Diane "
+                     "Dolores Donna Doris Dorothy Edith Eileen Elaine Eleanor Elena Elisa Elisabeth Elizabeth Ella Ellen Elsa Emily Emma Erika "
+                     "Esther Eva Evelyn Fatima Fiona Florence Frances Francesca Franziska Frieda Gabriela Gabriele Georgina Gerda Gisela Giulia "
+                     "Gloria Greta Gudrun Hannah Heather Heidi Heike Helen Helena Helga Hilda Ida Ilse Ines Inge Ingrid Irene Irina Iris Isabel "
+                     "Isabella Isabelle Jacqueline Jana Jane Janet Janice Jasmine Jean Jeanne Jennifer Jenny Jessica Jill Joan Joanna Johanna "
+                     "Josephine Joyce Juana Judith Judy Julia Juliana Julie Juliette Karen Karin Karla Kate Katharina Katherine Kathleen Kathryn "
+                     "Katja Kelly Kerstin Kimberly Kirsten Kristina Lara Laura Lauren Lea Lena Leonie Linda Lisa Lorraine Louise Lucia Lucy Luisa "
+                     "Lydia Magdalena Manuela Margaret Margarete Margarita Maria Mariana Marie Marina Marion Marlene Marta Martha Martina Mary "
+                     "Mathilde Maureen Megan Melanie Melissa Mercedes Mia Michelle Miriam Monica Monika Monique Nadia Nadine Nancy Naomi Natalie "
+                     "Natasha Nicole Nina Nora Olga Olivia Pamela Paola Patricia Paula Pauline Petra Pilar Priya Rachel Ramona Rebecca Regina "
+                     "Renate Rita Roberta Rosa Rosemary Ruth Sabine Sabrina Sally Samantha Sandra Sara Sarah Sharon Sheila Shirley Silke Silvia "
+                     "Simone Sofia Sonia Sonja Sophia Sophie Stephanie Susan Susanne Suzanne Sylvia Tamara Tanja Tara Teresa Theresa Tina Ulrike "
+                     "Ursula Ute Valentina Valeria Valerie Vanessa Vera Veronica Victoria Viola Virginia Vivian Wanda Wendy Wilma Yolanda Yvonne "
+                     "Zoe").split()),
+    ("m", "latin"): tuple(("Aaron Abdul Abraham Achim Adam Adrian Ahmed Alan Albert Alberto Alejandro Alessandro Alex Alexander Alfonso Alfred Ali Allan "
+                     "Allen Alvin Andre Andreas Andres Andrew Andy Angelo Anthony Anton Antonio Arnold Arthur Arturo Axel Barry Benedict Benjamin "
+                     "Bernard Bernd Bernhard Bill Björn Bob Boris Brandon Brian Bruce Bruno Bryan Carl Carlos Charles Christian Christopher Claude "
+                     "Claudio Clemens Colin Craig Curtis Dale Damian Dan Daniel Dario Darren Dave David Dean Dennis Derek Diego Dieter Dietmar Dirk "
+                     "Dominic Donald Douglas Duncan Dylan Earl Edgar Edmund Eduardo Edward Edwin Elias Emil Emilio Enrique Eric Erich Erik Ernest "
+                     "Ernst Ethan Eugene Evan Fabian Felipe Felix Ferdinand Fernando Florian Francesco Francis Francisco Franco Frank Franz Fred "
+                     "Frederick Friedrich Fritz Gabriel Gary Geoffrey Georg George Gerald Gerard Gerhard Gilbert Giorgio Giovanni Giuseppe Glenn "
+                     "Gordon Graham Greg Gregor Gregory Guido Guillermo Gustav Günter Günther Hans Harald Harold Harry Hassan Heinrich Heinz Helmut "
+                     "Henri Henrik Henry Herbert Hermann Horst Howard Hubert Hugo Ian Ibrahim Ignacio Igor Isaac Ivan Jack Jacob Jacques Jaime Jake "
+                     "Jakob James Jamie Jan Jason Javier Jeff Jeffrey Jens Jeremy Jerome Jerry Jesse Jim Jimmy Joachim Joe Joel Johann Johannes "
+                     "John Johnny Jon Jonathan Jorge Jose Josef Joseph Joshua José Juan Julian Julio Justin Jürgen Kai Karl Keith Ken Kenneth Kevin "
+                     "Klaus Konrad Konstantin Kurt Kyle Larry Lars Lawrence Leo Leon Leonard Leonardo Lewis Liam Lothar Louis Luca Lucas Luis Lukas "
+                     "Luke Malcolm Manfred Manuel Marc Marcel Marco Marcus Mario Markus Martin Marvin Mathias Matthew Matthias Maurice Max "
+                     "Maximilian Michael Miguel Mike Mohamed Mohammed Moritz Nathan Neil Nicholas Nick Nicolas Niels Nigel Nils Noah Norbert Norman "
+                     "Olaf Oliver Omar Oscar Oskar Otto Pablo Paolo Pascal Patrick Paul Pedro Peter Phil Philip Philipp Phillip Pierre Rafael "
+                     "Rainer Ralf Ralph Ramon Raphael Raul Ray Raymond Reinhard Reinhold Ricardo Riccardo Richard Rick Rob Robert Roberto Robin "
+                     "Rodney Rodrigo Roger Roland Rolf Roman Ron Ronald Ross Rudolf Rupert Russell Ryan Salvador Sam Samuel Santiago Scott Sean "
+                     "Sebastian Sergio Siegfried Simon Stanley Stefan Stefano Stephan Stephen Steve Steven Stewart Stuart Sven Ted Terry Theo "
+                     "Theodore Thomas Thorsten Tim Timothy Tobias Todd Tom Tommy Tony Tyler Udo Ulrich Uwe Valentin Victor Viktor Vincent Vincenzo "
+                     "Vladimir Volker Walter Warren Wayne Werner Wesley Wilhelm William Wolfgang Xavier Yusuf Zachary").split()),
     ("f", "cyrillic"): ("Анастасия", "Екатерина", "Елена", "Людмила", "Мария", "Наталья", "Ольга", "Светлана", "Татьяна", "Юлия"),
     ("m", "cyrillic"): ("Александр", "Алексей", "Владимир", "Дмитрий", "Евгений", "Михаил", "Николай", "Сергей", "Фёдор", "Юрий"),
     ("f", "greek"): ("Αικατερίνη", "Βασιλική", "Ελένη", "Μαρία", "Σοφία"),
     ("m", "greek"): ("Αλέξανδρος", "Γεώργιος", "Δημήτριος", "Κωνσταντίνος", "Νικόλαος"),
 }
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
+# words after which two capitalised words are a person's name, particles of family names, and capitalised words that are hardly a name by themselves
+CONTEXTS = ("my name is", "name is", "name:", "contact:", "contact person:", "author:", "signed,", "signed:", "signed by", "regards,", "sincerely,", "attn:", "attention:", "patient:",
+            "patient", "employee:", "customer:", "mein name ist", "ich heiße", "me llamo", "je m'appelle")
+PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "la", "le", "ter", "zu", "bin", "al")
+COMMON = ("Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December "
+          "The This That These Those And But Or If In On At To From For With By He She It They We You Is Was Has Had Will Would Said Says").split()
 RESERVED = ("example.com", "example.net", "example.org")  # domains that no one owns: they may stay
 
 _GROUP_OF = {n: k for k, names in GIVEN.items() for n in names}
-_CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆ-Ώ][a-zß-öø-ÿа-яёα-ωά-ώ]+"
-_FAMILY = rf"{_CAPITAL}(?:-{_CAPITAL})?"
+_OTHER_LATIN = "āăąćĉċčďđēĕėęěĝğġģĥħĩīĭįĵķĺļľłńņňōŏőŕŗřśŝşšţťŧũūŭůűųŵŷźżžœ"
+_CAPITAL = rf"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆ-Ώ{_OTHER_LATIN.upper()}][a-zß-öø-ÿа-яёα-ωά-ώ{_OTHER_LATIN}]+"
+_FAMILY = rf"(?:{'|'.join(PARTICLES)})(?:[ ](?:{'|'.join(PARTICLES)}))*[ ]{_CAPITAL}(?:-{_CAPITAL})?|(?:Mc|Mac|[OD]['’])?{_CAPITAL}(?:-{_CAPITAL})?"
+_HEX = "[0-9A-Fa-f]{1,4}"
+
+
+def _any_of(words) -> str:
+    """A pattern of words, dealt by their first two letters, so that few are tried at a place; the longest is taken."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(words, key=lambda w: (-len(w), w)):
+        heads.setdefault(w[:2], []).append(re.escape(w[2:]))
+    firsts: dict[str, list[str]] = {}
+    for head, tails in heads.items():
+        firsts.setdefault(head[0], []).append(f"{head[1:]}(?:{'|'.join(tails)})")
+    return "(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in firsts.items()) + ")"
+
+
+_GIVEN = rf"{_any_of(_GROUP_OF)}(?:-{_any_of(_GROUP_OF)})?(?:[ ]{_any_of(_GROUP_OF)}(?=[ ]{_CAPITAL}))?(?:[ ][A-Z]\.?)?"
+_CONTEXT = rf"(?i:\b(?:{'|'.join(map(re.escape, CONTEXTS))}))\s+"
 PATTERN = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})"
     r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
     r"|(?P<ip>(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9]))"
-    r"|(?P<card>(?<![0-9A-Za-z-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9A-Za-z-]))"
-    r"|(?P<phone>(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9]))"
-    rf"|(?P<name>\b(?:(?:{'|'.join(TITLES)})\.?[ ](?:(?:{'|'.join(_GROUP_OF)})[ ])?{_FAMILY}|(?:{'|'.join(_GROUP_OF)})[ ]{_FAMILY}))")
+    rf"|(?P<ip6>(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*[0-9])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![0-9A-Za-z:]|\.[0-9]))"
+    r"|(?P<card>(?<![0-9A-Za-z-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9A-Za-z-]))"
+    r"|(?P<phone>(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
+    r"|[2-9][0-9]{2}[ ][0-9]{3}[ ][0-9]{4}|(?=(?:[0-9][ /-]?){9,12}(?![0-9]|[ ][0-9]))0[0-9]{1,4}[ /-][0-9]{2,8}(?:[ ][0-9]{2,4}){0,4})(?![0-9]))"
+    rf"|(?P<name>\b(?:(?:{'|'.join(TITLES)})\.?[ ](?:{_GIVEN}[ ](?:{_FAMILY})|(?:{_FAMILY})(?:[ ](?!(?:{'|'.join(COMMON)})\b)(?:{_FAMILY}))?)|{_GIVEN}[ ](?:{_FAMILY})))"
+    rf"|(?:{_CONTEXT})(?P<named>{_CAPITAL}(?:-{_CAPITAL})?(?:[ ][A-Z]\.?)?[ ](?!(?:{'|'.join(COMMON)})\b)(?:{_FAMILY}))")
 
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _SCRIPTS = {"latin": _LOWER, "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "greek": "αβγδεζηθικλμνξοπρστυφχψω",
-            "latin accents": "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "greek accents": "άέήίόύώ"}
+            "other latin": _OTHER_LATIN, "latin accents": "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "greek accents": "άέήίόύώ"}
 
 
 def _round(key: bytes, tweak: str, r: int, half: int, size: int) -> int:
@@ -158,12 +218,38 @@ def _ip(key: bytes, text: str) -> str:
     return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
 
 
+_HEX_ALPHABETS = {"digits": "0123456789abcdef", "lower": "0123456789abcdef", "upper": "0123456789ABCDEF", "both": "0123456789abcdefABCDEF"}
+
+
+def _hex_kind(text: str) -> str:
+    lower, upper = text != text.upper(), text != text.lower()
+    return "both" if lower and upper else "lower" if lower else "upper" if upper else "digits"
+
+
+def _ip6(key: bytes, text: str) -> str:
+    """Hex digits change, their number and case and the colons stay; an address spelt in two ways counts as two."""
+    kind = _hex_kind(text)
+    alphabet, form = _HEX_ALPHABETS[kind], re.sub("[^:]", "f", text)
+    digits, new = [c for c in text if c != ":"], text
+    value, n = 0, len(alphabet)
+    for c in digits:
+        value = value * n + alphabet.index(c)
+    while new == text or _hex_kind(new) != kind:  # walked until it is of the kind again
+        value = move(key, f"ip6|{kind}|{form}", value, n ** len(digits))
+        it = iter([alphabet[value // n ** i % n] for i in reversed(range(len(digits)))])
+        new = "".join(c if c == ":" else next(it) for c in text)
+    return new
+
+
 def _phone(key: bytes, text: str) -> str:
-    """The country code stays; all other digits change."""
-    m = re.match(r"\+[0-9]{1,3}(?=[ .(-])", text)
+    """The country code, or the 0 of a national number, stays; all other digits change."""
+    m = re.match(r"\+[0-9]{1,3}(?=[ .(-])|0", text)
     head = m[0] if m else ""
-    digits = "".join(c for c in text[len(head):] if c.isdigit())
-    return head + _refill(text[len(head):], keep_format(key, f"phone|{head}", digits))
+    new = text[len(head):]
+    while True:
+        new = _refill(new, keep_format(key, f"phone|{head}", "".join(c for c in new if c.isdigit())))
+        if head or new[0] != "0":
+            return head + new
 
 
 def _email(key: bytes, text: str) -> str:
@@ -178,22 +264,33 @@ def _email(key: bytes, text: str) -> str:
     return f"{keep_format(key, 'box', box)}@{new}"
 
 
+def _unlisted(key: bytes, word: str) -> str:
+    """A word of the same form that is no listed given name and no title."""
+    while (word := keep_format(key, "family", word)) in _GROUP_OF or word in TITLES:
+        pass
+    return word
+
+
 def _name(key: bytes, text: str) -> str:
     words = text.split(" ")
     out = []
-    for w in words:
-        if w.rstrip(".") in TITLES:
+    for i, w in enumerate(words):
+        if w.rstrip(".") in TITLES or w in PARTICLES:
             out.append(w)
-        elif w in _GROUP_OF and len(out) < len(words) - 1:
+        elif i == len(words) - 1:
+            out.append(keep_format(key, "family", w))
+        elif w in _GROUP_OF:
             names = GIVEN[_GROUP_OF[w]]
             out.append(names[move(key, f"given|{_GROUP_OF[w]}", names.index(w), len(names))])
         else:
-            out.append(keep_format(key, "family", w))
+            out.append(_unlisted(key, w))
     return " ".join(out)
 
 
-_MAKERS = {"email": _email, "iban": _iban, "ssn": lambda k, t: keep_format(k, "ssn", t), "ip": _ip, "card": _card, "phone": _phone, "name": _name}
-_DIGITS = re.compile(r"[0-9]{3}|[0-9]\.[0-9]")
+_MAKERS = {"email": _email, "iban": _iban, "ssn": lambda k, t: keep_format(k, "ssn", t), "ip": _ip, "ip6": _ip6, "card": _card, "phone": _phone, "name": _name}
+_DIGITS = re.compile(r"[0-9]{2}|[0-9]\.[0-9]|::|[0-9A-Fa-f]:[0-9A-Fa-f]")
+_ALONE = re.compile(rf"(?<![\w-])(?:Mc|Mac|[OD]['’])?{_CAPITAL}(?:-{_CAPITAL})?(?![\w-])")
+_INTRODUCED = re.compile(_CONTEXT)
 _CAPITALS = re.compile(_CAPITAL)
 _NAME_WORDS = frozenset([*TITLES, *_GROUP_OF])
 
@@ -207,9 +304,22 @@ class Surrogates:
 
     def find(self, text: str) -> list[tuple[str, int, int]]:
         """(kind, start, end) of the entities of a text, in code points, from left to right."""
-        if "@" not in text and not _DIGITS.search(text) and _NAME_WORDS.isdisjoint(_CAPITALS.findall(text)):
+        if "@" not in text and not _DIGITS.search(text) and _NAME_WORDS.isdisjoint(_CAPITALS.findall(text)) and not _INTRODUCED.search(text):
             return []
-        return [(m.lastgroup, *m.span()) for m in PATTERN.finditer(text)]
+        found = [("name" if m.lastgroup == "named" else m.lastgroup, *m.span(m.lastgroup)) for m in PATTERN.finditer(text)]
+        families = {text[a:b].rpartition(" ")[2] for kind, a, b in found if kind == "name"}.difference(COMMON)
+        if families:  # they also stand alone
+            taken = iter([*found, ("", len(text), len(text))])
+            alone, (_, a, b) = [], next(taken)
+            for m in _ALONE.finditer(text):
+                if m[0] not in families:
+                    continue
+                while b <= m.start() and b < len(text):
+                    _, a, b = next(taken)
+                if m.end() <= a or m.start() >= b:
+                    alone.append(("name", *m.span()))
+            found = sorted(found + alone, key=lambda f: f[1])
+        return found
 
     def replace(self, text: str) -> tuple[str, list[tuple[str, str, str]]]:
         """The text with surrogates, and (kind, entity, surrogate) of each occurrence."""

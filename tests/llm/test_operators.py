@@ -569,6 +569,33 @@ def test_surrogates_keep_type_and_format():
     assert op9_surrogates.Surrogates(b"other").replace(text)[0] != new
 
 
+def test_surrogates_of_names_beyond_titles_and_of_other_formats():
+    s = op9_surrogates.Surrogates(KEY)
+    names = ["John Smith", "Maria Garcia", "Anna Schmidt", "Robert Jones", "John McDonald", "Mary Jane Watson", "Peter J. O'Brien", "Ludwig van Dyck".replace("Ludwig", "Jan"),
+             "Ms Zorbla Kimson", "Anna Wiśniewska"]
+    for name in names:
+        assert [(k, e) for k, e, _ in s.replace(f"then {name} came.")[1]] == [("name", name)]
+    new, made = s.replace("My name is Zorbla Kimson. Ms Keller met Anna Schmidt. Later Keller's car hit Schmidt, and Kimson saw it; Kellerman did not.")
+    assert [e for _, e, _ in made] == ["Zorbla Kimson", "Ms Keller", "Anna Schmidt", "Keller", "Schmidt", "Kimson"] and "Kellerman" in new
+    by = {e: x for _, e, x in made}
+    assert by["Keller"] == by["Ms Keller"].split()[1] and by["Schmidt"] == by["Anna Schmidt"].split()[1] and by["Kimson"] == by["Zorbla Kimson"].split()[1]
+    for kind, entity in (("card", "3782 822463 10005"), ("card", "3782-822463-10005"), ("ip6", "2001:db8:85a3::8a2e:370:7334"), ("ip6", "FE80::1"), ("ip6", "::1"), ("ip6", "2001:0db8:0000:0000:0000:ff00:0042:8329"),
+                         ("phone", "020 7946 0958"), ("phone", "06 12 34 56 78"), ("phone", "0171 5551234"), ("phone", "417 555 7077")):
+        new, made = s.replace(f"see {entity}.")
+        assert [(k, e) for k, e, _ in made] == [(kind, entity)] and entity not in new
+        assert [(k, e) for k, e, _ in s.replace(new)[1]] == [(kind, made[0][2])]
+    assert not s.replace("At 12:30 std::vector of a::b, and The United Nations met in New York on 2024-01-15.")[1]
+
+
+def test_surrogates_of_given_names_and_addresses_are_distinct():
+    assert len(op9_surrogates._GROUP_OF) == sum(map(len, op9_surrogates.GIVEN.values())) == len({n for names in op9_surrogates.GIVEN.values() for n in names})
+    for form in ("::%x", "::%X", "1::%x"):
+        addresses = {form % i for i in range(256)}
+        assert len({op9_surrogates._ip6(KEY, a) for a in addresses}) == len(addresses)
+    numbers = [f"{i:03d}-555-1234" for i in range(1000)]
+    assert len({op9_surrogates._phone(KEY, n) for n in numbers}) == 1000
+
+
 def test_surrogates_are_distinct(spark, edge_docs, clashing, no_docs):
     rng = random.Random(6)
     texts = [f"call +1 ({rng.randrange(200, 999)}) 555-{rng.randrange(10000):04d} or {rng.randrange(256)}.1.2.{rng.randrange(256)} {rng.choice('abc')}{rng.choice('abc')}.1@mail{rng.randrange(9)}.example.com" for _ in range(400)]
