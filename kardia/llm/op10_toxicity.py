@@ -147,12 +147,14 @@ def held_out(id_col="doc_id"):
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> DataFrame:
     """``(doc_id, text, label)`` of at most ``sample`` labelled rows outside the held-out fold, by the smallest hash of the id.
 
-    The ids and labels are at most ``sample`` rows of two numbers, so they are broadcast.
+    The ids and labels are at most ``sample`` rows of two numbers, so they are broadcast. Of rows with
+    one id, the one whose text has the smallest hash is taken.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     # an id labelled twice counts once, with its smaller label
     chosen = known.where(~held_out()).groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return documents(docs).where("doc_id IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    rows = documents(docs).where("doc_id IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")).select("doc_id", "least.text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:

@@ -513,6 +513,17 @@ def test_training_rows_leave_the_fold_out(edge_docs, spark):
     assert len({r.doc_id for r in op10_toxicity.training_rows(edge_docs, labels, "toxic", sample=3).collect()}) == 3
 
 
+def test_training_rows_are_one_of_each_id(spark):
+    docs = spark.createDataFrame([(i % 4 + 1, f"text {i}") for i in range(400)] + [(1, None)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 5)], "doc_id long, quality int, toxic int")
+    rows = op10_toxicity.training_rows(docs, labels, "toxic").collect()
+    want = {i: [] for i in range(1, 5) if not held_out(i)}
+    for r in docs.where("text IS NOT NULL OR doc_id = 1").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect():
+        if r.doc_id in want:
+            want[r.doc_id].append((r.h, r.text))
+    assert sorted((r.doc_id, r.text, r.label) for r in rows) == sorted((i, min(found)[1], 0) for i, found in want.items())
+
+
 def test_grammar_weighs_clauses():
     grammar = op10_toxicity.Grammar()
     weight = lambda t: sum(op10_toxicity.clauses(grammar, t, {})[0])
