@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kardia.llm import op1_planes, op2_automaton, op3_decontaminate, op4_chunks, op5_suffixes, op6_secrets, op7_simhash, op8_quality, op9_surrogates, op10_toxicity
+from kardia.llm import op1_planes, op2_automaton, op3_decontaminate, op4_chunks, op5_suffixes, op6_secrets, op7_simhash, op8_quality, op9_surrogates, op10_toxicity, op11_merkle, oracles
 from kardia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,12 @@ def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_toxicity.score(docs, op10_toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@register
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proofs of all documents, checked after tampering with half of them."""
+    return op11_merkle.tamper_test(table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -100,3 +106,5 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+ORACLES["op11_merkle_manifest"] = oracles.merkle()
