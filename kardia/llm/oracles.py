@@ -63,3 +63,15 @@ above AS (SELECT f.* EXCLUDE (i, c), 0 AS one, s.i AS si, s.h AS subroot FROM {f
 {top_folds}
 SELECT doc_id, leaf, subroot, r.h AS root, sha256(sib) AS proof_sha256, fold AS folded_root, fold = r.h AS verified
 FROM {done}, (SELECT h FROM {root}) r"""
+
+
+WINDOWS = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT r, i, w[i:i + 34] AS k FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+again AS (SELECT k FROM wins GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS place FROM wins WHERE k IN (SELECT k FROM again)),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY place) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (r, place) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kardia.llm import op1_planes, op2_automaton, op3_decontaminate, op4_chunks, op5_suffixes, op6_secrets, op7_simhash, op8_quality, op9_surrogates, op10_toxicity, op11_merkle, oracles
+from kardia.llm import op1_planes, op2_automaton, op3_decontaminate, op4_chunks, op5_suffixes, op6_secrets, op7_simhash, op8_quality, op9_surrogates, op10_toxicity, op11_merkle, op12_windows, oracles
 from kardia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_merkle.tamper_test(table(spark, sf_dir, "documents"))
 
 
+@register
+def op12_window_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of windows that occur elsewhere, too."""
+    left = op12_windows.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -108,3 +115,4 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 ORACLES["op11_merkle_manifest"] = oracles.merkle()
+ORACLES["op12_window_doubling"] = oracles.WINDOWS

@@ -1,12 +1,15 @@
 """Operators 11 to 13 against plain versions, and on edge cases."""
 
 import hashlib
+import random
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kardia.llm import op11_merkle, queries
+from kardia.llm import op11_merkle, op12_windows, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -96,3 +99,68 @@ def test_merkle_copies_of_one_row_are_spread(spark):
     ranks = op11_merkle.ranked(op11_merkle.leaves(docs).withColumnRenamed("leaf", "h"), ["doc_id", "h"])
     assert sorted(r["rank"] for r in ranks.select("rank").collect()) == list(range(3000))
     assert rows_of(op11_merkle.tamper_test(docs), *MERKLE) == plain_manifest(docs.collect())
+
+
+# ---- 12: repeated windows ----------------------------------------------------
+
+def plain_windows(rows, length):
+    texts = [((r.text or "").encode().split(), r.doc_id) for r in rows]
+    seen = Counter(tuple(w[i:i + length]) for w, _ in texts for i in range(len(w) - length + 1))
+    out = []
+    for w, doc_id in texts:
+        gone = set()
+        for i in range(len(w) - length + 1):
+            if seen[tuple(w[i:i + length])] > 1:
+                gone.update(range(i, i + length))
+        runs = [(i, min(j for j in range(i, len(w) + 1) if j not in gone)) for i in sorted(gone) if i - 1 not in gone]
+        out.append((doc_id, len(w), len(gone), runs, b" ".join(x for i, x in enumerate(w) if i not in gone).decode()))
+    return sorted(out, key=repr)
+
+
+def window_rows(df):
+    return sorted(((r.doc_id, r.n_words, r.n_removed, [tuple(x) for x in r.removed], r.kept) for r in df.collect()), key=repr)
+
+
+def test_windows_query_equals_plain_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = plain_windows(docs.collect(), 35)
+    assert window_rows(op12_windows.remove_repeats(docs)) == want
+    assert sum(r[2] > 0 for r in want) > 10
+    got = rows_of(queries.op12_window_doubling(spark, SF), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(((d, n, g, sha(k)) for d, n, g, _, k in want), key=repr)
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 8, 35])
+def test_windows_on_random_texts(spark, length):
+    """Few words, so that windows repeat in one text, overlap themselves, and share anchors with others."""
+    rng = random.Random(length)
+    pool = [" ".join(rng.choice("abcde") * rng.randint(1, 2) for _ in range(90)) for _ in range(6)]
+    texts = []
+    for i in range(60):
+        cut = rng.choice(pool).split()
+        a, n = rng.randrange(80), rng.randint(1, 60)
+        own = [f"w{rng.randrange(1 << 30)}" for _ in range(rng.randint(0, 30))]
+        texts.append(" ".join(own + cut[a:a + n] + own[:3] + ["x"] * rng.randint(0, 40)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert window_rows(op12_windows.remove_repeats(docs, length)) == plain_windows(docs.collect(), length)
+
+
+def test_windows_edges(spark, edge_docs, no_docs, clashing, monkeypatch):
+    """Null and empty texts, repeated rows, one id with two texts, no rows, extra columns; long texts hashed in slices."""
+    base = edge_docs.unionByName(spark.createDataFrame([(7, " ".join(f"v{i}" for i in range(40)), "en", "s", 1), (70, " ".join(f"v{i}" for i in range(3, 44)), "en", "s", 1)], edge_docs.schema))
+    want = plain_windows(base.collect(), 35)
+    assert window_rows(op12_windows.remove_repeats(base)) == want
+    assert {(r[0], r[2]) for r in want} >= {(7, 37), (70, 37)}
+    assert window_rows(op12_windows.remove_repeats(clashing)) == plain_windows(edge_docs.collect(), 35)
+    assert op12_windows.remove_repeats(no_docs).count() == 0
+
+
+def test_window_spans_in_slices():
+    """Spans cut at the slices' borders still hold each window once."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 1 << 60, 500, dtype=np.uint64)
+    text = np.repeat([0, 1, 2], [30, 300, 170])
+    for length in (1, 2, 5, 35):
+        found = op12_windows.spans_in(words, text, length)
+        places = sorted(int(i) for a, n in zip(found["first"], found["n_win"]) for i in range(a, a + n))
+        assert places == [i for i in range(500 - length + 1) if text[i] == text[i + length - 1]]
