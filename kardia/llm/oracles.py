@@ -75,3 +75,30 @@ kept AS (SELECT r, string_agg(word, ' ' ORDER BY place) AS kept, count(*) AS n F
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (r)
 """
+
+
+def variants() -> str:
+    """Near words by what is left when one letter is deleted: at the same place of both (replaced), or of the longer one only."""
+    text = "doc_id || ':' || run"
+    bytes_list = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST(('0x' || substr(hex(encode({text})), 2 * i + 1, 2)) AS BIGINT))"
+    letters = chr(0xC0) + "-" + chr(0xFF)
+    return f"""
+WITH RECURSIVE runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id, run, count(*) AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z{letters}]+')) AS run FROM documents)
+  GROUP BY ALL),
+sums AS (SELECT run, k, {crc32(bytes_list)} AS h FROM runs, {CRC_TABLE}),
+counts AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM sums)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+cuts AS (SELECT word, n, p, substr(word, 1, p) || substr(word, p + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS p FROM counts)),
+near AS (SELECT DISTINCT * FROM (
+    SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+    UNION ALL SELECT a.word, a.n, b.word, b.n FROM cuts a JOIN counts b ON a.rest = b.word
+    UNION ALL SELECT b.word, b.n, a.word, a.n FROM cuts a JOIN counts b ON a.rest = b.word)),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS form, max(other_n) AS form_n FROM near GROUP BY word),
+forms AS (SELECT c.word, c.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n
+  FROM counts c LEFT JOIN best USING (word)),
+follow AS (SELECT word, word AS root FROM forms
+  UNION ALL SELECT f.word, g.form FROM follow f JOIN forms g ON g.word = f.root WHERE g.form IS NOT NULL),
+ends AS (SELECT f.word, f.root FROM follow f JOIN forms g ON g.word = f.root WHERE g.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kardia.llm import op1_planes, op2_automaton, op3_decontaminate, op4_chunks, op5_suffixes, op6_secrets, op7_simhash, op8_quality, op9_surrogates, op10_toxicity, op11_merkle, op12_windows, oracles
+from kardia.llm import op1_planes, op2_automaton, op3_decontaminate, op4_chunks, op5_suffixes, op6_secrets, op7_simhash, op8_quality, op9_surrogates, op10_toxicity, op11_merkle, op12_windows, op13_variants, oracles
 from kardia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,12 @@ def op12_window_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@register
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words of the vocabulary of all documents, and the spellings that they are variants of."""
+    return op13_variants.variants(op13_variants.vocabulary(table(spark, sf_dir, "documents")))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -116,3 +122,4 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
 
 ORACLES["op11_merkle_manifest"] = oracles.merkle()
 ORACLES["op12_window_doubling"] = oracles.WINDOWS
+ORACLES["op13_spelling_variants"] = oracles.variants()

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kardia.llm import op11_merkle, op12_windows, queries
+from kardia.llm import op11_merkle, op12_windows, op13_variants, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -145,8 +146,8 @@ def test_windows_on_random_texts(spark, length):
     assert window_rows(op12_windows.remove_repeats(docs, length)) == plain_windows(docs.collect(), length)
 
 
-def test_windows_edges(spark, edge_docs, no_docs, clashing, monkeypatch):
-    """Null and empty texts, repeated rows, one id with two texts, no rows, extra columns; long texts hashed in slices."""
+def test_windows_edges(spark, edge_docs, no_docs, clashing):
+    """Null and empty texts, repeated rows, one id with two texts, no rows, extra columns."""
     base = edge_docs.unionByName(spark.createDataFrame([(7, " ".join(f"v{i}" for i in range(40)), "en", "s", 1), (70, " ".join(f"v{i}" for i in range(3, 44)), "en", "s", 1)], edge_docs.schema))
     want = plain_windows(base.collect(), 35)
     assert window_rows(op12_windows.remove_repeats(base)) == want
@@ -164,3 +165,91 @@ def test_window_spans_in_slices():
         found = op12_windows.spans_in(words, text, length)
         places = sorted(int(i) for a, n in zip(found["first"], found["n_win"]) for i in range(a, a + n))
         assert places == [i for i in range(500 - length + 1) if text[i] == text[i + length - 1]]
+
+
+# ---- 13: spelling variants ---------------------------------------------------
+
+def plain_near(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    if len(a) > len(b):
+        a, b = b, a
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def plain_vocabulary(rows):
+    words = Counter()
+    for r in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", r.text or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if r.doc_id is None else r.doc_id}:{run}".encode())
+            if h % 97 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            words[run] += 1
+    return {w: n for w, n in words.items() if len(w) >= 5 and n >= 3}
+
+
+def plain_variants(words):
+    cuts = {}
+    for w in words:  # near words leave the same letters somewhere
+        for k in {w, *(w[:i] + w[i + 1:] for i in range(len(w)))}:
+            cuts.setdefault(k, set()).add(w)
+    near = {w: set() for w in words}
+    for group in cuts.values():
+        for w in group:
+            near[w] |= {v for v in group if v not in near[w] and plain_near(w, v)}
+    form = {}
+    for w, n in words.items():
+        best = min(near[w], key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best is not None and words[best] >= 2 * n else None
+    out = []
+    for w, n in words.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n, len(near[w]), words[form[w]] if form[w] else None))
+    return sorted(out, key=repr)
+
+
+VARIANT = ["word", "form", "root", "n", "n_near", "form_n"]
+
+
+def test_variants_query_equals_plain_version(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    want = plain_variants(plain_vocabulary(rows))
+    assert rows_of(queries.op13_spelling_variants(spark, SF), *VARIANT) == want
+    assert sum(r[1] is not None for r in want) > 20
+
+
+@pytest.mark.parametrize("block", [3, 40, 4096])
+def test_variants_of_dense_words(spark, block):
+    """Words of few letters, lengths from 1 on, near each other in many ways; groups of one and of many blocks."""
+    rng = random.Random(block)
+    words = {"".join(rng.choice("abé" if rng.random() < 0.9 else "ÿ÷x") for _ in range(rng.randint(1, 9))): rng.randint(1, 60) for _ in range(500)}
+    got = op13_variants.variants(spark.createDataFrame(list(words.items()), "word string, n long").repartition(4), block)
+    assert rows_of(got, *VARIANT) == plain_variants(words)
+
+
+def test_variants_follow_long_chains(spark):
+    """Each form is twice as frequent and one letter on: eleven steps to the root."""
+    chain = {"abcdefghijkl"[:i] + "zyxwvutsrqpo"[i:]: 2 ** i for i in range(13)}
+    got = op13_variants.variants(spark.createDataFrame(list(chain.items()), "word string, n long"))
+    assert {r.root for r in got.collect()} == {"abcdefghijkl"}
+
+
+def test_variants_edges(spark, edge_docs, no_docs, clashing):
+    """Null ids and texts, repeated rows, no rows, extra columns."""
+    want = plain_variants(plain_vocabulary(edge_docs.collect()))
+    assert rows_of(op13_variants.variants(op13_variants.vocabulary(edge_docs)), *VARIANT) == want
+    assert rows_of(op13_variants.variants(op13_variants.vocabulary(clashing)), *VARIANT) == want
+    assert op13_variants.variants(op13_variants.vocabulary(no_docs)).count() == 0
+
+
+def test_position_index_equals_brute_force():
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(1, 7))) for _ in range(150)})
+    index = op13_variants.PositionIndex(words)
+    for m in range(1, 8):
+        queries_ = [w for w in words if len(w) == m]
+        got = {(queries_[q], words[w]) for q, w in zip(*index.near(queries_))}
+        assert got == {(q, w) for q in queries_ for w in words if plain_near(q, w)}
