@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from kardia.llm.common import arrow_schema, bounded_batches, documents, map_rows, materialise
+from kardia.llm.common import arrow_schema, bounded_batches, discard, documents, map_rows, materialise
 
 LENGTH = 35  # words of a window
 SLICE = 1 << 18  # words, and bytes times 4, that are hashed at a time; bounds a worker's memory on long texts
@@ -200,9 +200,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``(k1, k2, at, n_win)`` of ``docs(k1, k2, doc_id, text)``: each of the ``n_win`` windows from word ``at`` on occurs elsewhere, too."""
-    found = materialise(spans(docs, length), "window-spans")
-    again = found.groupBy("quarter").agg(F.count("*").alias("c")).where("c > 1").select("quarter")
-    found = materialise(found.join(again, "quarter", "left_semi"), "window-quarters")
+    every = materialise(spans(docs, length), "window-spans")
+    # a written look-up side lets Spark split a skewed quarter's rows on the other
+    again = materialise(every.groupBy("quarter").agg(F.count("*").alias("c")).where("c > 1").select("quarter"), "window-again")
+    found = materialise(every.join(again, "quarter", "left_semi"), "window-quarters")
+    discard(every, again)
     distinct = materialise(distinct_spans(found), "window-distinct")
     left = materialise(met(halves(distinct), ["forth", "half"]), "window-halves")
     whole = found.join(distinct.where("n > 1").select("quarter", "span"), ["quarter", "span"], "left_semi").select("k1", "k2", "at", "n_win")
