@@ -53,16 +53,17 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete the scratch tables behind DataFrames of :func:`materialise` that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
