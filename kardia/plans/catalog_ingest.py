@@ -16,7 +16,9 @@ from kardia.plans.store import TableStore
 from kardia.session import scratch_dir
 from kardia.sources import records as rec
 
-# ---- A1 record scan (parse the chunks the '<Record ' split produces) --------
+# ---- A1 record scan ---------------------------------------------------------
+
+FILES = 8  # of a rendered export
 
 
 @register("record_scan", f"""WITH {R}
@@ -25,8 +27,11 @@ SELECT {HK_TYPE} AS type, 'user-' || CAST(user_id AS VARCHAR) AS source_name,
        {VALUE_TEXT} AS value
 FROM R""")
 def record_scan(spark: SparkSession, sf: str):
-    chunks = bridge.record_chunks(bridge.event_records(spark, sf))
-    parsed, _ = rec.split_quarantine(rec.parse_record_chunks(chunks))
+    """A1: the records of export files of several splits, read a tag a row."""
+    path = f"{scratch_dir(spark, 'records')}/export"
+    chunks = bridge.record_chunks(bridge.event_records(spark, sf).repartition(FILES))
+    chunks.select(F.concat(F.lit("<Record"), F.col("chunk"))).write.text(path)
+    parsed, _ = rec.split_quarantine(rec.scan_records(spark, path))
     return parsed.select("type", "source_name",
                          normalize_date(F.col("creation_date_raw")).alias("creation_date"),
                          normalize_date(F.col("start_date_raw")).alias("start_date"),
@@ -34,19 +39,21 @@ def record_scan(spark: SparkSession, sf: str):
 
 
 @register("quarantine_split", f"""WITH {R}
-SELECT event_id, CASE WHEN event_type = 'error' THEN 'bad' ELSE 'good' END AS part FROM R""")
+SELECT user_id, CASE WHEN event_type = 'error' THEN 'bad' ELSE 'good' END AS part, count(*) AS n FROM R GROUP BY 1, 2""")
 def quarantine_split(spark, sf):
-    """Error events are rendered with a broken start tag (no closing '>');
+    """Error events are written with a broken start tag (no closing '>');
     they land in quarantine, the rest parse."""
-    recs = bridge.event_records(spark, sf, keep=("event_type",))
+    path = f"{scratch_dir(spark, 'broken')}/export"
+    recs = bridge.event_records(spark, sf, keep=("event_type",)).repartition(FILES)
     chunks = bridge.record_chunks(recs, keep=("event_type",))
     broken = F.when(F.col("event_type") == "error", F.regexp_replace(F.col("chunk"), ">", "")) \
               .otherwise(F.col("chunk"))
-    # keep event_id through the parse as a passthrough column
-    parsed = rec.parse_record_chunks(chunks.select("event_id", broken.alias("chunk")))
-    good, bad = rec.split_quarantine(parsed)
-    return good.select("event_id", F.lit("good").alias("part")).unionByName(
-        bad.select("event_id", F.lit("bad").alias("part")))
+    chunks.select(F.concat(F.lit("<Record"), broken)).write.text(path)
+    good, bad = rec.split_quarantine(rec.scan_records(spark, path))
+    user = F.regexp_extract("raw", 'sourceName="user-([0-9]+)', 1)
+    parts = good.select(F.regexp_extract("source_name", "user-([0-9]+)", 1).cast("long").alias("user_id"), F.lit("good").alias("part")).unionByName(
+        bad.select(user.cast("long").alias("user_id"), F.lit("bad").alias("part")))
+    return parts.groupBy("user_id", "part").agg(F.count("*").alias("n"))
 
 
 # ---- B1–B3 routing ----------------------------------------------------------
@@ -192,17 +199,3 @@ def new_files_only(spark, sf):
                               F.date_format("ts", "yyyyMMdd"), F.lit(".gpx")).alias("file_name"), "ts")
     done = files.filter(F.col("ts") < F.lit("2024-01-15 00:00:00").cast("timestamp")).select("file_name")
     return dedupe.new_rows_only(files.select("file_name").distinct(), done, ["file_name"])
-
-
-@register("ingest_counts", f"""WITH {R}
-SELECT {TABLE_OF} AS table_name, count(*) AS mapped,
-       count(DISTINCT sha256({TABLE_OF} || {COLUMN_OF} || {iso('ts')} || {iso('te')} || {VALUE_TEXT})) AS inserted
-FROM R GROUP BY 1""")
-def ingest_counts(spark, sf):
-    """C3 + K8: mapped elements per table before dedupe, and inserted after."""
-    routed = bridge.routed_records(spark, sf).select("table_name", "uuid", "event_id")
-    mapped = routed.groupBy("table_name").agg(F.count(F.lit(1)).alias("mapped"))
-    kept = dedupe.dedupe_first_wins(routed, ["uuid"], order_cols=["event_id"])
-    inserted = kept.groupBy("table_name").agg(F.count(F.lit(1)).alias("inserted"))
-    return mapped.join(inserted, "table_name", "left").select(
-        "table_name", "mapped", F.coalesce("inserted", F.lit(0)).alias("inserted"))

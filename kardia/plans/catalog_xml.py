@@ -15,7 +15,9 @@ from kardia.manifest import default_manifest
 from kardia.plans import bridge
 from kardia.plans.catalog_analytics import ts_str
 from kardia.plans.registry import register
+from kardia.session import scratch_dir
 from kardia.sources import elements as el
+from kardia.sources import tags
 
 # FIXED VALUES (bridge): line-item return flag -> workout statistic type,
 # line status -> workout metadata key.
@@ -93,14 +95,11 @@ SELECT strftime(st, '%Y-%m-%d %H:%M:%S') || ' +0000' AS session_id, 'HKWorkoutAc
   o_orderpriority AS avg_mets, o_orderstatus || '%' AS humidity, strftime(st, '%Y-%m-%d %H:%M:%S') AS start_date
 FROM O LEFT JOIN S ON S.l_orderkey = O.o_orderkey""")
 def workout_scan(spark, sf):
-    """A2 through the splittable path: each workout sits in a text chunk the
-    ``<Record `` split yields (after a record's attributes), is cut out of it
-    and parsed."""
-    m = default_manifest()
-    x = workout_xml(spark, sf)
-    chunks = x.select(F.concat(F.lit('type="HKQuantityTypeIdentifierHeartRate" value="1"/>\n '),
-                               F.col("xml"), F.lit("\n ")).alias("chunk"))
-    rows = el.workouts_from_chunks(chunks, m, keep=())
+    """A2 through the splittable path: an export of workouts, written as files of several splits, is read
+    a tag a row, and its workouts are regrouped and parsed."""
+    path = f"{scratch_dir(spark, 'workouts')}/export"
+    workout_xml(spark, sf).select("xml").write.text(path)
+    rows = el.scan_elements(spark, path, default_manifest(), tags.WORKOUT_TAG)
     return ts_str(rows.select("session_id", "activity_type", "duration_minutes", "source_name", "route_file",
                               "active_calories", "basal_calories", "distance_cycling", "distance_walking",
                               "avg_mets", "humidity", "start_date"))
@@ -190,9 +189,9 @@ def summary_scan(spark, sf):
                    F.lit(' activeEnergyBurned="'), _dec(F.col("o_totalprice") / 100, 4),
                    F.lit('" activeEnergyBurnedGoal="500" appleExerciseTime="'), (F.col("o_custkey") % 90).cast("string"),
                    F.lit('"/>'))
-    chunks = o.select(F.concat(F.lit('type="HKQuantityTypeIdentifierStepCount" value="1"/>\n '), xml,
-                               F.lit("\n</HealthData>\n")).alias("chunk"))
-    rows = el.summaries_from_chunks(chunks, default_manifest(), keep=())
+    path = f"{scratch_dir(spark, 'summaries')}/export"
+    o.select(xml.alias("value")).write.text(path)
+    rows = el.scan_elements(spark, path, default_manifest(), tags.SUMMARY_TAG)
     return ts_str(rows.select("date", "active_energy", "active_energy_goal", "exercise_time", "stand_hours", "start_date"))
 
 

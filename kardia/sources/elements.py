@@ -1,8 +1,8 @@
 """A2, A3, A5, B4–B7, B18 — element-level XML sources.
 
-``<Workout>``, ``<ActivitySummary>`` and GPX ``<trkpt>`` elements are read
-with Spark's XML source (``rowTag``) under an explicit schema generated from
-the manifest; the same schema parses element text with ``from_xml``. All
+``<Workout>`` and ``<ActivitySummary>`` elements come from the tag scan (:mod:`kardia.sources.tags`) as
+text and are parsed by ``from_xml`` under an explicit schema generated from
+the manifest; GPX ``<trkpt>`` elements are read with Spark's XML source (``rowTag``). All
 extraction is column expressions on the parsed struct:
 
 * attributes -> columns (one attribute may feed several columns);
@@ -21,10 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from kardia.functions.dates import parse_any_date, parse_export_date
 from kardia.functions.scalars import base_name, typed_cast
 from kardia.manifest import SUBJECT, Manifest, RouteSource, Table
+from kardia.sources import tags
 
-# FIXED VALUES: element / attribute names of the export format.
-WORKOUT_TAG = "Workout"
-SUMMARY_TAG = "ActivitySummary"
+# FIXED VALUES: element / attribute names of the formats.
 TRKPT_TAG = "trkpt"
 DATE_ATTRIBUTES = ("creationDate", "startDate", "endDate")
 SUMMARY_DATE_ATTRIBUTE = "dateComponents"
@@ -162,78 +161,31 @@ def extract_route_points(parsed: DataFrame, src: RouteSource, struct_col: str |
     return parsed.select(*cols)
 
 
-# ---- elements cut from the splittable text scan -------------------------------
-
-_START_TAG = r"""^([^"'>]*+(?:(?:"[^"]*+"|'[^']*+')[^"'>]*+)*+)>"""
-
-
-def element_texts(chunks: DataFrame, tag: str, chunk_col: str = "chunk",
-                  keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """Every ``<tag …>…</tag>`` / ``<tag …/>`` element found in text chunks.
-
-    The chunks come from the ``<Record `` text split, which Hadoop splits at
-    any offset — unlike the XML source, which reads a whole file in one task.
-    Only chunks containing the tag are exploded (one row per element; a
-    workout's text is bounded by its children). ``xml`` is NULL for an element
-    that is cut off by the end of the file; ``raw`` is its text, for quarantine."""
-    c = F.col(chunk_col)
-    pieces = F.split(c, rf"<{tag}(?=[\s/>])")
-    x = chunks.filter(c.contains(f"<{tag}")).select(
-        *keep, F.posexplode(pieces).alias("_pos", "_piece")).filter(F.col("_pos") > 0)
-    p = F.col("_piece")
-    head = F.regexp_extract(p, _START_TAG, 1)
-    closed = F.regexp_extract(p, rf"(?s)^(.*?</{tag}\s*>)", 1)
-    xml = (F.when(head.rlike(r"/\s*$"), F.concat(F.lit(f"<{tag}"), head, F.lit(">")))
-           .when(closed != "", F.concat(F.lit(f"<{tag}"), closed)))
-    return x.select(*keep, xml.alias("xml"), F.concat(F.lit(f"<{tag}"), p).alias("raw"))
-
-
-# bytes of one element's chunk, at most; what stands before a file's first element is longer and is skipped unread
-MAX_ELEMENT_BYTES = 1 << 28
-
-
-def read_element_chunks(spark: SparkSession, paths: str | list[str], tag: str) -> DataFrame:
-    """The file as text split at ``<tag ``: one chunk per element, read by as many tasks as the file has splits.
-
-    The file's part before its first element (all its records) passes by unread."""
-    df = (spark.read.option("lineSep", f"<{tag} ").option("recursiveFileLookup", "true")
-          .option("mapreduce.input.linerecordreader.line.maxlength", str(MAX_ELEMENT_BYTES)).text(paths))
-    value = F.col("value")
-    return df.filter(value.rlike(r"^\s*[A-Za-z_:][\w:.-]*\s*=")).select(
-        F.concat(F.lit(f"<{tag} "), value).alias("chunk"), F.col("_metadata.file_path").alias("file_path"))
-
-
-def element_counts(chunk: Column, tag: str) -> list[Column]:
-    """Chunks with an element of this tag, and chunks with one whose name isn't followed by a space (not split there)."""
-    return [F.count_if(chunk.rlike(rf"<{tag}[\s/>]")).alias(tag), F.count_if(chunk.rlike(rf"<{tag}[\t\r\n/>]")).alias(f"{tag}__odd")]
-
-
-def workouts_from_chunks(chunks: DataFrame, manifest: Manifest, chunk_col: str = "chunk",
-                         keep: list[str] | tuple[str, ...] = (SUBJECT,)) -> DataFrame | None:
-    t = manifest.tables.get("workouts")
-    if t is None:   # D17
-        return None
-    texts = element_texts(chunks, WORKOUT_TAG, chunk_col, keep).filter(F.col("xml").isNotNull())
-    return workouts_from_texts(texts, t, keep)
-
+# ---- elements regrouped from the tag scan ---------------------------------------
 
 def workouts_from_texts(texts: DataFrame, t: Table, keep: list[str] | tuple[str, ...] = (SUBJECT,)) -> DataFrame:
     return extract_workouts(parse_elements(texts, F.col("xml"), workout_schema(t), keep), t, keep=keep)
 
 
-def summaries_from_chunks(chunks: DataFrame, manifest: Manifest, chunk_col: str = "chunk",
-                          keep: list[str] | tuple[str, ...] = (SUBJECT,)) -> DataFrame | None:
-    t = manifest.tables.get("activity_summaries")
-    if t is None:
-        return None
-    texts = element_texts(chunks, SUMMARY_TAG, chunk_col, keep).filter(F.col("xml").isNotNull())
-    return summaries_from_texts(texts, t, keep)
-
-
 def summaries_from_texts(texts: DataFrame, t: Table, keep: list[str] | tuple[str, ...] = (SUBJECT,)) -> DataFrame:
     return extract_summaries(parse_elements(texts, F.col("xml"), summary_schema(t), keep), t, keep=keep)
 
 
+# tag -> table, is a tag row one of its (given the table), texts from tag rows, rows from texts, order of the first one kept
+ELEMENTS = {
+    tags.WORKOUT_TAG: ("workouts", tags.workout_tags, tags.workout_texts, workouts_from_texts, ["creation_date"]),
+    tags.SUMMARY_TAG: ("activity_summaries", lambda t: F.col("name") == tags.SUMMARY_TAG, tags.summary_texts, summaries_from_texts, None),
+}
+
+
+def scan_elements(spark: SparkSession, paths: str | list[str], manifest: Manifest, tag: str) -> DataFrame:
+    """A2, A3: rows of one element kind of export files, with their ``file_path``; cut-off elements are left out."""
+    name, is_part, texts_of, rows_of, _ = ELEMENTS[tag]
+    table = manifest.tables[name]
+    texts = texts_of(tags.placed(tags.read_tags(spark, paths)).filter(is_part(table))).filter(F.col("xml").isNotNull())
+    return rows_of(texts, table, keep=("file_path",))
+
+
 # ---- file scans (XML source: one task per file; for small files) ------------
 
 def _read(spark: SparkSession, paths, row_tag: str, schema: str, glob: str | None = None) -> DataFrame:

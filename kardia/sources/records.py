@@ -1,26 +1,20 @@
-"""A1 — splittable scan of ``<Record>`` elements in large export XML files.
-
-The XML source reads a whole file in one task (multi-line mode), and line
-mode breaks records spanning lines. Instead the file is read as *text* with
-``<Record`` as the record separator: Hadoop splits the file at any byte
-offset and each task resynchronises on the separator, so a 100 GB export is
-read by hundreds of tasks. Each chunk starts with the record's attribute
-list; only the start tag is kept (children such as ``MetadataEntry`` are
-skipped, as in the reference) and parsed by ``from_xml`` — which also decodes
-entities.
-
-Chunks that do not begin with an attribute (the file head before the first
-record) are dropped; a chunk whose start tag cannot be isolated or parsed is
-returned by :func:`split_quarantine` instead of being lost (A8/A9).
+"""A1 — the ``<Record>`` elements of large export XML files.
+
+The rows come from :mod:`kardia.sources.tags`: one tag each, read by as many tasks as a file has splits. (The XML
+source reads a whole file in one task, and line mode breaks records that span lines.) A record is its start
+tag; children such as ``MetadataEntry`` are tags of their own and don't count, as in the reference. The attributes are parsed by
+``from_xml``, which also decodes entities.
+
+A record whose start tag cannot be isolated or parsed is returned by :func:`split_quarantine` instead of
+being lost (A8/A9).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-RECORD_SEPARATOR = "<Record"
-# A start tag: attribute text up to the first '>' outside quotes.
-START_TAG = r"""^([^"'>]*+(?:(?:"[^"]*+"|'[^']*+')[^"'>]*+)*+)>"""
+from kardia.sources import tags
+
 # FIXED VALUES: attribute names of an exported <Record> element.
 RECORD_ATTRIBUTES = ("type", "sourceName", "sourceVersion", "unit", "device",
                      "creationDate", "startDate", "endDate", "value")
@@ -30,22 +24,19 @@ _SNAKE = {"type": "type", "sourceName": "source_name", "sourceVersion": "source_
 RECORD_XML_SCHEMA = ", ".join(f"_{a} string" for a in RECORD_ATTRIBUTES)
 
 
-def read_record_chunks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Raw text chunks, one per ``<Record`` occurrence (folders recursively), plus the file path."""
-    df = (spark.read.option("lineSep", RECORD_SEPARATOR).option("recursiveFileLookup", "true").text(paths)
-          .select(F.col("value").alias("chunk"), F.col("_metadata.file_path").alias("file_path")))
-    return df
+def record_chunks(rows: DataFrame) -> DataFrame:
+    """The records of tag rows: ``chunk``, the text behind ``<Record``, and the other columns."""
+    found = tags.named(rows).filter(F.col("name") == tags.RECORD_TAG)
+    return found.select(tags.record_chunk(F.col("tag")).alias("chunk"), *[c for c in rows.columns if c != "tag"])
 
 
-def start_tag(chunk: Column) -> Column:
-    """Attribute text of the start tag, '' if none; trailing '/' removed."""
-    tag = F.regexp_extract(chunk, START_TAG, 1)
-    return F.regexp_replace(tag, r"\s*/\s*$", "")
+def read_record_chunks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """One chunk per record (folders recursively), plus the file path."""
+    return record_chunks(tags.read_tags(spark, paths)).select("chunk", "file_path")
 
 
 def is_record_chunk(chunk: Column) -> Column:
-    """A record chunk begins with white space and an attribute name (the file head
-    begins with '<', an element with a longer name goes on with a letter)."""
+    """A record has an attribute: white space and a name follow the tag's name."""
     return chunk.rlike(r"^\s+[A-Za-z_:]")
 
 
@@ -57,17 +48,26 @@ def parse_record_chunks(chunks: DataFrame, chunk_col: str = "chunk") -> DataFram
     start_date_raw, end_date_raw, value, parse_ok, raw`` (``raw``: the start tag, or
     the whole chunk if no tag can be isolated; for quarantine).
     """
-    keep = [c for c in chunks.columns if c != chunk_col]
-    c = F.col(chunk_col)
+    return _parsed(chunks.filter(is_record_chunk(F.col(chunk_col))), chunk_col, F.lit(True))
+
+
+def parse_tags(rows: DataFrame, chunk_col: str = "chunk") -> DataFrame:
+    """As :func:`parse_record_chunks`, but rows that aren't records pass by with NULL attributes and ``parse_ok``
+    NULL, so that one scan of a file serves records and elements."""
+    return _parsed(rows, chunk_col, (F.col("name") == tags.RECORD_TAG) & is_record_chunk(F.col(chunk_col)))
+
+
+def _parsed(rows: DataFrame, chunk_col: str, is_record: Column) -> DataFrame:
+    keep = [c for c in rows.columns if c != chunk_col]
     # Each expensive step (tag regex, XML parse) sits under a one-row
     # ``inline`` generator: a later filter on its output (parse_ok, type) then
     # cannot be pushed below it, which would evaluate the step twice per row.
-    tagged = chunks.filter(is_record_chunk(c)).select(
-        *keep, c.alias("_chunk"), F.inline(F.array(F.struct(start_tag(c).alias("_tag")))))
-    xml = F.from_xml(F.concat(F.lit(RECORD_SEPARATOR + " "), F.col("_tag"), F.lit("/>")), RECORD_XML_SCHEMA)
+    tagged = rows.select(*keep, F.col(chunk_col).alias("_chunk"),
+                         F.inline(F.array(F.struct(F.when(is_record, tags.start_tag(F.col(chunk_col))).alias("_tag")))))
+    xml = F.from_xml(F.concat(F.lit(f"<{tags.RECORD_TAG} "), F.col("_tag"), F.lit("/>")), RECORD_XML_SCHEMA)
     parsed = tagged.select(*keep, "_chunk", "_tag", F.inline(F.array(xml)))
     attrs = [F.col(f"_{a}").alias(_SNAKE[a]) for a in RECORD_ATTRIBUTES]
-    ok = (F.col("_tag") != "") & F.col("_type").isNotNull()
+    ok = F.when(F.col("_tag").isNotNull(), (F.col("_tag") != "") & F.col("_type").isNotNull())
     return parsed.select(*keep, *attrs, ok.alias("parse_ok"), F.when(F.col("_tag") == "", F.col("_chunk")).otherwise(F.col("_tag")).alias("raw"))
 
 
