@@ -6,26 +6,34 @@ workouts that reference the file — never one copy of the points per workout.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from kardia.functions.scalars import haversine_m
 from kardia.manifest import SUBJECT
 from kardia.operators.intervals import Cols, join_keys, subject_keys
-from kardia.operators.sequence import with_previous
+from kardia.operators.prefix import in_ranges, with_previous_row, with_running_sums
 
 POINT_VALUES = ["latitude", "longitude", "elevation"]
 
 
 def route_segments(points: DataFrame, file_col: str = "file_name", time_col: str = "timestamp",
-                   tie_cols: Cols = ("point_seq",), bin_unit: str = "hour", subject_cols: Cols | None = None) -> DataFrame:
+                   tie_cols: Cols = ("point_seq",), subject_cols: Cols | None = None) -> DataFrame:
     """G1 + G2 + H1: within a subject's route file, each point with its predecessor's position, the segment
     length in metres and the positive elevation delta (0 for the first point)."""
     subject_cols = subject_keys(subject_cols, points)
-    x = with_previous(points, [*subject_cols, file_col], time_col, list(tie_cols), POINT_VALUES, bin_unit)
+    return _segments(in_ranges(points, [*subject_cols, file_col], [time_col, *tie_cols]), [*subject_cols, file_col]).select(*points.columns, *SEGMENT_COLS)
+
+
+SEGMENT_COLS = ["prev_latitude", "prev_longitude", "prev_elevation", "segment_m", "gain_m"]
+
+
+def _segments(ranged: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the segment columns to points in ranges."""
+    x = with_previous_row(ranged, keys, F.struct(*POINT_VALUES), "prev")
     p = F.col("prev")
     seg = F.when(p.isNotNull(), haversine_m(p["latitude"], p["longitude"], F.col("latitude"), F.col("longitude")))
     gain = F.when(p.isNotNull() & (F.col("elevation") > p["elevation"]), F.col("elevation") - p["elevation"])
-    return x.select(*points.columns,
+    return x.select(*ranged.columns,
                     p["latitude"].alias("prev_latitude"), p["longitude"].alias("prev_longitude"),
                     p["elevation"].alias("prev_elevation"),
                     F.coalesce(seg, F.lit(0.0)).alias("segment_m"),
@@ -33,11 +41,11 @@ def route_segments(points: DataFrame, file_col: str = "file_name", time_col: str
 
 
 def route_totals(points: DataFrame, file_col: str = "file_name", time_col: str = "timestamp",
-                 tie_cols: Cols = ("point_seq",), bin_unit: str = "hour", subject_cols: Cols | None = None) -> DataFrame:
+                 tie_cols: Cols = ("point_seq",), subject_cols: Cols | None = None) -> DataFrame:
     """per subject and route file — point count, distance (km), elevation gain (m),
     first and last point time."""
     subject_cols = subject_keys(subject_cols, points)
-    seg = route_segments(points, file_col, time_col, tie_cols, bin_unit, subject_cols)
+    seg = route_segments(points, file_col, time_col, tie_cols, subject_cols)
     # plain min/max of the time keep this a (map-side combined) hash aggregate
     return seg.groupBy(*subject_cols, file_col).agg(
         F.count(F.lit(1)).alias("point_count"),
@@ -70,21 +78,15 @@ def workout_routes(workouts: DataFrame, totals: DataFrame, route_col: str = "rou
 
 def workout_points(workouts: DataFrame, points: DataFrame, route_col: str = "route_file", session_col: str = "session_id",
                    file_col: str = "file_name", time_col: str = "timestamp", tie_cols: Cols = ("point_seq",),
-                   bin_unit: str = "hour", subject_cols: Cols | None = None) -> DataFrame:
+                   subject_cols: Cols | None = None) -> DataFrame:
     """E1 + Q8: the points of every workout's route as a long relation — subject, session,
     sequence number (from 1, in time order), time, position, elevation, speed, segment length and gain.
 
-    The sequence number is a count within the time bin plus the points of
-    earlier bins, so a route is never one task."""
+    The sequence number is a running count over ranges of points, so a route is never one task."""
     subject_cols = subject_keys(subject_cols, workouts, points)
     keys = [*subject_cols, file_col]
-    seg = route_segments(points, file_col, time_col, tie_cols, bin_unit, subject_cols).withColumn("_bin", F.date_trunc(bin_unit, F.col(time_col)))
-    order = [F.asc_nulls_first(time_col), *[F.asc_nulls_first(c) for c in tie_cols]]
-    bins = seg.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_bin")).rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select(*keys, "_bin", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    numbered = join_keys(seg.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy(*order))), bins, [*keys, "_bin"])
-    numbered = numbered.withColumn("sequence", (F.col("_before") + F.col("_at")).cast("long"))
+    ranged = in_ranges(points, keys, [time_col, *tie_cols])
+    numbered = with_running_sums(_segments(ranged, keys), keys, {"sequence": F.lit(1).cast("long")})
     w = workouts.filter(F.col(route_col).isNotNull()).select(
         session_col, F.col(route_col).alias("_route"), *[F.col(c).alias(f"_w{c}") for c in subject_cols])
     on = numbered[file_col] == w["_route"]

@@ -1,44 +1,17 @@
-"""G1 — consecutive pairs (``lag``) over time-ordered rows, skew-safe.
-
-A plain ``lag().over(partitionBy(key).orderBy(t))`` puts every row of a key
-into one task; one route (or subject) holding a third of the data would
-serialise the job. Here the window is partitioned by ``(key, time bin)``
-instead, and the first row of each bin takes its predecessor from the last
-row of the nearest earlier non-empty bin:
-
-1. ``lag`` within ``(key, bin)``;
-2. per ``(key, bin)``: ``max(struct(t, tie…, values…))`` — a map-side
-   combined aggregate, so hot bins collapse before the shuffle;
-3. ``lag`` of that over bins of the key (rows = number of bins, bounded by
-   the time span, not by the data);
-4. join back on ``(key, bin)`` and take the carried row where (1) is NULL.
-
-The result equals the single-window ``lag`` for any data distribution.
-"""
+"""G1 — consecutive pairs (``lag``) over time-ordered rows, skew-safe (see :mod:`kardia.operators.prefix`)."""
 
 from __future__ import annotations
 
-from functools import reduce
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import DataFrame, Window, functions as F
+from kardia.operators.prefix import PART, PLACE, in_ranges, with_previous_row
 
 
 def with_previous(df: DataFrame, key_cols: list[str], time_col: str, tie_cols: list[str],
-                  value_cols: list[str], bin_unit: str = "hour", prev_col: str = "prev") -> DataFrame:
+                  value_cols: list[str], prev_col: str = "prev") -> DataFrame:
     """Add ``prev_col``: struct(time, ties…, values…) of the preceding row in
     ``(time, ties…)`` order within ``key_cols`` (NULL for the first row)."""
     order = [time_col, *tie_cols]
+    ranged = in_ranges(df, key_cols, order)
     cur = F.struct(*[F.col(c) for c in order + value_cols])
-    binned = df.withColumn("_bin", F.date_trunc(bin_unit, F.col(time_col)))
-    w = Window.partitionBy(*key_cols, "_bin").orderBy(*[F.asc_nulls_first(c) for c in order])
-    local = binned.withColumn("_lag", F.lag(cur).over(w))
-
-    last = binned.groupBy(*key_cols, "_bin").agg(F.max(cur).alias("_last"))
-    wb = Window.partitionBy(*key_cols).orderBy(F.asc_nulls_first("_bin"))
-    carry = last.select(*[F.col(k).alias(f"_k_{k}") for k in key_cols],
-                        F.col("_bin").alias("_k_bin"), F.lag("_last").over(wb).alias("_carry"))
-
-    conds = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key_cols] + \
-            [F.col("_bin").eqNullSafe(F.col("_k_bin"))]
-    joined = local.join(carry, reduce(lambda a, b: a & b, conds), "left")
-    return joined.select(*df.columns, F.coalesce("_lag", "_carry").alias(prev_col))
+    return with_previous_row(ranged, key_cols, cur, prev_col).drop(PART, PLACE)

@@ -15,8 +15,7 @@ from kardia.operators.intervals import interval_point_counts, join_keys, subject
 
 def hr_zone_histogram(workouts: DataFrame, samples: DataFrame, max_hr: float | None = None,
                       session_col: str = "session_id", hr_col: str = "heart_rate",
-                      time_col: str = "start_date", subject_cols: list[str] | tuple[str, ...] | None = None,
-                      bin_unit: str = "hour") -> DataFrame:
+                      time_col: str = "start_date", subject_cols: list[str] | tuple[str, ...] | None = None) -> DataFrame:
     """Per (subject, workout): samples with ``hr > 0`` and ``start <= t <= end`` by zone
     (all five present, 0 if empty) plus the sample count and max HR used
     (``max_hr``, by default that of the shipped manifest's profile).
@@ -28,7 +27,7 @@ def hr_zone_histogram(workouts: DataFrame, samples: DataFrame, max_hr: float | N
         *subject_cols, F.col(time_col).alias("_t"), hr_zone(F.col(hr_col), max_hr).alias("_zone"))
     w = workouts.select(*subject_cols, session_col, F.col("start_date").alias("_s"), F.col("end_date").alias("_e"))
     counts = interval_point_counts(w, s, session_col, "_s", "_e", "_t", category_col="_zone",
-                                   categories=ZONE_NAMES, equi_cols=subject_cols, bin_unit=bin_unit)
+                                   categories=ZONE_NAMES, equi_cols=subject_cols)
     return counts.select(*subject_cols, session_col, F.col("n").alias("sample_count"),
                          F.lit(float(max_hr)).alias("max_hr_used"),
                          *[F.col(f"n_{z}").alias(z) for z in ZONE_NAMES])

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import Window, functions as F
 
-from kardia.operators import dedupe, intervals, routes, sessions
+from kardia.operators import dedupe, intervals, prefix, routes, sessions
 from kardia.operators.sequence import with_previous
 
 T0 = datetime(2024, 1, 1)
@@ -28,7 +28,7 @@ def points(spark):
 
 
 def test_with_previous_equals_single_window(spark, points):
-    got = with_previous(points, ["k"], "t", ["seq"], ["v"], bin_unit="hour")
+    got = with_previous(points, ["k"], "t", ["seq"], ["v"])
     got = {r["seq"]: (r["prev"]["seq"] if r["prev"] else None) for r in got.collect()}
     w = Window.partitionBy("k").orderBy("t", "seq")
     exp = {r["seq"]: r["p"] for r in points.select("seq", F.lag("seq").over(w).alias("p")).collect()}
@@ -61,7 +61,7 @@ def test_range_join_and_counts_equal_naive(spark, points):
     assert {k: v[0] for k, v in naive.items() if v[0]} == got_pairs
 
     counts = intervals.interval_point_counts(iv, pts, "sid", "s", "e", "t", category_col="cat",
-                                             categories=("hi", "lo"), equi_cols=["k"], bin_unit="hour")
+                                             categories=("hi", "lo"), equi_cols=["k"])
     got = {r["sid"]: [r["n"], r["n_hi"], r["n_lo"]] for r in counts.collect()}
     assert got == naive
 
@@ -204,3 +204,38 @@ def test_csv_export(spark, tmp):
     assert text[1:] == ['1,"x,y",,60', "2,,3,0.5"]
     lines = sorted(r["line"] for r in csv_lines(df).collect())
     assert lines == ['1,"x,y",,60', "2,,3,0.5"]          # shortest float text (60.0 -> 60)
+
+
+def test_a_far_end_date_makes_few_rows(spark):
+    """An interval of any length lies in two dyadic intervals at most."""
+    iv = spark.createDataFrame([("a", "2024-01-01 10:00:00", "4001-01-01 00:00:00"), ("b", "2024-01-01 10:00:00", "2024-01-01 11:00:00"),
+                                ("c", None, "2024-01-01 11:00:00"), ("d", "2024-01-02 00:00:00", "2024-01-01 00:00:00")], "sid string, s string, e string")
+    iv = iv.select("sid", F.col("s").cast("timestamp").alias("s"), F.col("e").cast("timestamp").alias("e"))
+    covered = intervals.covered(iv, "s", "e", "minute").groupBy("sid").count().collect()
+    assert {r["sid"] for r in covered} == {"a", "b"} and all(r["count"] <= 2 for r in covered)
+
+
+def test_range_join_equals_naive_join(spark):
+    rng = random.Random(11)
+    base = 1_700_000_000
+    spans = [(f"i{i}", rng.choice("xy"), base + (a := rng.randrange(-50_000, 50_000)), base + a + rng.choice([0, 1, 59, 3600, 90_000, 10 ** 9])) for i in range(120)]
+    points = [(i, rng.choice("xy"), base + rng.randrange(-80_000, 200_000)) for i in range(300)]
+    iv = spark.createDataFrame(spans, "sid string, k string, s long, e long").select("sid", "k", F.timestamp_seconds("s").alias("s"), F.timestamp_seconds("e").alias("e"))
+    pt = spark.createDataFrame(points, "p long, k string, t long").select("p", "k", F.timestamp_seconds("t").alias("t"))
+    want = sorted((sid, p) for sid, k, s, e in spans for p, j, t in points if k == j and s <= t <= e)
+    for unit in ("minute", "day"):
+        got = intervals.range_join(iv, pt, "s", "e", "t", equi_cols=["k"], bin_unit=unit)
+        assert sorted((r["sid"], r["p"]) for r in got.collect()) == want
+
+
+def test_ranges_split_a_hot_key_and_instant(spark):
+    """A third of all rows at one key and instant: no task has three times the median; running values equal those of one window."""
+    rows = spark.range(30_000).selectExpr("IF(id % 3 = 0, 'hot', CAST(id % 500 AS STRING)) AS k",
+                                          "IF(id % 3 = 0, TIMESTAMP'2024-01-01 10:00:00', timestamp_seconds(1700000000 + id * 7)) AS t", "id AS seq", "id % 7 AS v").repartition(4)
+    ranged = prefix.in_ranges(rows, ["k"], ["t", "seq"])
+    sizes = sorted(r["n"] for r in ranged.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect())
+    assert sum(sizes) == 30_000 and len(sizes) > 5 and sizes[-1] < 3 * sizes[len(sizes) // 2]
+    got = prefix.with_running_sums(prefix.with_previous_row(ranged, ["k"], F.struct("seq"), "prev"), ["k"], {"total": F.col("v")})
+    w = Window.partitionBy("k").orderBy("t", "seq")
+    want = rows.select("k", "seq", F.lag("seq").over(w).alias("p"), F.sum("v").over(w).alias("total"))
+    assert got.select("k", "seq", F.col("prev.seq").alias("p"), "total").exceptAll(want).count() == 0 and got.count() == 30_000

@@ -34,8 +34,7 @@ def test_interval_counts_equal_naive(spark, pts, ivs):
                               "k string, t timestamp")
     i = spark.createDataFrame([(f"s{j}", str(k), T0 + timedelta(minutes=s), T0 + timedelta(minutes=s + d))
                                for j, (k, s, d) in enumerate(ivs)], "sid string, k string, s timestamp, e timestamp")
-    got = {r["sid"]: r["n"] for r in interval_point_counts(i, p, "sid", "s", "e", "t", equi_cols=["k"],
-                                                           bin_unit="hour").collect()}
+    got = {r["sid"]: r["n"] for r in interval_point_counts(i, p, "sid", "s", "e", "t", equi_cols=["k"]).collect()}
     for j, (k, s, d) in enumerate(ivs):
         want = sum(1 for pk, m in pts if pk == k and d >= 0 and s <= m <= s + d)
         assert got[f"s{j}"] == want
