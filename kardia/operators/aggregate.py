@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kardia.functions.dates import bound, time_bucket
+from kardia.functions.dates import bound, bucket_pattern
 from kardia.manifest import Table
 
 _AGG = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
@@ -41,11 +41,13 @@ def bucket_aggregate(df: DataFrame, bucket: str, table: Table | None = None,
     """group by the bucket label (hour/day/month), newest first.
 
     Unparsable (NULL) dates form a NULL bucket, ordered last."""
-    label = time_bucket(F.col(time_col), bucket)  # validates the bucket name first
+    pattern = bucket_pattern(bucket)  # validates the bucket name first
     filtered = time_range(df, time_col, start, end)
-    grouped = filtered.groupBy(*subject_cols, label.alias("time_bucket"))
+    grouped = filtered.groupBy(*subject_cols, F.date_trunc(bucket, F.col(time_col)).alias("_start"))
     exprs = aggregate_exprs(table, aggs)
     out = grouped.agg(*exprs) if exprs else grouped.agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    # the label is made per bucket, not per row
+    out = out.select(*subject_cols, F.date_format("_start", pattern).alias("time_bucket"), *[c for c in out.columns if c not in (*subject_cols, "_start")])
     return out.orderBy(*subject_cols, F.desc_nulls_last("time_bucket"))
 
 

@@ -100,6 +100,23 @@ def metric_table(spark: SparkSession, sf_dir: str, table: str, manifest: Manifes
                            extra_cols=("event_id",))
 
 
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def stored_vitals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vitals as a stored table: appended once per application and input to a store, then read from it."""
+    from kardia.plans.batches import path_exists
+    from kardia.plans.store import TableStore
+    from kardia.session import scratch_dir
+    m = default_manifest()
+    made = (spark.sparkContext.applicationId, sf_dir)
+    if made not in _STORES or not path_exists(spark, f"{_STORES[made]}/vitals"):
+        root = scratch_dir(spark, "vitals-store")
+        TableStore(spark, root, m).append_new("vitals", metric_table(spark, sf_dir, "vitals", m, with_id=True).drop("event_id"), order_cols=["creation_date"])
+        _STORES[made] = root
+    return TableStore(spark, _STORES[made], m).read("vitals")
+
+
 def sleep_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sleep intervals: ``view`` events, stage ``event_id % 7`` (6 = unknown)."""
     e = event_base(spark, sf_dir).filter(F.col("event_type") == "view")

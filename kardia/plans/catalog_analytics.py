@@ -9,7 +9,7 @@ from kardia.operators import aggregate as agg
 from kardia.operators import query as qry
 from kardia.plans import bridge
 from kardia.plans.registry import register
-from kardia.plans.sql import R, VITALS, ts_text
+from kardia.plans.sql import R, STORED, VITALS, ts_text
 from kardia.session import scratch_dir
 
 # Demo aggregate settings for vitals (the shipped manifest declares none).
@@ -65,10 +65,14 @@ def bucket_month(spark, sf):
     return r4(agg.bucket_aggregate(vitals(spark, sf), "month", aggs=VITALS_AGGS))
 
 
-@register("bucket_range", _bucket_sql(
-    "%Y-%m-%d", "WHERE start_date >= TIMESTAMP '2024-01-08 00:00:00' AND start_date <= TIMESTAMP '2024-01-20 12:00:00'"))
+@register("bucket_range", f"""WITH {R}, {VITALS}, {STORED}
+SELECT strftime(start_date, '%Y-%m-%d') AS time_bucket,
+       round(avg(heart_rate), 4) AS heart_rate, min(resting_hr) AS resting_hr,
+       max(hrv_sdnn) AS hrv_sdnn, count(NULL::DOUBLE) AS hr_recovery
+FROM VD WHERE start_date >= TIMESTAMP '2024-01-08 00:00:00' AND start_date <= TIMESTAMP '2024-01-20 12:00:00' GROUP BY 1""")
 def bucket_range(spark, sf):
-    return r4(agg.bucket_aggregate(vitals(spark, sf), "day", aggs=VITALS_AGGS, start=RANGE[0], end=RANGE[1]))
+    """F1 with a range, on the stored table: the range reaches its files."""
+    return r4(agg.bucket_aggregate(bridge.stored_vitals(spark, sf), "day", aggs=VITALS_AGGS, start=RANGE[0], end=RANGE[1]))
 
 
 @register("bucket_all_aggs", f"""WITH {R}, {VITALS}
@@ -80,7 +84,7 @@ def bucket_all_aggs(spark, sf):
     return r4(agg.bucket_aggregate(vitals(spark, sf), "day", aggs=ALL_AGGS))
 
 
-@register("trends", f"""WITH {R}, {VITALS}
+@register("trends", f"""WITH {R}, {VITALS}, {STORED}
 SELECT round(avg(heart_rate), 4) AS heart_rate_avg, min(heart_rate) AS heart_rate_min, max(heart_rate) AS heart_rate_max,
        round(avg(resting_hr), 4) AS resting_hr_avg, min(resting_hr) AS resting_hr_min, max(resting_hr) AS resting_hr_max,
        round(avg(hrv_sdnn), 4) AS hrv_sdnn_avg, min(hrv_sdnn) AS hrv_sdnn_min, max(hrv_sdnn) AS hrv_sdnn_max,
@@ -88,10 +92,11 @@ SELECT round(avg(heart_rate), 4) AS heart_rate_avg, min(heart_rate) AS heart_rat
        avg(NULL::DOUBLE) AS vo2_max_avg, min(NULL::DOUBLE) AS vo2_max_min, max(NULL::DOUBLE) AS vo2_max_max,
        avg(NULL::DOUBLE) AS oxygen_sat_avg, min(NULL::DOUBLE) AS oxygen_sat_min, max(NULL::DOUBLE) AS oxygen_sat_max,
        avg(NULL::DOUBLE) AS resp_rate_avg, min(NULL::DOUBLE) AS resp_rate_min, max(NULL::DOUBLE) AS resp_rate_max
-FROM V WHERE start_date >= TIMESTAMP '2024-01-08 00:00:00' AND start_date <= TIMESTAMP '2024-01-20 12:00:00'""")
+FROM VD WHERE start_date >= TIMESTAMP '2024-01-08 00:00:00' AND start_date <= TIMESTAMP '2024-01-20 12:00:00'""")
 def trends(spark, sf):
+    """F3 on the stored table."""
     m = default_manifest()
-    return r4(agg.biometric_trends(vitals(spark, sf), m.table("vitals"), start=RANGE[0], end=RANGE[1]))
+    return r4(agg.biometric_trends(bridge.stored_vitals(spark, sf), m.table("vitals"), start=RANGE[0], end=RANGE[1]))
 
 
 @register("trends_by_user", f"""WITH {R}, {VITALS}
@@ -122,27 +127,35 @@ def table_query_topk(spark, sf):
                                   tie_break=["event_id"]))
 
 
-@register("table_query_range", f"""WITH {R}, {VITALS}
-{_VITALS_ROW} WHERE V.start_date >= TIMESTAMP '2024-01-08 00:00:00' AND V.start_date <= TIMESTAMP '2024-01-20 12:00:00'""")
+_STORED_ROW = """SELECT subject_id, {st} AS start_date, {en} AS end_date, heart_rate, resting_hr, hrv_sdnn FROM VD""".format(
+    st=ts_text("start_date"), en=ts_text("end_date"))
+
+
+def _stored_rows(spark, sf):
+    return bridge.stored_vitals(spark, sf).select("subject_id", "start_date", "end_date", "heart_rate", "resting_hr", "hrv_sdnn")
+
+
+@register("table_query_range", f"""WITH {R}, {VITALS}, {STORED}
+{_STORED_ROW} WHERE VD.start_date >= TIMESTAMP '2024-01-08 00:00:00' AND VD.start_date <= TIMESTAMP '2024-01-20 12:00:00'""")
 def table_query_range(spark, sf):
-    return ts_str(qry.table_query(_vitals_rows(spark, sf), sort="start_date", limit=None,
+    """Q2 on the stored table."""
+    return ts_str(qry.table_query(_stored_rows(spark, sf), sort="start_date", limit=None,
                                   start=RANGE[0], end=RANGE[1]))
 
 
-@register("date_prefix_filter", f"""WITH {R}, {VITALS}
-{_VITALS_ROW} WHERE CAST(V.start_date AS DATE) = DATE '2024-01-15'""")
+@register("date_prefix_filter", f"""WITH {R}, {VITALS}, {STORED}
+{_STORED_ROW} WHERE CAST(VD.start_date AS DATE) = DATE '2024-01-15'""")
 def date_prefix_filter(spark, sf):
-    return ts_str(qry.date_prefix_filter(_vitals_rows(spark, sf), "2024-01-15"))
+    """Q6 on the stored table."""
+    return ts_str(qry.date_prefix_filter(_stored_rows(spark, sf), "2024-01-15"))
 
 
 @register("rows_to_json", f"""WITH {R}, {VITALS}
-SELECT json_object('event_id', event_id, 'subject_id', subject_id, 'start_date', {ts_text("start_date")},
-                   'resting_hr_x100', CAST(round(resting_hr * 100) AS BIGINT))::VARCHAR AS json FROM V""")
+SELECT json_object('event_id', event_id, 'subject_id', subject_id, 'start_date', {ts_text("start_date")}, 'end_date', {ts_text("end_date")},
+                   'heart_rate', heart_rate, 'resting_hr', resting_hr, 'hrv_sdnn', hrv_sdnn)::VARCHAR AS json FROM V""")
 def rows_to_json(spark, sf):
-    v = vitals(spark, sf).select(
-        "event_id", "subject_id", F.date_format("start_date", "yyyy-MM-dd HH:mm:ss").alias("start_date"),
-        F.round(F.col("resting_hr") * 100).cast("long").alias("resting_hr_x100"))
-    return qry.rows_to_json(v)
+    """Every column of the rows, doubles and NULLs included."""
+    return qry.rows_to_json(ts_str(_vitals_rows(spark, sf)))
 
 
 @register("csv_export_rows", f"""WITH {R}, {VITALS}

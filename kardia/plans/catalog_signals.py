@@ -9,7 +9,7 @@ from kardia.operators import intervals, query, routes, sessions
 from kardia.plans import bridge
 from kardia.plans.catalog_analytics import r4, ts_str
 from kardia.plans.registry import register
-from kardia.plans.sql import POINTS, R, VITALS, WORKOUTS, haversine, ts_text
+from kardia.plans.sql import POINTS, R, STORED, VITALS, WORKOUTS, haversine, ts_text
 
 AS_OF = "2024-01-30"
 MAX_HR = 190.0
@@ -34,10 +34,10 @@ def route_segments(spark, sf):
 
 
 @register("haversine", f"""WITH {R}, {POINTS}
-SELECT point_seq, round({haversine('37.7749', '-122.4194', 'latitude', 'longitude')}, 4) AS dist_m FROM P""")
+SELECT point_seq, round({haversine('47.3769', '8.5417', 'latitude', 'longitude')}, 4) AS dist_m FROM P""")
 def haversine_q(spark, sf):
     p = bridge.route_points(spark, sf)
-    return r4(p.select("point_seq", S.haversine_m(F.lit(37.7749), F.lit(-122.4194),
+    return r4(p.select("point_seq", S.haversine_m(F.lit(47.3769), F.lit(8.5417),
                                                   F.col("latitude"), F.col("longitude")).alias("dist_m")))
 
 
@@ -222,14 +222,14 @@ def date_prefix_sleep(spark, sf):
 # ---- recovery ------------------------------------------------------------------------
 
 def _recovery_sql() -> str:
-    return f"""WITH {R}, {VITALS},
+    return f"""WITH {R}, {VITALS}, {STORED},
 A AS (SELECT subject_id,
   coalesce(avg(hrv_sdnn) FILTER (WHERE hrv_sdnn > 0), 0.0) AS hb,
   coalesce(avg(hrv_sdnn) FILTER (WHERE hrv_sdnn > 0 AND start_date >= TIMESTAMP '2024-01-29 00:00:00'), 0.0) AS hc,
   coalesce(avg(resting_hr) FILTER (WHERE resting_hr > 0), 0.0) AS rb,
   coalesce(avg(resting_hr) FILTER (WHERE resting_hr > 0 AND start_date >= TIMESTAMP '2024-01-29 00:00:00'), 0.0) AS rc
   FROM (SELECT subject_id, start_date, CASE WHEN start_date >= TIMESTAMP '2024-01-23 00:00:00' THEN hrv_sdnn END AS hrv_sdnn,
-               CASE WHEN start_date >= TIMESTAMP '2024-01-23 00:00:00' THEN resting_hr END AS resting_hr FROM V) GROUP BY 1),
+               CASE WHEN start_date >= TIMESTAMP '2024-01-23 00:00:00' THEN resting_hr END AS resting_hr FROM VD) GROUP BY 1),
 B AS (SELECT *, CASE WHEN rc > rb AND rb > 0 THEN (CASE WHEN hb > 0 THEN hc / hb * 100.0 ELSE 0.0 END) - (rc - rb) * 5.0
                      ELSE (CASE WHEN hb > 0 THEN hc / hb * 100.0 ELSE 0.0 END) END AS raw FROM A),
 C AS (SELECT *, CAST(round(greatest(least(raw, 100.0), 0.0)) AS INTEGER) AS score FROM B)
@@ -241,7 +241,8 @@ FROM C"""
 
 @register("recovery_score", _recovery_sql())
 def recovery_score(spark, sf):
-    v = bridge.metric_table(spark, sf, "vitals")
+    """F4 on the stored table."""
+    v = bridge.stored_vitals(spark, sf)
     return r4(sessions.recovery_score(v, AS_OF, subject_cols=["subject_id"]))
 
 

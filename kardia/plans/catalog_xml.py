@@ -126,15 +126,13 @@ def workout_attributes(spark, sf):
                        F.date_format("end_date", "yyyy-MM-dd'T'HH:mm:ss").alias("end_date"))
 
 
-def last_child_values(children: DataFrame, session_col: str, key_col: str, value_col: str,
-                      seq_cols: list[str], mapping: dict[str, str]) -> DataFrame:
-    """B5/B6 on child rows: per session and wanted key, the value of the last
-    child (highest ``seq_cols``, then highest value) — a map-side combined
-    ``max(struct)`` per column, no window over the session."""
-    order = [F.col(c) for c in seq_cols]
-    exprs = [F.max(F.when(F.col(key_col) == k, F.struct(*order, F.col(value_col).alias("_v"))))["_v"].alias(out)
-             for k, out in mapping.items()]
-    return children.groupBy(session_col).agg(*exprs)
+def workouts_of_lines(spark: SparkSession, sf: str, tie: Column, child: Column) -> DataFrame:
+    """A workout per order whose children are its lines, in the order of their numbers (and ``tie``): parsed rows with ``l_orderkey``.
+    An order has a few lines."""
+    li = bridge.load(spark, sf, "lineitem").select("l_orderkey", F.struct("l_linenumber", tie.alias("tie"), child.alias("child")).alias("line"))
+    kids = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    xml = F.concat(F.lit('<Workout startDate="2024-01-01 00:00:00 +0000">'), F.array_join(F.transform("lines", lambda x: x["child"]), ""), F.lit("</Workout>"))
+    return el.workouts_from_texts(kids.select("l_orderkey", xml.alias("xml")), default_manifest().table("workouts"), keep=("l_orderkey",))
 
 
 @register("statistics_sum", """WITH L AS (SELECT l_orderkey, l_returnflag, l_quantity FROM lineitem
@@ -143,9 +141,10 @@ SELECT l_orderkey, max(l_quantity) FILTER (WHERE l_returnflag = 'A') AS active_c
   max(l_quantity) FILTER (WHERE l_returnflag = 'N') AS basal_calories,
   max(l_quantity) FILTER (WHERE l_returnflag = 'R') AS distance_walking FROM L GROUP BY 1""")
 def statistics_sum(spark, sf):
-    li = bridge.load(spark, sf, "lineitem")
-    return last_child_values(li, "l_orderkey", "l_returnflag", "l_quantity", ["l_linenumber"],
-                             {"A": "active_calories", "N": "basal_calories", "R": "distance_walking"})
+    """Of several statistics of a type, the last one's sum."""
+    child = F.concat(F.lit("<WorkoutStatistics type="), _q(F.try_element_at(_lit_map(FLAG_STAT), F.col("l_returnflag"))),
+                     F.lit(" sum="), _q(_dec(F.col("l_quantity"))), F.lit("/>"))
+    return workouts_of_lines(spark, sf, F.col("l_quantity"), child).select("l_orderkey", "active_calories", "basal_calories", "distance_walking")
 
 
 @register("metadata_value", """WITH L AS (SELECT l_orderkey, l_linestatus, l_returnflag || '-' || CAST(l_linenumber AS VARCHAR) AS v
@@ -154,11 +153,11 @@ def statistics_sum(spark, sf):
 SELECT l_orderkey, max(v) FILTER (WHERE l_linestatus = 'F') AS avg_mets,
   max(v) FILTER (WHERE l_linestatus = 'O') AS temperature FROM L GROUP BY 1""")
 def metadata_value(spark, sf):
-    li = bridge.load(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linestatus", "l_linenumber",
-        F.concat(F.col("l_returnflag"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("v"))
-    return last_child_values(li, "l_orderkey", "l_linestatus", "v", ["l_linenumber"],
-                             {"F": "avg_mets", "O": "temperature"})
+    """Of several entries of a key, the last one's value."""
+    value = F.concat(F.col("l_returnflag"), F.lit("-"), F.col("l_linenumber").cast("string"))
+    child = F.concat(F.lit("<MetadataEntry key="), _q(F.try_element_at(_lit_map(STATUS_META), F.col("l_linestatus"))),
+                     F.lit(" value="), _q(value), F.lit("/>"))
+    return workouts_of_lines(spark, sf, value, child).select("l_orderkey", "avg_mets", "temperature")
 
 
 @register("route_ref_basename", """SELECT o_orderkey, 'route_' || CAST(o_orderkey AS VARCHAR) || '.gpx' AS route_file FROM orders""")

@@ -39,6 +39,9 @@ VITALS = """V AS (SELECT event_id, CAST(user_id AS VARCHAR) AS subject_id, ts AS
        CASE WHEN event_type = 'view' THEN v END AS hrv_sdnn
 FROM R WHERE event_type IN ('click','view','error'))"""
 
+# as the store keeps them: one row per subject and content
+STORED = """VD AS (SELECT DISTINCT subject_id, start_date, end_date, heart_rate, resting_hr, hrv_sdnn FROM V)"""
+
 # sessions start on the hour, so people share session ids, and one person's equal starts collapse
 WORKOUTS = """W AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS subject_id,
        strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS session_id,

@@ -197,8 +197,6 @@ def _read(spark: SparkSession, paths, row_tag: str, schema: str, glob: str | Non
                      F.col("_metadata.file_name").alias("file_name"))
 
 
-def scan_gpx(spark: SparkSession, folder: str | list[str], src: RouteSource, subject: Column | None = None) -> DataFrame:
-    """A5: every ``<trkpt>`` of the ``*.gpx`` files in a folder (or of a list of files), keyed by file name."""
-    df = _read(spark, folder, TRKPT_TAG, gpx_schema(src), glob=f"*.{src.file_extension}")
-    subj = subject if subject is not None else F.lit(None).cast("string")
-    return extract_route_points(df.withColumn(SUBJECT, subj), src, keep=(SUBJECT, "file_name"))
+def scan_gpx(spark: SparkSession, folder: str | list[str], src: RouteSource, keep: tuple[str, ...] = ("file_name",)) -> DataFrame:
+    """A5: every ``<trkpt>`` of the ``*.gpx`` files in a folder (or of a list of files), with the file's name or path."""
+    return extract_route_points(_read(spark, folder, TRKPT_TAG, gpx_schema(src), glob=f"*.{src.file_extension}"), src, keep=keep)

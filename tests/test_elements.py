@@ -136,7 +136,42 @@ def test_side_cars_are_read_once_and_at_any_depth(spark, tmp, monkeypatch):
     assert [r["speed_ms"] for r in store.read(table).orderBy("timestamp").collect()] == [1.5, 2.5, 3.5, None]
     monkeypatch.setattr(ingest.el, "scan_gpx", lambda *a, **k: 1 / 0)  # nothing is read the second time
     assert ingest.import_external(spark, os.path.join(tmp, "dee"), store, m, subject="dee")[table] == 0
-    assert ingest.new_files(spark, folder, "gpx", store, table, "eve") and not ingest.new_files(spark, folder, "gpx", store, table, "dee")
+    listed = {who: ingest.new_files(spark, [folder], m.routes, store, F.lit(who)).count() for who in ("eve", "dee")}
+    assert listed == {"eve": 1, "dee": 0}
+
+
+def test_side_cars_of_many_people(spark, tmp, monkeypatch):
+    """One call: each person's files under their own folder, in blocks; a broken file is quarantined and read again only when it changes."""
+    from kardia.plans import ingest
+    m = default_manifest()
+    store = TableStore(spark, os.path.join(tmp, "store"), m)
+    point = '<gpx><trk><trkseg><trkpt lat="47.{0}" lon="8.{0}"><ele>4{0}</ele><time>2024-05-01T10:0{0}:00Z</time></trkpt></trkseg></trk></gpx>'
+    for i, who in enumerate(("ann", "ben", "cy d")):
+        folder = os.path.join(tmp, "people", who, m.routes.folder)
+        os.makedirs(folder)
+        for name in ("a.gpx", "b.gpx"):
+            with open(os.path.join(folder, name), "w") as f:
+                f.write(point.format(i))
+    bad = os.path.join(tmp, "people", "ben", m.ecg.folder)
+    os.makedirs(bad)
+    for name, text in (("good.csv", "Sample Rate,15 hertz\n1.5\n2.5\n"), ("bad.csv", "no recording\n")):
+        with open(os.path.join(bad, name), "w") as f:
+            f.write(text)
+    people = os.path.join(tmp, "people")
+    assert ingest.import_external(spark, people, store, m, block_files=2) == {m.ecg.target_table: 1, m.routes.target_table: 6}
+    stored = {(r["subject_id"].replace("%20", " "), r["file_name"]) for r in store.read(m.routes.target_table).collect()}
+    assert stored == {(who, f) for who in ("ann", "ben", "cy d") for f in ("a.gpx", "b.gpx")}
+    kept = spark.read.parquet(os.path.join(tmp, "store", "_quarantine")).collect()
+    assert [(r["subject_id"], r["raw"].rpartition("/")[2]) for r in kept] == [("ben", "bad.csv")]
+    log = store.log.read()
+    assert log.agg(F.sum("files")).first()[0] == 8 and log.agg(F.sum("quarantined")).first()[0] == 1
+    with monkeypatch.context() as blind:  # the second run reads no content
+        blind.setattr(ingest.el, "scan_gpx", lambda *a, **k: 1 / 0)
+        blind.setattr(ingest.ecg_src, "read_ecg_files", lambda *a, **k: 1 / 0)
+        assert ingest.import_external(spark, people, store, m) == {m.ecg.target_table: 0, m.routes.target_table: 0}
+    with open(os.path.join(bad, "bad.csv"), "w") as f:
+        f.write("Sample Rate,15 hertz\n3.5\n")
+    assert ingest.import_external(spark, people, store, m)[m.ecg.target_table] == 1
 
 
 PEOPLE = [f' <Workout workoutActivityType="HKWorkoutActivityTypeRunning" sourceName="user-{p}" startDate="2024-03-0{p} 10:00:00 +0000" endDate="2024-03-0{p} 11:00:00 +0000">\n'

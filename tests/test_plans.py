@@ -8,7 +8,7 @@ from kardia.plans import registry
 registry.load_all()
 
 SF = "/root/testdata/sf0.001"
-STREAMING = {"stream_ingest", "stream_dedupe", "stream_new_files", "stream_bucket_hour", "stream_ingest_workouts"}
+STREAMING = {"ingest_counts", "stream_ingest", "stream_dedupe", "stream_new_files", "stream_bucket_hour", "stream_ingest_workouts"}
 
 
 def test_entry_runs(spark):
@@ -37,14 +37,22 @@ def test_plans_stay_on_the_jvm(spark, name):
         assert bad not in plan, f"{name}: {bad}"
 
 
-def test_range_filter_reaches_the_scan(spark):
-    """Time-range predicates on events are pushed to the Parquet reader."""
+@pytest.mark.parametrize("name", ["bucket_range", "trends", "table_query_range", "date_prefix_filter", "recovery_score"])
+def test_time_range_reaches_the_stored_files(spark, name):
+    """Time ranges are pushed to the Parquet reader of the stored table, and only the columns asked for are read."""
+    plan = plan_of(entry.queries()[name](spark, SF))
+    assert "GreaterThanOrEqual(start_date,2024-01-" in plan
+    if name != "recovery_score":
+        assert "LessThan" in plan[plan.index("PushedFilters"):]
+    assert "uuid" not in plan[plan.index("ReadSchema"):].split("\n")[0]
+
+
+def test_a_stored_table_skips_days(spark, tmp):
+    """Rows are sorted by time in each bucket file, so a range on the store's own read is pushed, too."""
     from pyspark.sql import functions as F
     from kardia.plans import bridge
-    df = bridge.event_base(spark, SF).filter(F.col("event_type") == "click").select("ts", "value")
-    plan = plan_of(df)
-    assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,click)]" in plan
-    assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in plan   # pruned
+    df = bridge.stored_vitals(spark, SF).filter(F.col("start_date") >= F.lit("2024-01-20").cast("timestamp")).select("heart_rate")
+    assert "GreaterThanOrEqual(start_date,2024-01-20" in plan_of(df) and df.count() > 0
 
 
 def test_streaming_equals_batch(spark):
