@@ -23,7 +23,7 @@ from itertools import repeat
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from kardia.llm.common import documents, map_rows, materialise
 from kardia.llm.components import components
@@ -114,6 +114,13 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return probe.join(index, near).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
+def _classes(rows: DataFrame, max_bits: int) -> DataFrame:
+    """``(fp, first, root)`` of the distinct fingerprints of ``rows(doc_id, fp)``; ``root`` is the least one of its component, ``first`` its smallest id."""
+    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
+    roots = components(links(classes, max_bits)).withColumnRenamed("node", "fp")
+    return classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``.
 
@@ -122,22 +129,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     no row of the component has an id). Repeated rows give repeated results.
     """
     rows = materialise(fingerprints(docs, id_col, text_col), "simhash")
-    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    roots = components(links(classes, max_bits)).withColumnRenamed("node", "fp")
-    rooted = classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = _classes(rows, max_bits)
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = materialise(rooted.join(smallest, "root").select("fp", "component_id"), "simhash-named")
     return rows.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of ``docs``: that of its smallest id (of repeated rows with this id, the first by text).
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each component of ``docs``, as it is: that of the smallest id (null ids come last), of several texts of this id the one
+    of least hash, of equal rows of both the least by its other columns.
 
-    Rows without an id can't be told apart by one, so they all stay.
+    Components are those of the texts, so rows of one id whose texts differ too much for a link all stay. Extra columns may have any name.
     """
-    kept = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), *[c for c, t in docs.dtypes if c != id_col and not t.startswith(("map", "variant"))])
-    rows = docs.join(kept, docs[id_col] == F.col("_kept"), "left_semi")
-    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return rows.unionByName(docs.where(docs[id_col].isNull()))
+    def free(name: str) -> str:
+        while name in docs.columns:
+            name += "_"
+        return name
+
+    # 128 bits of id and text tell rows apart
+    k1, k2 = F.xxhash64(docs[id_col], docs[text_col]), F.xxhash64(F.lit(7), docs[text_col], docs[id_col])
+    keyed = docs.select(k1.alias("k1"), k2.alias("k2"), docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+
+    def run(cols):
+        fps = np.array([simhash(t) for t in cols["text"]], np.uint64)
+        return {**{c: cols[c] for c in ("k1", "k2", "doc_id")}, "fp": fps.view(np.int64)}
+
+    rows = materialise(map_rows(keyed, run, "k1 long, k2 long, doc_id long, fp long"), "simhash")
+    rooted = _classes(rows, max_bits).select("fp", "root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")).alias("first")
+    at, other = free("at"), free("other")
+    kept = rows.join(rooted, "fp").groupBy("root").agg(first).select(F.col("first.k1").alias(at), F.col("first.k2").alias(other))
+    found = docs.withColumns({at: k1, other: k2}).join(kept, [at, other], "left_semi")
+    order = F.struct(*[F.col(c) for c, t in docs.dtypes if not t.startswith(("map", "variant"))])
+    row = free("row")
+    return found.groupBy(at, other).agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), order).alias(row)).select(*[F.col(row)[c].alias(c) for c in docs.columns])

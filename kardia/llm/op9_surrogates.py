@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 from functools import lru_cache
 from math import isqrt
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kardia.llm.common import documents, map_rows, rewrite_texts
 
 ROUNDS = 8
-KEY_SETTING = "spark.kardia.surrogate.key"  # the key; whoever runs the job sets it, the default is for tests
+KEY_SETTING = "spark.kardia.surrogate.key"  # the key; whoever wants equal surrogates in several runs sets it
 KINDS = ("email", "iban", "ssn", "ip", "ip6", "card", "phone", "name")
 
 # FIXED VALUES: given names by gender and script, and titles by gender
@@ -333,8 +334,16 @@ class Surrogates:
         return "".join(out) + text[at:], made
 
 
+_session_keys: dict[str, bytes] = {}
+
+
 def key_of(spark: SparkSession) -> bytes:
-    return spark.conf.get(KEY_SETTING, "no secret key is set").encode()[:64]
+    """The key that the job's setting names; without one, a random key of this application, which is kept nowhere: its
+    surrogates can't be made again, nor compared with those of another run."""
+    named = spark.conf.get(KEY_SETTING, None)
+    if named:
+        return named.encode()[:64]
+    return _session_keys.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
 _made: dict[bytes, Surrogates] = {}

@@ -468,10 +468,19 @@ def test_near_duplicates(spark, edge_docs, clashing, no_docs):
     want = sorted(((i, f"{f:016x}", c) for (i, _), f, c in zip(rows, fps, plain_components(fps, [i for i, _ in rows]))), key=repr)
     assert sorted_rows(op7_simhash.near_duplicates(clashing), "doc_id", "fingerprint", "component_id") == want
     assert op7_simhash.near_duplicates(no_docs).count() == 0
-    kept = op7_simhash.keep_representatives(edge_docs)
-    assert kept.columns == edge_docs.columns
     firsts = {c for _, _, c in want if c is not None}
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([*firsts, None, None], key=repr)
+    for docs in (edge_docs, clashing):
+        kept = op7_simhash.keep_representatives(docs)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([*firsts, None], key=repr)  # of the rows without id, one is alone, one empty like 2
+
+
+def test_representatives_of_repeated_ids(spark):
+    """Different texts of one id are different documents; the row kept isn't a copy of one in another component; rows without id are deduplicated, too."""
+    texts = [" ".join(f"w{i}{j}" for j in range(60)) for i in range(4)]
+    rows = [(5, texts[0]), (5, texts[1]), (5, texts[1]), (9, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (1, texts[3])]
+    kept = op7_simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(5, texts[0]), (5, texts[1]), (None, texts[2]), (1, texts[3])], key=repr)
 
 
 def test_near_duplicates_query(spark):

@@ -30,8 +30,8 @@ def test_pipeline_equals_plain_version(spark):
     assert got == want and 0 < len(got) < docs.count()
 
 
-def test_stages_keep_columns_and_bear_edges(spark, edge_docs, no_docs):
-    for docs in (edge_docs, no_docs):
+def test_stages_keep_columns_and_bear_edges(spark, edge_docs, no_docs, clashing):
+    for docs in (edge_docs, no_docs, clashing):
         n = docs.count()
         for name, stage in corpus_pipeline.STAGES[:-1]:
             kept = stage(spark, docs, SF)
