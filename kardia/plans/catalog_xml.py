@@ -24,6 +24,7 @@ from kardia.sources import tags
 FLAG_STAT = {"A": "HKQuantityTypeIdentifierActiveEnergyBurned",
              "N": "HKQuantityTypeIdentifierBasalEnergyBurned",
              "R": "HKQuantityTypeIdentifierDistanceWalkingRunning"}
+FILES = 8  # of a rendered export
 STATUS_META = {"F": "HKAverageMETs", "O": "HKWeatherTemperature"}
 
 
@@ -73,7 +74,7 @@ def workout_xml(spark: SparkSession, sf: str) -> DataFrame:
     route = F.concat(F.lit('\n  <WorkoutRoute sourceName="watch">\n    <MetadataEntry key="HKWeatherHumidity" value="'),
                      F.col("o_orderstatus"), F.lit('%"/>\n    <FileReference path="/private/var/workout-routes/route_'),
                      F.col("o_orderkey").cast("string"), F.lit('.gpx"/>\n  </WorkoutRoute>'))
-    j = o.join(children, o["o_orderkey"] == children["l_orderkey"], "left")
+    j = o.join(children, o["o_orderkey"] == children["l_orderkey"], "left").repartition(FILES)
     xml = F.concat(attrs, meta, F.lit("\n  "), F.coalesce(F.col("kids"), F.lit("")), route, F.lit("\n</Workout>"))
     return j.select("o_orderkey", xml.alias("xml"))
 
@@ -189,7 +190,7 @@ def summary_scan(spark, sf):
                    F.lit('" activeEnergyBurnedGoal="500" appleExerciseTime="'), (F.col("o_custkey") % 90).cast("string"),
                    F.lit('"/>'))
     path = f"{scratch_dir(spark, 'summaries')}/export"
-    o.select(xml.alias("value")).write.text(path)
+    o.repartition(FILES).select(xml.alias("value")).write.text(path)
     rows = el.scan_elements(spark, path, default_manifest(), tags.SUMMARY_TAG)
     return ts_str(rows.select("date", "active_energy", "active_energy_goal", "exercise_time", "stand_hours", "start_date"))
 
