@@ -28,10 +28,10 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
-from kardia.llm.common import arrow_schema, bounded_batches, documents, map_rows, materialise
+from kardia.llm.common import arrow_schema, bounded_batches, discard, documents, map_rows, materialise
 from kardia.llm.op3_decontaminate import NORMAL, words_of
 
 SEED = 10  # words that decide which suffix is retained
@@ -81,6 +81,11 @@ def retained(hashes: np.ndarray) -> np.ndarray:
     return np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
 
 
+def doc_key(doc_id: Column, text: Column) -> Column:
+    """16 bytes that order documents by id, and texts of one id by a hash."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in (doc_id.bitwiseXOR(F.lit(-1 << 63)), F.xxhash64(text))]))
+
+
 def suffixes(docs: DataFrame) -> DataFrame:
     """``(doc, at, depth_hash, back)`` of the retained suffixes of ``docs(doc, text)``; ``back`` words before is the text's first one with this hash."""
     def run(cols):
@@ -97,7 +102,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
                 back.append(places - places[first[same]])
         return {"doc": doc, "at": np.concatenate(at).astype(np.int32), "depth_hash": np.concatenate(deep).view(np.int64), "back": np.concatenate(back).astype(np.int32)}
 
-    return map_rows(docs, run, "doc long, at int, depth_hash long, back int")
+    return map_rows(docs, run, "doc binary, at int, depth_hash long, back int")
 
 
 def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +117,7 @@ def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
 def contexts(docs: DataFrame) -> DataFrame:
     """The words beside each shared suffix of ``docs(doc, text, shared)``: on its left backwards, on its right behind the depth.
 
-    A word is 32 bits of its hash. ``chars`` are the code points where the match begins (left) or ends
+    Of each suffix the sides that ``left`` and ``right`` ask for. A word is 32 bits of its hash. ``chars`` are the code points where the match begins (left) or ends
     (right) if it goes on by 0, 1, 2 ... words.
     """
     def run(cols):
@@ -120,20 +125,18 @@ def contexts(docs: DataFrame) -> DataFrame:
         out = []
         for doc, text, shared in zip(cols["doc"], cols["text"], cols["shared"]):
             h = word_hashes(words_of(text), memo)
-            deep = run_hashes(h, DEPTH).view(np.int64).tolist()
             h = h.astype(np.uint32)
             starts, ends = word_places(text)
             for s in shared:
                 at = s["at"]
-                if at >= len(deep) or deep[at] != s["depth_hash"]:
-                    continue  # a suffix of another text with this id
                 low, end = max(0, at - REACH), at + DEPTH
                 for side, words, chars in (("l", h[low:at][::-1], starts[low:at + 1][::-1]), ("r", h[end:end + REACH], ends[end - 1:end + REACH])):
-                    out.append({"doc": doc, "at": at, "side": side, "depth_hash": s["depth_hash"], "first": int(words[0]) if len(words) else -1,
-                                "words": words.astype(">u4").tobytes(), "chars": packed(chars)})
+                    if s["left" if side == "l" else "right"]:
+                        out.append({"doc": doc, "at": at, "side": side, "depth_hash": s["depth_hash"], "first": int(words[0]) if len(words) else -1,
+                                    "words": words.astype(">u4").tobytes(), "chars": packed(chars)})
         return out
 
-    return map_rows(docs, run, "doc long, at int, side string, depth_hash long, first long, words binary, chars binary")
+    return map_rows(docs, run, "doc binary, at int, side string, depth_hash long, first long, words binary, chars binary")
 
 
 def packed(chars: np.ndarray) -> bytes:
@@ -165,7 +168,7 @@ def extensions(sides: DataFrame) -> DataFrame:
     """
     tasks = int(sides.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lined = sides.repartition(tasks, "depth_hash", "side", "first").sortWithinPartitions("depth_hash", "side", "words", "doc", "at")
-    schema = StructType.fromDDL("doc long, at int, side string, words int, char long")
+    schema = StructType.fromDDL("doc binary, at int, side string, words int, char long")
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,6 +206,29 @@ def extensions(sides: DataFrame) -> DataFrame:
     return lined.mapInArrow(run, schema)
 
 
+def sides_needed(found: DataFrame) -> DataFrame:
+    """``found`` with ``left`` and ``right``: is the suffix to be extended there?
+
+    Where the shared suffix before begins within ``DEPTH`` words and is of the same class, an extension to the left adds nothing: it
+    either ends inside that suffix's words, or its partner holds these, too, and is found there. Likewise to the right. What is needed in one document
+    is needed in all that hold the suffix, for it is compared with them."""
+    by = Window.partitionBy("doc").orderBy("at")  # a document's shared suffixes: bounded by its text
+    shift = F.col("place") - F.col("at")
+
+    def goes_on(other):
+        return F.coalesce((F.abs(other("at") - F.col("at")) <= DEPTH) & (other("lowest") == F.col("lowest")) & (other("shift") == F.col("shift")), F.lit(False))
+
+    own = found.withColumn("shift", shift)
+    own = own.select("*", (~goes_on(lambda c: F.lag(c).over(by))).alias("head"), (~goes_on(lambda c: F.lead(c).over(by))).alias("tail")).drop("shift")
+    own = materialise(own, "suffixes-own")
+    asked = materialise(own.groupBy("depth_hash").agg(F.max("head").alias("left"), F.max("tail").alias("right")).where("left OR right"), "suffixes-asked")
+    return own.drop("head", "tail").join(asked, "depth_hash", "left").fillna(False, ["left", "right"])
+
+
+def id_of(key: bytes) -> int:
+    return int.from_bytes(key[:8], "big") - (1 << 63)
+
+
 def united(matches: list[tuple]) -> list[tuple]:
     """(first word, end, first char, end, partner, matches) of ``(first word, end, first char, end, partner, at, class_doc, class_at)``.
 
@@ -247,21 +273,25 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     them. Words ``class_at`` to ``class_at + class_words`` of ``class_doc``, the lowest document that holds
     them (possibly this one), stand in this document, between ``start`` and ``end``, which
     are as far as its matches go with any document. Two documents share the words at which their
-    classes of one ``class_doc`` overlap, so every link can be rebuilt from these rows without pairs. Null, empty and short texts have none. Rows without an id take no part. Of rows with
-    one id, the one whose text has the smallest hash stands for all.
+    classes of one ``class_doc`` overlap, so every link can be rebuilt from these rows without pairs. Null, empty and short texts have none. Rows without an id take no part. Different texts of
+    one id are documents of their own, which may be each other's partners; equal rows are one. A class document is named by its id, and is the
+    text of least hash where several texts of that id hold the words.
     """
     bounded_batches(docs.sparkSession)
-    rows = documents(docs, id_col, text_col).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
-    texts = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy(F.xxhash64("text"), "text"))).where("n = 1").drop("n")
-    kept = materialise(suffixes(rows), "suffixes")
+    rows = documents(docs, id_col, text_col).where("doc_id IS NOT NULL")
+    rows = rows.select(doc_key(F.col("doc_id"), F.col("text")).alias("doc"), "text")
+    kept = materialise(suffixes(rows).distinct(), "suffixes")  # equal rows are one document
     # written, so that the join below has plain exchanges on both sides and a passage that very many documents share can be split
     shared = materialise(kept.groupBy("depth_hash").agg(F.min("doc").alias("lowest"), F.max("doc").alias("highest"), F.min_by(F.col("at") - F.col("back"), "doc").alias("place")).where("lowest < highest"), "suffixes-common")
-    found = materialise(kept.join(shared, "depth_hash"), "suffixes-shared")
-    per_text = found.select("doc", F.struct("at", "depth_hash").alias("s")).groupBy("doc").agg(F.collect_list("s").alias("shared"))
-    longer = extensions(contexts(texts.join(per_text, "doc")))
+    found = materialise(sides_needed(kept.join(shared, "depth_hash")), "suffixes-shared")
+    discard(kept, shared)
+    asked = found.where("left OR right").select("doc", F.struct("at", "depth_hash", "left", "right").alias("s")).groupBy("doc").agg(F.collect_list("s").alias("shared"))
+    texts = rows.join(asked, "doc").groupBy("doc").agg(F.first("text").alias("text"), F.first("shared").alias("shared"))
+    longer = extensions(contexts(texts))
     other = F.when(F.col("lowest") < F.col("doc"), F.col("lowest")).otherwise(F.col("highest"))
-    parts = longer.withColumn("partner", F.lit(None).cast("long")).unionByName(found.select("doc", "at", other.alias("partner"), "lowest", "place"), allowMissingColumns=True)
+    parts = longer.withColumn("partner", F.lit(None).cast("binary")).unionByName(found.select("doc", "at", other.alias("partner"), "lowest", "place"), allowMissingColumns=True)
     per_doc = parts.groupBy("doc").agg(F.collect_list(F.struct("at", "side", "words", "char", "partner", "lowest", "place")).alias("parts"))
+    nowhere = {"l": {"words": 0, "char": 1 << 62}, "r": {"words": 0, "char": -1}}  # a side that another suffix of the run answers for
 
     def run(cols):
         out = []
@@ -269,11 +299,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             matches = []
             for at, own in groupby(sorted(parts, key=lambda p: p["at"]), key=lambda p: p["at"]):
                 own = list(own)
-                side = {p["side"]: p for p in own if p["side"]}
-                if len(side) == 2:
-                    partner, lowest, place = min((p["partner"], p["lowest"], p["place"]) for p in own if p["partner"] is not None)
-                    matches.append((at - side["l"]["words"], at + DEPTH + side["r"]["words"], side["l"]["char"], side["r"]["char"], partner, at, lowest, place))
-            out += [{"doc_id": doc, "start": start, "end": end, "n_words": b - a, "partner_id": partner, "classes": classes(own)}
+                side = nowhere | {p["side"]: p for p in own if p["side"]}
+                partner, lowest, place = min((p["partner"], p["lowest"], p["place"]) for p in own if p["partner"] is not None)
+                matches.append((at - side["l"]["words"], at + DEPTH + side["r"]["words"], side["l"]["char"], side["r"]["char"], id_of(partner), at, id_of(lowest), place))
+            out += [{"doc_id": id_of(doc), "start": start, "end": end, "n_words": b - a, "partner_id": partner, "classes": classes(own)}
                     for a, b, start, end, partner, own in united(matches) if b - a >= least]
         return out
 

@@ -333,6 +333,17 @@ def test_repeats_keep_each_link(spark):
     assert [len(r.classes) for r in found if r.doc_id >= 40] == [1, 1]
 
 
+def test_repeats_of_clashing_ids(spark):
+    """Each text of an id is a document: what a third one shares with either is found, and so is what they share with each other."""
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    a, b, c = text(60), text(60), text(60)
+    rows = [(1, f"{a} {text(20)}"), (1, f"{b} {c} {text(20)}"), (1, f"{text(20)} {c}"), (2, f"{text(9)} {a}"), (3, f"{text(9)} {b}"), (4, text(90)), (4, text(90)), (-7, c), (-7, c)]
+    found = op5_suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.n_words) for r in found) == Counter([(1, 60), (1, 120), (1, 60), (2, 60), (3, 60), (-7, 60)])
+    assert {r.partner_id for r in found if r.doc_id in (2, 3)} == {1} and [r.partner_id for r in found if r.doc_id == -7] == [1]
+
+
 # ---- 6: secrets ----------------------------------------------------------------------
 
 def plain_base(x):
