@@ -1,23 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A text is cut into clauses. In a clause each word becomes a symbol class (insult with
-its weight, threat, person addressed, group, negation, reporting verb, other),
-and the composed transducer reads the classes from left to right:
+A text is cut into clauses. In a clause each word is read as a symbol class (insult, harm, intent, target,
+negation, report …). Six small transducers read the classes side by side:
 
-* ``target``: a person or group within reach makes the insults after it aimed;
-* ``negation``: a negation word takes weight from insults and threats up to its reach;
-* ``report``: a reporting verb, or an open quotation, marks what follows as said by others;
-* ``insult``: emits the word's weight, scaled by the state (aimed, negated, reported);
-* ``threat``: an intent word followed by a word of harm emits the threat weight.
+* ``target``: how far back a person addressed or spoken of was named;
+* ``negation`` and ``report``: how far back a negation or a reporting verb was; ``quote``: whether a quotation is open in this clause;
+* ``insult``: how far back an insult was, so that a target behind it aims it, too;
+* ``threat``: an intent ("will", "going to"), then a word of harm, then a target; or a target, an intent, "be" and harm;
+  or harm and "yourself".
 
-A state is the three distances since target, negation and report; a clause's weight
-is the log-semiring sum of what its path emits. The clause weights, not the words,
-make the document's score: the strongest clause, the sum, and the share of
-matched clauses enter a logistic link.
+Their composition is one machine: a table of states x classes, built once, whose arcs say what they emit — an insult or a threat,
+and whether it is aimed, negated or reported. A transducer can be left out of the composition. Words outside matched
+patterns emit nothing, and a document's features are sums of what its clauses emit: the weights that were aimed, negated, reported
+or threats, each by itself, so that what aim, negation, report and threat are worth is fitted from labels (towards the
+starter weights, where there are few).
 
 Which word is an insult is part of a public starter lexicon; further insult words and
-stems (in any language) and all weights are fitted from labelled training documents:
-word and stem arcs get their smoothed log-odds. The fit uses a bounded sample,
+stems (in any language) are fitted from labelled training documents:
+word and stem arcs get their smoothed log-odds, and all that pass the odds test are kept. The fit uses a bounded sample,
 ``SAMPLE`` labelled rows by the smallest hash of the id.
 """
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -33,36 +34,131 @@ from pyspark.sql import DataFrame, functions as F
 from kardia.llm.common import documents, filter_texts, map_rows
 
 SAMPLE = 20_000  # labelled rows of the fit, at most
-ARCS = 20_000  # learned word and stem arcs, at most: the strongest
 STEM = (4, 12)  # letters of a stem arc
 LEAST_DOCS = 4  # toxic documents with a word or stem, for it to become an arc
 LEAST_ODDS = 2.0  # its log-odds
 THRESHOLD = 0.5
 REACH = 4  # words that a target, negation or report reaches
+INTENT_REACH = 3  # words from an intent to the harm
+THREAT = 4.0  # weight of a threat beside those of insults
+PRIOR = 0.1  # how strongly the link is held to the starter link
 
 # FIXED VALUES: starter lexicons of the grammar, in natural order
 INSULTS = ("clown", "disgusting", "dumb", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
-INTENTS = ("gonna", "shall", "will", "werde", "voy", "vais")
-HARMS = ("beat", "burn", "destroy", "hurt", "kill", "murder", "smash", "schlagen", "töten", "matar", "tuer")
-TARGETS = ("he", "she", "they", "you", "your", "du", "ihr", "sie", "tu", "vous", "usted", "ustedes")
-NEGATIONS = ("aren't", "isn't", "never", "no", "not", "without", "nicht", "kein", "keine", "nunca", "jamás", "jamais", "pas")
+INTENTS = ("gonna", "shall", "will", "werde", "werden", "wird", "voy", "vamos", "vais", "vas", "allons")
+GOING, TO = ("going",), ("to",)
+BE = ("be", "get", "être", "ser")
+HARM_VERBS = ("beat", "burn", "destroy", "hurt", "kill", "murder", "shoot", "smash", "stab")
+HARMS = ("beaten", "burnt", "shot", "stabbed", "stabbing", "schlagen", "töten", "umbringen", "matar", "golpear", "tuer", "frapper")
+TARGETS = ("he", "her", "him", "she", "them", "they", "you", "your", "du", "dich", "euch", "ihn", "ihr", "sie", "te", "tu", "vous", "usted", "ustedes")
+REFLEXIVES = ("yourself", "yourselves")
+NEGATIONS = ("aren't", "don't", "isn't", "never", "no", "not", "wasn't", "without", "won't", "nicht", "kein", "keine", "nunca", "jamás", "jamais", "pas")
 REPORTS = ("called", "claims", "quoted", "reported", "said", "says", "sagte", "dijo", "dit")
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;:\n]+|[\"“”«»]")
-_OTHER, _INTENT, _HARM, _TARGET, _NEGATION, _REPORT = range(6)
-_CLASS = {w: k for k, words in ((_INTENT, INTENTS), (_HARM, HARMS), (_TARGET, TARGETS), (_NEGATION, NEGATIONS), (_REPORT, REPORTS)) for w in words}
+CLASSES = OTHER, INSULT, INTENT, GO, GO_TO, PASSIVE, HARM, TARGET, REFLEXIVE, NEGATION, REPORT, QUOTE = tuple(range(12))
+_CLASS = {w: k for k, words in ((INTENT, INTENTS), (GO, GOING), (GO_TO, TO), (PASSIVE, BE), (HARM, [v + e for v in HARM_VERBS for e in ("", "s", "ed", "ing")]), (HARM, HARMS),
+                                (TARGET, TARGETS), (REFLEXIVE, REFLEXIVES), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
+_CLASS |= {v[:-1] + "ing": HARM for v in HARM_VERBS if v.endswith("e")}
+
+# what an arc emits
+IS_INSULT, IS_AIMED, IS_NEGATED, IS_REPORTED, IS_THREAT, AIMS_LAST = 1, 2, 4, 8, 16, 32
+
+
+def word_class(word: str) -> int:
+    if word[0] in "\"“”«»":
+        return QUOTE
+    return INTENT if word.endswith(("'ll", "’ll")) else _CLASS.get(word, OTHER)
+
+
+class Distance:
+    """Words since the last symbol of some classes, ``reach`` if that is too long ago."""
+
+    def __init__(self, *triggers: int, reach: int = REACH):
+        self.triggers, self.reach, self.start = triggers, reach, reach
+
+    def step(self, state: int, symbol: int) -> int:
+        return 0 if symbol in self.triggers else min(state + 1, self.reach)
+
+
+class Quote:
+    start = 0
+
+    def step(self, state: int, symbol: int) -> int:
+        return 1 - state if symbol == QUOTE else state
+
+
+class Threat:
+    """``("intent", words ago, passive)``, ``("harm", words ago)`` after an intent, ``("bare",)`` harm without one, ``("going",)`` or ``()``."""
+    start = ()
+
+    def step(self, state: tuple, symbol: int) -> tuple:
+        kind = state[0] if state else None
+        if symbol == INTENT or symbol == GO_TO and kind == "going":
+            return ("intent", 0, False)
+        if symbol == GO:
+            return ("going",)
+        if symbol == HARM:
+            return ("harm", 0) if kind == "intent" else ("bare",)
+        if kind == "intent" and state[1] + 1 < INTENT_REACH:
+            return ("intent", state[1] + 1, state[2] or symbol == PASSIVE)
+        if kind == "harm" and state[1] == 0 and symbol not in (TARGET, REFLEXIVE):
+            return ("harm", 1)
+        return ()
+
+
+TRANSDUCERS = {"target": Distance(TARGET, REFLEXIVE), "negation": Distance(NEGATION), "report": Distance(REPORT), "quote": Quote(), "insult": Distance(INSULT, HARM), "threat": Threat()}
+
+
+def emitted(states: dict, symbol: int) -> int:
+    """What the transducers, in these states, emit together on a symbol; one that is left out has no state."""
+    within = lambda part: states.get(part, REACH) < REACH
+    threat, out = states.get("threat", ()), 0
+    kind = threat[0] if threat else None
+    if symbol in (INSULT, HARM):
+        out = IS_INSULT | (IS_AIMED if within("target") else 0)
+        if symbol == HARM and kind == "intent" and threat[2] and within("target"):
+            out |= IS_THREAT
+    elif symbol in (TARGET, REFLEXIVE):
+        if kind == "harm" or kind == "bare" and symbol == REFLEXIVE:
+            out = IS_THREAT | IS_AIMED
+        elif "target" in states and within("insult") and not within("target"):
+            out = AIMS_LAST
+    if out & (IS_INSULT | IS_THREAT):
+        out |= (IS_NEGATED if within("negation") else 0) | (IS_REPORTED if within("report") or states.get("quote") else 0)
+    return out
+
+
+class Machine:
+    """The composition: ``next[state * len(CLASSES) + symbol]`` and ``emits[...]`` over all states that can be reached from 0."""
+
+    def __init__(self, parts: tuple[str, ...]):
+        start = tuple(TRANSDUCERS[p].start for p in parts)
+        number, waiting, self.next, self.emits = {start: 0}, [start], [], []
+        for state in waiting:
+            named = dict(zip(parts, state))
+            for symbol in CLASSES:
+                after = tuple(TRANSDUCERS[p].step(v, symbol) for p, v in named.items())
+                if after not in number:
+                    number[after] = len(waiting)
+                    waiting.append(after)
+                self.next.append(number[after])
+                self.emits.append(emitted(named, symbol))
+
+
+@lru_cache(maxsize=None)
+def compose(parts: tuple[str, ...] = tuple(TRANSDUCERS)) -> Machine:
+    return Machine(parts)
 
 
 @dataclass
 class Grammar:
-    """Weights of the arcs and of the link from clause weights to a score."""
+    """Weights of the insult arcs, the transducers composed, and the link from what clauses emit to a score."""
     words: dict[str, float] = field(default_factory=lambda: dict.fromkeys(INSULTS, 4.0))
     stems: dict[str, float] = field(default_factory=dict)
-    threat: float = 4.0
-    aimed: float = 1.25
-    negated: float = 0.5
-    reported: float = 0.6
-    link: tuple[float, ...] = (-3.0, 1.5, 0.3, 1.0, 0.0)
+    parts: tuple[str, ...] = tuple(TRANSDUCERS)
+    # intercept; strongest, all, aimed, negated, reported, threats, share of matched clauses
+    link: tuple[float, ...] = (-3.0, 0.6, 0.8, 0.5, -2.0, -1.2, 1.5, 0.0)
 
     def weight(self, word: str) -> float:
         """The insult weight of a lower-case word: that of the word, or of its strongest stem."""
@@ -72,58 +168,51 @@ class Grammar:
         return w
 
 
-def clauses(grammar: Grammar, text: str, memo: dict[str, float]) -> tuple[list[float], int]:
-    """Emitted weights of the matched clauses of a text, and the number of its clauses."""
-    found: list[float] = []
-    n, words, emitted, quoted = 0, 0, 0.0, False
-    target = negation = report = intent = -REACH - 1  # places of the last one in this clause
+def clauses(grammar: Grammar, text: str, memo: dict[str, tuple[int, float]]) -> tuple[list[list[tuple[float, int]]], int]:
+    """``(weight, flags)`` of what each matched clause of a text emits, and the number of its clauses."""
+    machine = compose(grammar.parts)
+    step, emits, symbols = machine.next, machine.emits, len(CLASSES)
+    found: list[list[tuple[float, int]]] = []
+    n, words, state, clause = 0, 0, 0, []
     for word in WORD.findall(text.lower()):
-        first = word[0]
-        if first in ".!?;:\n":
+        if word[0] in ".!?;:\n":
             if words:
                 n += 1
-                if emitted > 0:
-                    found.append(emitted)
-            words, emitted = 0, 0.0
-            target = negation = report = intent = -REACH - 1
-            continue
-        if first in "\"“”«»":
-            quoted = not quoted
+                if clause:
+                    found.append(clause)
+            words, state, clause = 0, 0, []
             continue
-        words += 1
-        w = memo.get(word)
-        if w is None:
-            w = memo[word] = grammar.weight(word)
-        kind = _CLASS.get(word, _OTHER)
-        if kind == _TARGET:
-            target = words
-        elif kind == _NEGATION:
-            negation = words
-        elif kind == _REPORT:
-            report = words
-        elif kind == _INTENT:
-            intent = words
-        if kind == _HARM and words - intent <= REACH:
-            w = max(w, grammar.threat)
-        if w > 0:
-            if words - target <= REACH:
-                w *= grammar.aimed
-            if words - negation <= REACH:
-                w *= grammar.negated
-            if quoted or words - report <= REACH:
-                w *= grammar.reported
-            emitted = w if emitted <= 0 else max(emitted, w) + math.log1p(math.exp(-abs(emitted - w)))
+        known = memo.get(word)
+        if known is None:
+            kind = word_class(word)
+            w = grammar.weight(word) if kind in (OTHER, HARM) else 0.0
+            known = memo[word] = (INSULT if kind == OTHER and w > 0 else kind, w)
+        symbol, w = known
+        words += symbol != QUOTE
+        at = state * symbols + symbol
+        out, state = emits[at], step[at]
+        if out:
+            if out & AIMS_LAST:
+                if clause:
+                    clause[-1] = (clause[-1][0], clause[-1][1] | IS_AIMED)
+            elif out & IS_THREAT:
+                clause.append((max(w, THREAT), out))
+            elif w > 0:
+                clause.append((w, out))
     if words:
         n += 1
-        if emitted > 0:
-            found.append(emitted)
+        if clause:
+            found.append(clause)
     return found, n
 
 
-def features(grammar: Grammar, text: str, memo: dict[str, float]) -> list[float]:
-    """Strongest clause, log of the sum, whether one clause matched, share of matched clauses."""
+def features(grammar: Grammar, text: str, memo: dict[str, tuple[int, float]]) -> list[float]:
+    """Strongest weight emitted; logs of the sums of all weights, and of those aimed, negated, reported; log of the number of threats; share of matched clauses."""
     found, n = clauses(grammar, text, memo)
-    return [max(found, default=0.0), math.log1p(sum(found)), float(bool(found)), len(found) / n if n else 0.0]
+    emitted_ = [e for clause in found for e in clause]
+    of = lambda flag: math.log1p(sum(w for w, flags in emitted_ if flags & flag))
+    return [max((w for w, _ in emitted_), default=0.0), math.log1p(sum(w for w, _ in emitted_)), of(IS_AIMED), of(IS_NEGATED), of(IS_REPORTED),
+            math.log1p(sum(1 for _, flags in emitted_ if flags & IS_THREAT)), len(found) / n if n else 0.0]
 
 
 class Scorer:
@@ -177,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     counts = map_rows(rows.select("text", "label"), units, "unit string, toxic int, clean int").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (totals.toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (totals.clean + 1.0))
     strong = counts.where(F.col("toxic") >= LEAST_DOCS).select("unit", odds.alias("odds")).where(F.col("odds") >= LEAST_ODDS)
-    arcs = strong.orderBy(F.desc("odds"), "unit").limit(ARCS).collect()
+    arcs = strong.collect()  # of words in LEAST_DOCS toxic rows of the sample, so bounded by it
     grammar = Grammar()
     for unit, weight in arcs:
         if unit.endswith("*"):
@@ -193,18 +282,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     seen = map_rows(rows.select("text", "label"), clause_features, "x array<double>, y int").collect()
     x = np.array([r.x for r in seen])
     y = np.array([float(r.y == 1) for r in seen])
-    grammar.link = logistic(x, y)
+    grammar.link = logistic(x, y, grammar.link, PRIOR)
     return grammar
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> tuple[float, ...]:
-    """Intercept and weights of a ridge logistic regression, by Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, prior: tuple[float, ...] | None = None, strength: float = 1e-2, rounds: int = 50) -> tuple[float, ...]:
+    """Intercept and weights of a logistic regression held to ``prior`` (by default 0), by Newton steps."""
     a = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(a.shape[1])
-    penalty = ridge * np.eye(len(w))
+    centre = np.zeros(a.shape[1]) if prior is None else np.array(prior)
+    w = centre.copy()
+    penalty = strength * np.eye(len(w))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - y) + penalty @ w
+        g = a.T @ (p - y) + penalty @ (w - centre)
         step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + penalty, g)
         w -= step
         if np.abs(step).max() < 1e-8:

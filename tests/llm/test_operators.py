@@ -546,14 +546,80 @@ def test_training_rows_are_one_of_each_id(spark):
 
 def test_grammar_weighs_clauses():
     grammar = op10_toxicity.Grammar()
-    weight = lambda t: sum(op10_toxicity.clauses(grammar, t, {})[0])
-    assert weight("nice words") == 0 and weight("") == 0
-    assert weight("you are an idiot") > weight("an idiot") > weight("not an idiot") > 0
-    assert weight("he said an idiot") < weight("idiot")
-    assert weight("\"an idiot\"") < weight("an idiot")
-    assert weight("i will hurt them") > 0 and weight("it may hurt") == 0
+    score = op10_toxicity.Scorer(grammar)
+    assert score("nice words") == score("") == score("it may hurt") < 0.1
+    assert score("you are an idiot") > score("an idiot") > score("not an idiot") > score("")
+    assert score("he said an idiot") < score("idiot") and score("\"an idiot\"") < score("an idiot")
     assert len(op10_toxicity.clauses(grammar, "idiot. fine. moron!", {})[0]) == 2
-    assert op10_toxicity.Scorer(grammar)("you stupid moron, you are worthless trash") > 0.5 > op10_toxicity.Scorer(grammar)("the author isn't here")
+    assert score("you stupid moron, you are worthless trash") > 0.5 > score("the author isn't here")
+
+
+PLANTED = {  # what each transducer decides, in clauses of its own
+    "target": ["you are an idiot", "stupid, aren't you", "you will be killed"],
+    "negation": ["he is not an idiot", "i will never hurt you"],
+    "report": ["she said you are an idiot"],
+    "quote": ['"you idiot"'],
+    "insult": ["moron that you are"],
+    "threat": ["I am going to kill you", "i'll hurt them", "you will be killed", "kill yourself"],
+}
+
+
+def test_each_transducer_changes_its_clauses():
+    whole = op10_toxicity.Scorer(op10_toxicity.Grammar())
+    for part, texts in PLANTED.items():
+        without = op10_toxicity.Scorer(op10_toxicity.Grammar(parts=tuple(p for p in op10_toxicity.TRANSDUCERS if p != part)))
+        assert all(abs(whole(t) - without(t)) > 0.01 for t in texts), part
+        assert without("the dog is worthless") == whole("the dog is worthless")
+    for t in ("I am going to kill you", "I'm going to hurt you", "you will be killed", "you are an idiot", "fine. a \" stray mark. you are a moron"):
+        assert whole(t) > 0.5, t
+    for t in ("he is not an idiot", "I will kill the process", "she said you are an idiot", "i will not hurt you"):
+        assert whole(t) < 0.5, t
+
+
+@pytest.mark.parametrize("parts", [tuple(op10_toxicity.TRANSDUCERS), ("target", "negation"), ("threat",), ()])
+def test_composition_equals_transducers_side_by_side(parts):
+    rng = random.Random(len(parts))
+    machine, k = op10_toxicity.compose(parts), len(op10_toxicity.CLASSES)
+    for _ in range(300):
+        state, apart = 0, {p: op10_toxicity.TRANSDUCERS[p].start for p in parts}
+        for symbol in rng.choices(op10_toxicity.CLASSES, k=rng.randint(1, 30)):
+            assert machine.emits[state * k + symbol] == op10_toxicity.emitted(apart, symbol)
+            state = machine.next[state * k + symbol]
+            apart = {p: op10_toxicity.TRANSDUCERS[p].step(v, symbol) for p, v in apart.items()}
+
+
+def plain_toxicity(grammar, text):
+    """Features by the definition: every word's flags from the words around it, without states."""
+    op, n, matched, out = op10_toxicity, 0, 0, []
+    for clause in re.split(r"[.!?;:\n]+", text.lower()):
+        tokens = [t for t in op.WORD.findall(clause)]
+        if not any(t[0].isalpha() for t in tokens):
+            continue
+        n += 1
+        kinds = [op.word_class(t) for t in tokens]
+        weights = [grammar.weight(t) if k in (op.OTHER, op.HARM) else 0.0 for t, k in zip(tokens, kinds)]
+        kinds = [op.INSULT if k == op.OTHER and w > 0 else k for k, w in zip(kinds, weights)]
+        within = lambda i, *classes: any(k in classes for k in kinds[max(0, i - op.REACH):i])
+        own = []
+        for i, (k, w) in enumerate(zip(kinds, weights)):
+            said = within(i, op.REPORT) or kinds[:i].count(op.QUOTE) % 2 == 1
+            if k in (op.INSULT, op.HARM) and w > 0:
+                own.append([w, within(i, op.TARGET, op.REFLEXIVE), within(i, op.NEGATION), said])
+            elif k in (op.TARGET, op.REFLEXIVE) and own and within(i, op.INSULT, op.HARM) and not within(i, op.TARGET, op.REFLEXIVE):
+                own[-1][1] = True
+        matched += bool(own)
+        out += own
+    total = lambda at: np.log1p(sum(e[0] for e in out if e[at]))
+    return [max((e[0] for e in out), default=0.0), np.log1p(sum(e[0] for e in out)), total(1), total(2), total(3), 0.0, matched / n if n else 0.0]
+
+
+def test_features_equal_the_definition(spark):
+    """Texts without intents and reflexives, so that threats (tested above) play no part."""
+    grammar = op10_toxicity.Grammar(stems={"blöd": 3.0, "idiota": 2.5})
+    rng = random.Random(4)
+    words = ["idiot", "moron", "scum", "you", "he", "not", "never", "said", '"', "dog", "tree", ".", "!", "blöder", "idiotas", "the", "a", "nice"]
+    for text in [" ".join(rng.choices(words, k=rng.randint(0, 40))) for _ in range(400)]:
+        assert np.allclose(op10_toxicity.features(grammar, text, {}), plain_toxicity(grammar, text)), text
 
 
 def test_discriminant_is_the_formula():
