@@ -4,11 +4,11 @@ Base spans are matches of three patterns (assignments, access keys, long hex run
 Beyond them, a candidate is a run of key characters that stands near a sensitive word: shortly
 before it, also in the lines above, or behind it in its line; of ``NAME=value`` the value is the
 candidate and the name its context, and a run that follows another one after a line break (a key in
-several lines) is near what that is near. Its novelty is the number of bytes by which it lengthens
-the compressed surrounding code: zstandard, primed with a dictionary of common
-identifiers, compresses the text around the candidate with and without it. Names, paths
-and repetitions cost little; a candidate that costs nearly its whole
-length is incompressible and is reported as ``novel``. A candidate in which letter cases and digits
+several lines) is near what that is near; so is the password of a URL. Its novelty is the number of bytes that zstandard, primed with a
+dictionary of common identifiers and of the surrounding code, takes for it, without the constant cost of a frame. It is set against
+what random strings of the same form (cases, digits and signs at the same places) take on average in the same surroundings: names, paths
+and repetitions take much less, a candidate that takes as much is incompressible and is reported as ``novel``, whatever its length. A
+candidate in which letter cases and digits
 hardly mix is plain: as zstandard cannot tell a long word from random letters, its letters
 must also cost, by the pairs of letters in known words, what random ones cost.
 """
@@ -16,6 +16,7 @@ must also cost, by the pairs of letters in known words, what random ones cost.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 from functools import lru_cache
@@ -30,16 +31,16 @@ KINDS = ("assign", "access", "hex", "novel")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24  # characters
 LEAST_CANDIDATE = 16  # characters
 MIXED = 0.25  # changes between lower case, upper case and digits, per character; a candidate with fewer is plain
-NOVEL = 0.8  # marginal bytes per byte of the candidate
-PLAIN = 0.5  # marginal bytes per byte of a plain candidate, whose letters need less than a byte
+NOVEL = 0.88  # marginal bytes, as share of those of random strings of the same form
+TWINS = 6  # random strings that a candidate is set against
 PLAIN_BITS = log2(26)  # bits per character of a plain candidate by the letters of known words: no less than letters at random
-LONG, IN_LONG = 128, 0.7  # a longer candidate shapes the code that compresses it; marginal bytes per byte beyond that length
 REACH = 64  # characters before and behind a candidate in which a sensitive word stands
 AROUND = 256  # characters of surrounding code on either side
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{%d,}" % LEAST_HEX)  # a run is taken whole, so the least length can be in the pattern
+URL_USER = re.compile(r"://[^/\s:@]*:$")  # before a password in a URL, which an @ follows
 BREAK = re.compile(r"""(?:\s|\\[nrt]|["'+,\\])+""")  # between the lines of one value
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_CANDIDATE)
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -81,18 +82,35 @@ COMMON = ("about above account action after again against all almost alone along
           "university until usually various very view voice walk want watch water week weight well were western what when where whether which "
           "while white whole whose wide will wind window winter within without woman wonder word work world would write written year young")
 
-_PRIMED = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+def _packer(before: str, after: str) -> zstandard.ZstdCompressor:
+    """A compressor that knows the identifiers and the surroundings, the nearest last."""
+    known = f"{IDENTIFIERS} {COMMON}\n{after}\n{before}".encode("utf-8", "replace")
+    primed = zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(level=12, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
-@lru_cache(maxsize=1)
-def _packer() -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(level=12, dict_data=_PRIMED, write_checksum=False, write_content_size=False, write_dict_id=False)
+def _cost(packer: zstandard.ZstdCompressor, word: str) -> int:
+    return len(packer.compress(word.encode("utf-8", "replace"))) - len(packer.compress(b""))
 
 
 def marginal_bytes(candidate: str, before: str, after: str) -> int:
-    """Bytes by which the candidate lengthens its compressed surroundings."""
-    around, own = (before + "\n" + after + "\n").encode("utf-8", "replace"), candidate.encode("utf-8", "replace")
-    return len(_packer().compress(around + own)) - len(_packer().compress(around))
+    """Bytes that the candidate takes beside its surroundings."""
+    return _cost(_packer(before, after), candidate)
+
+
+_KIND = {c: kind for kind in ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") for c in kind}
+
+
+def twins(word: str) -> list[str]:
+    """Random strings of the word's form, the same ones whenever it is met."""
+    rng = random.Random(word)
+    return ["".join(rng.choice(_KIND[c]) if c in _KIND else c for c in word) for _ in range(TWINS)]
+
+
+def relative_novelty(word: str, before: str, after: str) -> float:
+    """Marginal bytes of a candidate as share of those of its twins, in the same surroundings."""
+    packer = _packer(before, after)
+    return _cost(packer, word) * TWINS / max(1, sum(_cost(packer, t) for t in twins(word)))
 
 
 def _novelty(text: str, start: int, end: int) -> int:
@@ -116,9 +134,9 @@ def value_start(text: str, start: int, end: int) -> int:
 
 
 def sensitive(text: str, run: int, start: int, end: int) -> bool:
-    """Whether a sensitive word stands before the candidate, with its name from ``run`` on, or behind it in its line."""
+    """Whether a sensitive word stands before the candidate, with its name from ``run`` on, or behind it in its line, or it is a URL's password."""
     before, behind = text[max(0, run - REACH):start].lower(), text[end:end + REACH].partition("\n")[0].lower()
-    return any(w in before or w in behind for w in SENSITIVE)
+    return any(w in before or w in behind for w in SENSITIVE) or behind.startswith("@") and bool(URL_USER.search(before))
 
 
 @lru_cache(maxsize=1)
@@ -163,7 +181,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def novel_spans(text: str, base: list[tuple[int, int, int]], threshold: float = NOVEL) -> list[tuple[int, int, int]]:
     """Incompressible candidates near a sensitive word that no base span touches."""
     low = text.lower()
-    if not any(w in low for w in SENSITIVE):
+    if "://" not in low and not any(w in low for w in SENSITIVE):
         return []
     found, known, k = [], sorted((a, b) for a, _, b in base), 0
     reached = 0  # largest end of the base spans that start before the candidate ends
@@ -197,10 +215,9 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], threshold: float =
 
 def novel(word: str, before: str, after: str, threshold: float = NOVEL) -> bool:
     """Whether a candidate is incompressible in its surroundings."""
-    if changes(word) < MIXED * len(word):
-        return letter_bits(word) >= PLAIN_BITS * len(word) and marginal_bytes(word, before, after) >= PLAIN * len(word)
-    least = threshold * min(len(word), LONG) + IN_LONG * max(0, len(word) - LONG)
-    return marginal_bytes(word, before, after) >= least
+    if changes(word) < MIXED * len(word) and letter_bits(word) < PLAIN_BITS * len(word):
+        return False
+    return relative_novelty(word, before, after) >= threshold
 
 
 def spans(text: str) -> list[tuple[int, int, int]]:

@@ -404,6 +404,33 @@ def test_secrets_of_any_alphabet(alphabet, before):
     assert sum(found) >= 198
 
 
+@pytest.mark.parametrize("length", [16, 18, 20, 22, 24])
+@pytest.mark.parametrize("before, behind", [("<password>", "</password>"), ("db = postgres://admin:", "@host/db")])
+def test_short_secrets_in_compressible_surroundings(before, behind, length):
+    text = "<user>admin</user>\n" * 20
+    found = 0
+    for key in random_keys(200, BASE64.replace("/", "").replace("+", ""), length, seed=length):
+        found += (len(text) + len(before), 3, len(text) + len(before) + length) in op6_secrets.novel_spans(text + before + key + behind, [])
+    assert found >= 198
+    for word in ("administrator_name", "configuration-entry", "src/main/resources", "DefaultConnectionPool"):
+        assert not op6_secrets.novel_spans(text + before + word + behind, []), word
+
+
+def test_novelty_is_what_zstandard_takes():
+    """Recomputed with the library alone: a dictionary of raw content, a frame without and with the candidate, and the mean over its twins."""
+    import zstandard
+    word, before, after = "q8ZpL2vXt0Rk5sWd", "token: ", "\nnext line"
+    raw = f"{op6_secrets.IDENTIFIERS} {op6_secrets.COMMON}\n{after}\n{before}".encode()
+    pack = zstandard.ZstdCompressor(level=12, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                                    write_checksum=False, write_content_size=False, write_dict_id=False)
+    cost = lambda w: len(pack.compress(w.encode())) - len(pack.compress(b""))
+    assert op6_secrets.marginal_bytes(word, before, after) == cost(word)
+    others = op6_secrets.twins(word)
+    assert op6_secrets.relative_novelty(word, before, after) == pytest.approx(cost(word) / np.mean([cost(t) for t in others]))
+    assert len(set(others)) > 1 and all([c.isdigit() for c in t] == [c.isdigit() for c in word] for t in others)
+    assert op6_secrets.relative_novelty("connection_configuration", before, after) < op6_secrets.NOVEL
+
+
 def test_names_are_no_secrets():
     for name in ("counterrevolutionaries", "internationalization", "get_user_credentials_from_session", "DJANGO_SETTINGS_MODULE",
                  "src/main/java/com/example/app", "AWS_SECRET_ACCESS_KEY", "Wissenschaftsministerium", "aaaaaaaaaaaaaaaaaaaaaaaa", "xyqzxyqzxyqzxyqzxyqzxyqz"):
