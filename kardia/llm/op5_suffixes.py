@@ -27,12 +27,12 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
 from kardia.llm.common import arrow_schema, bounded_batches, discard, documents, map_rows, materialise
-from kardia.llm.op3_decontaminate import NORMAL, words_of
+from kardia.llm.op3_decontaminate import NORMAL
+from kardia.llm.op12_windows import sliding_minima, text_bytes, words_in
 
 SEED = 10  # words that decide which suffix is retained
 WINDOW = 22  # neighbouring places of which one is retained, at least
@@ -44,11 +44,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def word_hashes(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
-    """64-bit hashes of words; ``memo`` is the batch's."""
-    for w in set(words).difference(memo):
-        memo[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+def word_hashes(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts that lie behind each other in ``raw``, and the first word of each text (and the end); ``edges`` are the texts' borders in bytes."""
+    return words_in(np.frombuffer(raw.tobytes().translate(NORMAL), np.uint8), edges)
 
 
 def run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -71,14 +69,15 @@ def run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return out ^ out >> np.uint64(29)
 
 
-def retained(hashes: np.ndarray) -> np.ndarray:
-    """Places of the retained suffixes: the first lowest seed of each window; none in a text too short for a whole window."""
+def retained(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Places of the retained suffixes: the first lowest seed of each window; none in a text too short for a whole window. ``text`` numbers each word's text."""
     places = len(hashes) - DEPTH + 1
     if places < WINDOW:
         return np.zeros(0, np.int64)
-    seeds = run_hashes(hashes, SEED)[:places]
-    windows = np.lib.stride_tricks.sliding_window_view(seeds, WINDOW)
-    return np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+    seeds, bits = run_hashes(hashes, SEED)[:places], np.uint64(places.bit_length())
+    first = sliding_minima((seeds >> bits << bits) | np.arange(places, dtype=np.uint64), WINDOW) & np.uint64((1 << int(bits)) - 1)
+    whole = text[:len(first)] == text[WINDOW + DEPTH - 2:]
+    return np.unique(first[whole]).astype(np.int64)
 
 
 def doc_key(doc_id: Column, text: Column) -> Column:
@@ -88,21 +87,25 @@ def doc_key(doc_id: Column, text: Column) -> Column:
 
 def suffixes(docs: DataFrame) -> DataFrame:
     """``(doc, at, depth_hash, back)`` of the retained suffixes of ``docs(doc, text)``; ``back`` words before is the text's first one with this hash."""
-    def run(cols):
-        memo: dict[bytes, int] = {}
-        doc, at, deep, back = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for d, text in zip(cols["doc"], cols["text"]):
-            h = word_hashes(words_of(text), memo)
-            places = retained(h)
-            if len(places):
-                doc += [d] * len(places)
-                at.append(places)
-                deep.append(run_hashes(h, DEPTH)[places])
-                _, first, same = np.unique(deep[-1], return_index=True, return_inverse=True)
-                back.append(places - places[first[same]])
-        return {"doc": doc, "at": np.concatenate(at).astype(np.int32), "depth_hash": np.concatenate(deep).view(np.int64), "back": np.concatenate(back).astype(np.int32)}
-
-    return map_rows(docs, run, "doc binary, at int, depth_hash long, back int")
+    bounded_batches(docs.sparkSession)
+    schema = StructType.fromDDL("doc binary, at int, depth_hash long, back int")
+    arrow = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, begins = word_hashes(*text_bytes(b.column("text")))
+            text = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+            places = retained(words, text)
+            deep, of = run_hashes(words, DEPTH)[places] if len(places) else np.zeros(0, np.uint64), text[places]
+            order = np.lexsort((places, deep, of))  # equal ones of a text behind each other, the first one first
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (deep[order][1:] != deep[order][:-1]) | (of[order][1:] != of[order][:-1])
+            back = np.empty(len(places), np.int64)
+            back[order] = places[order] - places[order][np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))] if len(order) else 0
+            cols = {"doc": b.column("doc").take(pa.array(of)), "at": pa.array(places - begins[of], pa.int32()), "depth_hash": pa.array(deep.view(np.int64)), "back": pa.array(back, pa.int32())}
+            yield pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) for f in arrow], schema=arrow)
+
+    return docs.select("doc", "text").mapInArrow(run, schema)
 
 
 def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -121,32 +124,40 @@ def contexts(docs: DataFrame) -> DataFrame:
     (right) if it goes on by 0, 1, 2 ... words.
     """
     def run(cols):
-        memo: dict[bytes, int] = {}
-        out = []
+        out = {c: [] for c in ("doc", "at", "side", "depth_hash", "first", "words", "chars")}
         for doc, text, shared in zip(cols["doc"], cols["text"], cols["shared"]):
-            h = word_hashes(words_of(text), memo)
-            h = h.astype(np.uint32)
+            raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+            h = word_hashes(raw, np.array([0, len(raw)]))[0].astype(np.uint32)
             starts, ends = word_places(text)
+            n, numbers = len(h), h.tolist()
+            # the words and steps of any run are slices of these
+            behind, before = h.astype(">u4").tobytes(), h[::-1].astype(">u4").tobytes()
+            width = "<u4" if n > 1 and max(np.diff(starts).max(), np.diff(ends).max()) > 0xFFFF else "<u2"
+            size = int(width[2])
+            to_left, to_right = np.diff(starts)[::-1].astype(width).tobytes(), np.diff(ends).astype(width).tobytes()
+            starts, ends = starts.tolist(), ends.tolist()
             for s in shared:
                 at = s["at"]
                 low, end = max(0, at - REACH), at + DEPTH
-                for side, words, chars in (("l", h[low:at][::-1], starts[low:at + 1][::-1]), ("r", h[end:end + REACH], ends[end - 1:end + REACH])):
-                    if s["left" if side == "l" else "right"]:
-                        out.append({"doc": doc, "at": at, "side": side, "depth_hash": s["depth_hash"], "first": int(words[0]) if len(words) else -1,
-                                    "words": words.astype(">u4").tobytes(), "chars": packed(chars)})
+                high = min(n, end + REACH)
+                sides = []
+                if s["left"]:
+                    sides.append(("l", numbers[at - 1] if at else -1, before[4 * (n - at):4 * (n - low)],
+                                  starts[at].to_bytes(8, "little") + to_left[size * (n - 1 - at):size * (n - 1 - low)]))
+                if s["right"]:
+                    sides.append(("r", numbers[end] if end < n else -1, behind[4 * end:4 * high],
+                                  ends[end - 1].to_bytes(8, "little") + to_right[size * (end - 1):size * (high - 1)]))
+                for side in sides:
+                    for c, v in zip(out, (doc, at, side[0], s["depth_hash"], *side[1:])):
+                        out[c].append(v)
         return out
 
     return map_rows(docs, run, "doc binary, at int, side string, depth_hash long, first long, words binary, chars binary")
 
 
-def packed(chars: np.ndarray) -> bytes:
-    """The first number, and the steps to the others in two bytes each, or in four where one is longer."""
-    steps = np.abs(np.diff(chars))
-    return int(chars[0]).to_bytes(8, "little") + steps.astype("<u4" if len(steps) and steps.max() > 0xFFFF else "<u2").tobytes()
-
-
 def unpacked(chars: bytes, side: str, words: int, known: int) -> int:
-    """Where a match that goes on by ``words`` words begins or ends, of ``known`` words."""
+    """Where a match that goes on by ``words`` words begins or ends, of ``known`` words: the first number, and the steps to the others in two bytes each, or
+    in four where a text has longer ones."""
     steps = np.frombuffer(chars[8:], "<u2" if len(chars) - 8 == 2 * known else "<u4")[:words]
     return int.from_bytes(chars[:8], "little") + int(steps.sum()) * (-1 if side == "l" else 1)
 

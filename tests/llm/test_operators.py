@@ -259,7 +259,7 @@ def shared_words(words, n):
 
 
 def check_repeats(found, texts):
-    words = {d: op5_suffixes.words_of(t) for d, t in texts.items()}
+    words = {d: op3_decontaminate.words_of(t) for d, t in texts.items()}
     long, deep = shared_words(words, op5_suffixes.WINDOW + op5_suffixes.DEPTH - 1), shared_words(words, op5_suffixes.DEPTH)
     covered = {d: [False] * len(w) for d, w in words.items()}
     for r in found:
@@ -314,12 +314,12 @@ def test_repeats_keep_each_link(spark):
     texts |= {40: text(20) + " a b" * 300, 41: text(20) + " a b" * 200}  # a text that repeats itself is one passage of one class
     found = op5_suffixes.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     check_repeats(found, texts)
-    words = {d: op5_suffixes.words_of(t) for d, t in texts.items()}
+    words = {d: op3_decontaminate.words_of(t) for d, t in texts.items()}
     held, links = {}, {}
     for r in found:
         for c in r.classes:
             run = words[c.class_doc][c.class_at:c.class_at + c.class_words]
-            assert len(run) == c.class_words and b" ".join(run) in b" ".join(op5_suffixes.words_of(texts[r.doc_id][c.start:c.end])) and r.start <= c.start < c.end <= r.end
+            assert len(run) == c.class_words and b" ".join(run) in b" ".join(op3_decontaminate.words_of(texts[r.doc_id][c.start:c.end])) and r.start <= c.start < c.end <= r.end
             for w in range(c.class_at, c.class_at + c.class_words):
                 held.setdefault((c.class_doc, w), set()).add(r.doc_id)
     for (doc, w), docs in held.items():
@@ -328,7 +328,7 @@ def test_repeats_keep_each_link(spark):
                 links.setdefault((a, b), set()).add(words[doc][w])
     assert all((a, b) in links for a in texts for b in texts if a != b and max(a, b) < 40)
     for article, (a, b) in zip(articles, ((5, 9), (6, 30))):
-        own = set(op5_suffixes.words_of(article))
+        own = set(op3_decontaminate.words_of(article))
         assert len(links[a, b] & own) >= 30 and not any(links[p] & own for p in links if set(p) != {a, b})
     assert [len(r.classes) for r in found if r.doc_id >= 40] == [1, 1]
 
