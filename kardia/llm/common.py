@@ -7,8 +7,6 @@ A null text counts as the empty text everywhere.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from kardia.session import scratch_dir as scratch
+
 # Rows and bytes of one Arrow batch handed to a Python worker; bounds its memory.
 BATCH_ROWS = 500
 BATCH_BYTES = 8 << 20
@@ -31,23 +31,6 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
-def scratch(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the shared ``spark.checkpoint.dir``.
-
-    Only a local session without that setting (tests) gets a temporary folder;
-    on a cluster a missing setting is an error, because executors would write
-    where nobody else can read.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="kardia-llm-")
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
-
-
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` as a scratch table and read it back: computed once, survives lost executors."""
     spark = df.sparkSession
