@@ -1,0 +1,15 @@
+"""Work that must not grow faster than the input: passes over it, tasks that share it, jobs per file."""
+
+from kardia.operators import dedupe
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dedupe_reads_its_rows_once(spark, tmp):
+    spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 3)], "k string, v int").write.parquet(f"{tmp}/rows")
+    got = dedupe.dedupe_first_wins(spark.read.parquet(f"{tmp}/rows"), ["k"], ["v"])
+    assert plan(got).count("Relation [") == 1
+    assert got.columns == ["k", "v"]
+    assert sorted(map(tuple, got.collect()), key=str) == [("a", 1), (None, 3), (None, 3)]
