@@ -13,3 +13,16 @@ def test_dedupe_reads_its_rows_once(spark, tmp):
     assert plan(got).count("Relation [") == 1
     assert got.columns == ["k", "v"]
     assert sorted(map(tuple, got.collect()), key=str) == [("a", 1), (None, 3), (None, 3)]
+
+
+def test_export_is_written_by_every_core(spark, tmp):
+    import os
+
+    from kardia.plans.catalog_streaming import write_export_files
+    rows = [(i, f"2024-01-{1 + i % 28:02d} 10:00:00", i % 50, "click", float(i)) for i in range(500)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double")
+    events.selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts", "user_id", "event_type", "value").write.parquet(f"{tmp}/sf/events.parquet")
+    write_export_files(spark, f"{tmp}/sf", f"{tmp}/export")
+    assert len([f for f in os.listdir(f"{tmp}/export") if f.startswith("part-")]) >= max(4, spark.sparkContext.defaultParallelism)
+    write_export_files(spark, f"{tmp}/sf", f"{tmp}/few", files=4)
+    assert len([f for f in os.listdir(f"{tmp}/few") if f.startswith("part-")]) == 4
