@@ -24,7 +24,7 @@ from kardia.sources import tags
 FLAG_STAT = {"A": "HKQuantityTypeIdentifierActiveEnergyBurned",
              "N": "HKQuantityTypeIdentifierBasalEnergyBurned",
              "R": "HKQuantityTypeIdentifierDistanceWalkingRunning"}
-FILES = 8  # of a rendered export
+FILES = 8  # of a rendered export, at least
 STATUS_META = {"F": "HKAverageMETs", "O": "HKWeatherTemperature"}
 
 
@@ -74,7 +74,7 @@ def workout_xml(spark: SparkSession, sf: str) -> DataFrame:
     route = F.concat(F.lit('\n  <WorkoutRoute sourceName="watch">\n    <MetadataEntry key="HKWeatherHumidity" value="'),
                      F.col("o_orderstatus"), F.lit('%"/>\n    <FileReference path="/private/var/workout-routes/route_'),
                      F.col("o_orderkey").cast("string"), F.lit('.gpx"/>\n  </WorkoutRoute>'))
-    j = o.join(children, o["o_orderkey"] == children["l_orderkey"], "left").repartition(FILES)
+    j = o.join(children, o["o_orderkey"] == children["l_orderkey"], "left").repartition(max(FILES, spark.sparkContext.defaultParallelism))
     xml = F.concat(attrs, meta, F.lit("\n  "), F.coalesce(F.col("kids"), F.lit("")), route, F.lit("\n</Workout>"))
     return j.select("o_orderkey", xml.alias("xml"))
 

@@ -26,3 +26,15 @@ def test_export_is_written_by_every_core(spark, tmp):
     assert len([f for f in os.listdir(f"{tmp}/export") if f.startswith("part-")]) >= max(4, spark.sparkContext.defaultParallelism)
     write_export_files(spark, f"{tmp}/sf", f"{tmp}/few", files=4)
     assert len([f for f in os.listdir(f"{tmp}/few") if f.startswith("part-")]) == 4
+
+
+def test_workouts_are_regrouped_from_one_scan(spark, tmp):
+    from kardia.manifest import default_manifest
+    from kardia.sources import tags
+    one = '<Workout startDate="2024-01-0{} 00:00:00 +0000">\n <WorkoutStatistics type="HKQuantityTypeIdentifierActiveEnergyBurned" sum="{}"/>\n</Workout>'
+    spark.createDataFrame([(one.format(i, i),) for i in range(1, 6)], "value string").coalesce(1).write.text(f"{tmp}/export")
+    rows = tags.placed(tags.read_tags(spark, f"{tmp}/export")).filter(tags.workout_tags(default_manifest().tables["workouts"]))
+    texts = tags.workout_texts(rows, f"{tmp}/stage")
+    assert plan(texts).count("] text") == 0  # the files of the export aren't scanned again
+    assert plan(texts).count("] parquet") == 2
+    assert texts.filter("xml IS NOT NULL").count() == 5
