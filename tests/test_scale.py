@@ -38,3 +38,22 @@ def test_workouts_are_regrouped_from_one_scan(spark, tmp):
     assert plan(texts).count("] text") == 0  # the files of the export aren't scanned again
     assert plan(texts).count("] parquet") == 2
     assert texts.filter("xml IS NOT NULL").count() == 5
+
+
+def test_readable_side_cars_need_no_quarantine(spark, tmp):
+    import os
+
+    from kardia.manifest import default_manifest
+    from kardia.plans import ingest
+    from kardia.plans.store import TableStore
+    m = default_manifest()
+    folder = f"{tmp}/people/ann/{m.routes.folder}"
+    os.makedirs(folder)
+    for i in range(3):
+        with open(f"{folder}/r{i}.{m.routes.file_extension}", "w") as f:
+            f.write(f'<gpx><trk><trkseg><trkpt lat="{i}" lon="1"><ele>5</ele><time>2024-01-01T00:00:00Z</time></trkpt></trkseg></trk></gpx>')
+    store = TableStore(spark, f"{tmp}/store", m)
+    assert ingest.import_external(spark, f"{tmp}/people", store, m) == {m.routes.target_table: 3}
+    assert not os.path.exists(f"{tmp}/store/_quarantine")
+    assert ingest.import_external(spark, f"{tmp}/people", store, m) == {m.routes.target_table: 0}
+    assert ingest.BLOCK_FILES >= 10_000
