@@ -12,6 +12,7 @@ sizes of its planes, and the documents (or pieces of them) that lie in it.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ CHUNK_IDS = 1 << 16
 BATCH_ROWS = 1500  # documents encoded together: more share more words
 LEVEL = 3
 END_ID = 2
+WORD = re.compile(r"[ \n]\S+")
+TOGETHER = 250  # chunks that the library gets as one text
 TOKENIZER = "byte_bpe_50k.json"
 
 CHUNKS = """segment long, chunk long, first long, n_ids long, layout string, plane_bytes array<int>, planes binary,
@@ -62,8 +65,26 @@ def tokenizer_memo(name: str = TOKENIZER) -> Memo:
 
     tok = Tokenizer.from_file(public_tokenizers.path(name))
 
+    vocab = tok.get_vocab()
+    leads = np.zeros(max(vocab.values(), default=0) + 1, bool)
+    leads[[i for t, i in vocab.items() if t[0] in "\u0120\u010a"]] = True  # a space or a line break first
+
     def encode(chunks: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
+        """Chunks of one word that begin with a space or a line break are encoded many at a time: each has just one token that does."""
+        out: list = [None] * len(chunks)
+        words = [i for i, c in enumerate(chunks) if WORD.fullmatch(c)]
+        groups = [words[i:i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for group, e in zip(groups, tok.encode_batch_fast(["".join([chunks[i] for i in g]) for g in groups], add_special_tokens=False)):
+            ids = np.array(array("I", e.ids), "<u4")
+            starts = np.flatnonzero(leads[ids])
+            if len(starts) == len(group):
+                raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                for i, a, b in zip(group, cuts, cuts[1:]):
+                    out[i] = raw[a:b]
+        alone = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(alone, tok.encode_batch_fast([chunks[i] for i in alone], add_special_tokens=False)):
+            out[i] = array("I", e.ids).tobytes()
+        return out
 
     return Memo(encode)
 

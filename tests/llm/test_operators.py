@@ -162,6 +162,29 @@ def test_memo_forgets_and_stays_right():
                 assert ids.tolist() == [zlib.crc32(p.encode()) % 1000 for p in [parts[0], *(" " + p for p in parts[1:])]]
 
 
+def test_memo_encodes_a_word_once_whatever_marks_follow():
+    from kardia.llm.chunks import Memo
+    asked = []
+    memo = Memo(lambda xs: [asked.append(x) or x.encode("utf-32-le") for x in xs])
+    texts = ["a word, word... word!? word", "b word;\nword) x1. 日。", "c don't word's word'", "", "d"]
+    assert [ids.tobytes().decode("utf-32-le") for ids in memo.ids(texts)] == texts
+    assert asked.count(" word") == 1 and not {" word,", " word...", " word!?", " word;", "\nword)", " word'"} & set(asked)
+    assert {"...", "!?", "\nword", " x1.", " 日。", " don't", " word's"} <= set(asked)
+
+
+def test_words_encoded_together_are_as_alone(library):
+    from kardia.llm.op1_planes import TOGETHER, tokenizer_memo
+    rng = random.Random(4)
+    bits = ["a", "Bc", "é", "'s", "'", "!", "<|endoftext|>", "<|", "7", "日", "\u0301", "я", "_", "😀", "\u00a0", "\x1c", "\t", "\r", " ", "\n"]
+    chunks = [rng.choice(["", " ", "\n"]) + "".join(rng.choice(bits) for _ in range(rng.randrange(1, 6))) for _ in range(9 * TOGETHER)]
+    memo = tokenizer_memo()
+    for chunk, ids in zip(chunks, memo.encode(chunks)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(chunk, add_special_tokens=False).ids, chunk
+    texts = ["".join(rng.choice(bits + [" "] * 9) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    for text, ids in zip(texts, memo.ids(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 # ---- 3: decontamination -----------------------------------------------------------
 
 def plain_scan(text, items):
