@@ -57,3 +57,48 @@ def test_readable_side_cars_need_no_quarantine(spark, tmp):
     assert not os.path.exists(f"{tmp}/store/_quarantine")
     assert ingest.import_external(spark, f"{tmp}/people", store, m) == {m.routes.target_table: 0}
     assert ingest.BLOCK_FILES >= 10_000
+
+
+def test_a_side_car_row_gets_the_subject_of_its_file(spark, tmp, monkeypatch):
+    """The path rule runs over the listing, not over every point of a route."""
+    import os
+
+    from kardia.manifest import default_manifest
+    from kardia.plans import ingest
+    from kardia.plans.store import TableStore
+    m = default_manifest()
+    for who, points in (("ann", 2), ("ben", 3), ("cy", 0)):
+        folder = f"{tmp}/people/{who}/{m.routes.folder}"
+        os.makedirs(folder)
+        with open(f"{folder}/r.{m.routes.file_extension}", "w") as f:
+            f.write("<gpx>" + "".join(f'<trkpt lat="{i}" lon="1"><time>2024-01-01T00:00:0{i}Z</time></trkpt>' for i in range(points)) + "</gpx>")
+    rules, rule = [], ingest.side_car_subject
+    monkeypatch.setattr(ingest, "side_car_subject", lambda folder: rules.append(folder) or rule(folder))
+    store = TableStore(spark, f"{tmp}/store", m)
+    assert ingest.import_external(spark, f"{tmp}/people", store, m) == {m.routes.target_table: 5}
+    assert rules.count(m.routes.folder) == 1
+    assert {(r["subject_id"], r["count"]) for r in store.read(m.routes.target_table).groupBy("subject_id").count().collect()} == {("ann", 2), ("ben", 3)}
+    assert [r["subject_id"] for r in spark.read.parquet(f"{tmp}/store/_quarantine").collect()] == ["cy"]
+    log = {r["table_name"]: (r["inserted"], r["quarantined"], r["files"]) for r in store.log.read().collect()}
+    assert log == {m.routes.target_table: (5, None, None), None: (None, 1, 3)}
+
+
+def test_a_date_is_parsed_by_the_layouts_it_can_have(spark):
+    from kardia.functions.dates import parse_any_date
+    texts = ["2024-01-01T10:00:00Z", "2024-01-01t10:00:00+01:00", "2024-01-01T10:00:00.250Z", "2024-01-01 10:00:00 -0500",
+             "2024-01-01 10:00:00 T", "Tuesday", " 2024-01-01T10:00:00Z", "2024-01-01", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", parse_any_date("t").cast("string").alias("d"))
+    assert [r["d"] for r in df.orderBy("i").collect()] == ["2024-01-01 10:00:00", "2024-01-01 09:00:00", "2024-01-01 10:00:00.25", "2024-01-01 15:00:00"] + [None] * 6
+    assert "RLIKE" in plan(df)  # an ISO text doesn't raise in the export layout first
+
+
+def test_recordings_are_read_byte_by_byte_without_a_record_reader(spark, tmp):
+    from kardia.sources import ecg
+    texts = {"a.csv": b"Name,x\r\n1.5\n", "b.csv": "Name,\u00e4\n2,5\n".encode(), "d.txt": b"other"}
+    for name, text in texts.items():
+        with open(f"{tmp}/{name}", "wb") as f:
+            f.write(text)
+    df = ecg.read_ecg_files(spark, tmp)
+    got = {r["file_name"]: r["content"].encode() for r in df.collect()}
+    assert got == {k: v for k, v in texts.items() if k.endswith(".csv")}
+    assert "] binaryFile" in plan(df)
