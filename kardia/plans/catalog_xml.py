@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from kardia.functions.scalars import base_name
 from kardia.manifest import default_manifest
 from kardia.plans import bridge
+from kardia.plans.batches import delete_path
 from kardia.plans.catalog_analytics import ts_str
 from kardia.plans.registry import register
-from kardia.session import scratch_dir
+from kardia.session import dropping_shuffles, scratch_dir
 from kardia.sources import elements as el
 from kardia.sources import tags
 
@@ -25,6 +26,7 @@ FLAG_STAT = {"A": "HKQuantityTypeIdentifierActiveEnergyBurned",
              "N": "HKQuantityTypeIdentifierBasalEnergyBurned",
              "R": "HKQuantityTypeIdentifierDistanceWalkingRunning"}
 FILES = 8  # of a rendered export, at least
+FILE_WORKOUTS = 500_000  # of a file of it at most: some 350 MB, several splits
 STATUS_META = {"F": "HKAverageMETs", "O": "HKWeatherTemperature"}
 
 
@@ -56,7 +58,8 @@ def last_stat_per_flag(spark: SparkSession, sf: str) -> DataFrame:
             .select("l_orderkey", "l_returnflag", F.col("w.l_quantity").alias("qty")))
 
 
-def workout_xml(spark: SparkSession, sf: str) -> DataFrame:
+def workout_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """What a workout's text is made of, a row per order: the texts of its attributes and of its statistics (``kids``)."""
     o = bridge.load(spark, sf, "orders")
     stats = last_stat_per_flag(spark, sf).select(
         "l_orderkey", F.concat(F.lit("<WorkoutStatistics type="),
@@ -64,19 +67,37 @@ def workout_xml(spark: SparkSession, sf: str) -> DataFrame:
                                F.lit(" sum="), _q(_dec(F.col("qty"))), F.lit(' unit="kcal"/>')).alias("x"))
     children = stats.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list("x")), "\n  ").alias("kids"))
     st = order_start(F.col("o_orderdate"), F.col("o_orderkey"))
+    return o.join(children, o["o_orderkey"] == children["l_orderkey"], "left").select(
+        "o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey", _dec(F.col("o_totalprice") / 1000, 5).alias("duration"),
+        export_text(st).alias("start"), export_text(F.timestamp_add("HOUR", F.lit(1), st)).alias("end"), "kids")
+
+
+def workout_xml(parts: DataFrame) -> DataFrame:
     attrs = F.concat(
         F.lit("<Workout workoutActivityType="), _q(F.concat(F.lit("HKWorkoutActivityType"), F.col("o_orderstatus"))),
-        F.lit(" duration="), _q(_dec(F.col("o_totalprice") / 1000, 5)),
+        F.lit(" duration="), _q(F.col("duration")),
         F.lit(" sourceName="), _q(F.concat(F.lit("cust-"), F.col("o_custkey").cast("string"))),
-        F.lit(" creationDate="), _q(export_text(st)), F.lit(" startDate="), _q(export_text(st)),
-        F.lit(" endDate="), _q(export_text(F.timestamp_add("HOUR", F.lit(1), st))), F.lit(">"))
+        F.lit(" creationDate="), _q(F.col("start")), F.lit(" startDate="), _q(F.col("start")),
+        F.lit(" endDate="), _q(F.col("end")), F.lit(">"))
     meta = F.concat(F.lit('\n  <MetadataEntry key="HKAverageMETs" value="'), F.col("o_orderpriority"), F.lit('"/>'))
     route = F.concat(F.lit('\n  <WorkoutRoute sourceName="watch">\n    <MetadataEntry key="HKWeatherHumidity" value="'),
                      F.col("o_orderstatus"), F.lit('%"/>\n    <FileReference path="/private/var/workout-routes/route_'),
                      F.col("o_orderkey").cast("string"), F.lit('.gpx"/>\n  </WorkoutRoute>'))
-    j = o.join(children, o["o_orderkey"] == children["l_orderkey"], "left").repartition(max(FILES, spark.sparkContext.defaultParallelism))
     xml = F.concat(attrs, meta, F.lit("\n  "), F.coalesce(F.col("kids"), F.lit("")), route, F.lit("\n</Workout>"))
-    return j.select("o_orderkey", xml.alias("xml"))
+    return parts.select("o_orderkey", xml.alias("xml"))
+
+
+def in_portions(spark: SparkSession, path: str, rows: int) -> list[list[str]]:
+    """The files of a written table in groups of about ``rows`` rows (a file at least); the folder itself if it has no row."""
+    counts = spark.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("name")).count().orderBy("name").collect()
+    groups, held = [], rows
+    for r in counts:
+        if held + r["count"] > rows:
+            groups.append([])
+            held = 0
+        groups[-1].append(f"{path}/{r['name']}")
+        held += r["count"]
+    return groups or [[path]]
 
 
 _WORKOUT_SQL = """WITH L AS (SELECT l_orderkey, l_returnflag, l_quantity FROM lineitem
@@ -96,14 +117,28 @@ SELECT strftime(st, '%Y-%m-%d %H:%M:%S') || ' +0000' AS session_id, 'HKWorkoutAc
   o_orderpriority AS avg_mets, o_orderstatus || '%' AS humidity, strftime(st, '%Y-%m-%d %H:%M:%S') AS start_date
 FROM O LEFT JOIN S ON S.l_orderkey = O.o_orderkey""")
 def workout_scan(spark, sf):
-    """A2 through the splittable path: an export of workouts, written as files of several splits, is read
-    a tag a row, and its workouts are regrouped and parsed."""
-    path = f"{scratch_dir(spark, 'workouts')}/export"
-    workout_xml(spark, sf).select("xml").write.text(path)
-    rows = el.scan_elements(spark, path, default_manifest(), tags.WORKOUT_TAG)
-    return ts_str(rows.select("session_id", "activity_type", "duration_minutes", "source_name", "route_file",
-                              "active_calories", "basal_calories", "distance_cycling", "distance_walking",
-                              "avg_mets", "humidity", "start_date"))
+    """A2 through the splittable path: exports of workouts, written as files of several splits, are read
+    a tag a row, and their workouts are regrouped and parsed.
+
+    The text is many times larger than the tables that it renders, and the regrouping deals all of it. So that only a part of it is
+    on disk at a time, all orders go through in portions: an export is written, scanned and deleted, and its rows are kept."""
+    base = scratch_dir(spark, "workouts")
+    files = max(FILES, spark.sparkContext.defaultParallelism)
+    parts, export, stage, kept = (f"{base}/{name}" for name in ("parts", "export", "tags", "rows"))
+    with dropping_shuffles(spark):
+        made = workout_parts(spark, sf)
+        made.write.option("maxRecordsPerFile", FILE_WORKOUTS).option("compression", "zstd").parquet(parts)
+        for paths in in_portions(spark, parts, files * FILE_WORKOUTS):
+            workout_xml(spark.read.schema(made.schema).parquet(*paths).repartition(files)).select("xml").write.text(export)
+            rows = el.scan_elements(spark, export, default_manifest(), tags.WORKOUT_TAG, stage)
+            delete_path(spark, export)  # the tags of its workouts are staged
+            rows = ts_str(rows.select("session_id", "activity_type", "duration_minutes", "source_name", "route_file",
+                                      "active_calories", "basal_calories", "distance_cycling", "distance_walking",
+                                      "avg_mets", "humidity", "start_date"))
+            rows.write.mode("append").parquet(kept)
+            delete_path(spark, stage)
+        delete_path(spark, parts)
+    return spark.read.schema(rows.schema).parquet(kept)
 
 
 @register("workout_attributes", """WITH O AS (SELECT *, o_orderdate + to_seconds(o_orderkey) AS st FROM orders)

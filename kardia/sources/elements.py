@@ -74,8 +74,7 @@ def parse_elements(df: DataFrame, xml: Column, schema: str, keep: list[str] | tu
 
 
 def _last(arr: Column, key_field: str, key: str, value_field: str) -> Column:
-    hits = F.filter(arr, lambda x: x[key_field] == F.lit(key))
-    return F.when(F.size(hits) > 0, F.element_at(hits, -1)[value_field])
+    return F.try_element_at(F.filter(arr, lambda x: x[key_field] == F.lit(key)), F.lit(-1))[value_field]
 
 
 def _cast(c: Column, data_type: str) -> Column:
@@ -96,6 +95,9 @@ def extract_workouts(parsed: DataFrame, table: Table, struct_col: str | None = N
                     F.flatten(F.transform(routes, lambda r: F.coalesce(r["MetadataEntry"], F.array().cast(kv_type)))))
     refs = F.flatten(F.transform(routes, lambda r: F.coalesce(r["FileReference"], F.array().cast("array<struct<_path:string>>"))))
     refs = F.filter(refs, lambda x: x["_path"].isNotNull())
+    # the lists are made once a row, whatever number of columns looks into them
+    parsed = parsed.select("*", stats.alias("__stats"), meta.alias("__meta"), refs.alias("__refs"))
+    stats, meta, refs = F.col("__stats"), F.col("__meta"), F.col("__refs")
     cols = [*[F.col(k) for k in keep]]
     for c in table.columns:
         if c.field_name == table.key:
@@ -110,7 +112,7 @@ def extract_workouts(parsed: DataFrame, table: Table, struct_col: str | None = N
         elif src == "metadata_value":
             v = _cast(_last(meta, "_key", c.hk_identifier, "_value"), c.data_type)
         elif src == "route_ref":
-            v = F.when(F.size(refs) > 0, base_name(F.element_at(refs, -1)["_path"]))
+            v = base_name(F.try_element_at(refs, F.lit(-1))["_path"])
         else:
             continue
         cols.append(v.alias(c.field_name))
@@ -178,11 +180,13 @@ ELEMENTS = {
 }
 
 
-def scan_elements(spark: SparkSession, paths: str | list[str], manifest: Manifest, tag: str) -> DataFrame:
-    """A2, A3: rows of one element kind of export files, with their ``file_path``; cut-off elements are left out."""
+def scan_elements(spark: SparkSession, paths: str | list[str], manifest: Manifest, tag: str, stage: str | None = None) -> DataFrame:
+    """A2, A3: rows of one element kind of export files, with their ``file_path``; cut-off elements are left out.
+
+    Where an element has tags to regroup, they are kept in ``stage`` (a scratch folder by default), which the rows are read from."""
     name, is_part, texts_of, rows_of, _ = ELEMENTS[tag]
     table = manifest.tables[name]
-    texts = texts_of(tags.placed(tags.read_tags(spark, paths)).filter(is_part(table))).filter(F.col("xml").isNotNull())
+    texts = texts_of(tags.placed(tags.read_tags(spark, paths)).filter(is_part(table)), stage).filter(F.col("xml").isNotNull())
     return rows_of(texts, table, keep=("file_path",))
 
 

@@ -13,7 +13,8 @@ split. A split's rows are bounded by the split's size, so no file is one task's
 
 from __future__ import annotations
 
-import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import DataStreamReader
@@ -70,9 +71,13 @@ def record_chunk(tag):
     return F.substring(tag, F.lit(len(RECORD_TAG) + 1), F.length(tag))
 
 
+def without_slash(head):
+    return F.regexp_replace(head, r"\s*/\s*$", "")
+
+
 def start_tag(text):
     """The text of a start tag up to its end, '' if it has none; a trailing '/' is removed."""
-    return F.regexp_replace(F.regexp_extract(text, START_TAG, 1), r"\s*/\s*$", "")
+    return without_slash(F.regexp_extract(text, START_TAG, 1))
 
 
 def workout_tags(workouts: Table):
@@ -82,7 +87,8 @@ def workout_tags(workouts: Table):
     wanted = [c.hk_identifier for c in workouts.columns if c.extraction_source in ("statistics_sum", "metadata_value") and c.hk_identifier]
     child = F.col("name") == FILE_TAG
     if wanted:
-        child = child | (F.col("name").isin(STATISTICS_TAG, METADATA_TAG) & F.col("tag").rlike("|".join(map(re.escape, wanted))))
+        mapped = reduce(or_, [F.contains("tag", F.lit(w)) for w in wanted])
+        child = child | (F.col("name").isin(STATISTICS_TAG, METADATA_TAG) & mapped)
     return F.col("name").isin(WORKOUT_TAG, f"/{WORKOUT_TAG}") | child
 
 
@@ -100,10 +106,11 @@ def workout_texts(tags: DataFrame, stage: str | None = None) -> DataFrame:
 
     The tags are read and matched once and written to ``stage`` (a scratch folder by default): the regrouping and the marks
     that splits hand on are two readers of them."""
-    text = start_tag(F.col("tag"))
-    closed = F.regexp_extract("tag", START_TAG, 1).rlike(r"/\s*$")
-    rows = tags.select("file_path", "block", "place", "name", (text != "").alias("whole"), F.when(text != "", text).otherwise(F.col("tag")).alias("text"),
-                       ((F.col("name") == WORKOUT_TAG) & closed).alias("closed"))
+    # the tag's text is matched once: what follows reads it from a column
+    heads = tags.select("file_path", "block", "place", "name", "tag", F.regexp_extract("tag", START_TAG, 1).alias("head"))
+    heads = heads.withColumn("text", without_slash(F.col("head")))
+    rows = heads.select("file_path", "block", "place", "name", (F.col("text") != "").alias("whole"), F.when(F.col("text") != "", F.col("text")).otherwise(F.col("tag")).alias("text"),
+                        ((F.col("name") == WORKOUT_TAG) & F.col("head").rlike(r"/\s*$")).alias("closed"))
     # what a row leaves open for those behind it: a workout's place, -1 for none, NULL for no change
     mark = (F.when(F.col("name") == f"/{WORKOUT_TAG}", F.lit(-1).cast("long"))
             .when(F.col("name") == WORKOUT_TAG, F.when(F.col("closed"), F.lit(-1).cast("long")).otherwise(F.col("place"))))

@@ -102,3 +102,64 @@ def test_recordings_are_read_byte_by_byte_without_a_record_reader(spark, tmp):
     got = {r["file_name"]: r["content"].encode() for r in df.collect()}
     assert got == {k: v for k, v in texts.items() if k.endswith(".csv")}
     assert "] binaryFile" in plan(df)
+
+
+def test_workouts_go_through_in_portions(spark, tmp, monkeypatch):
+    """All orders are rendered, scanned and regrouped, a bounded part of them at a time, and no export is left behind."""
+    import os
+
+    from kardia.plans import catalog_xml as cx
+    orders = [(i, i % 7, "FOP"[i % 3], 100.0 * i, "2024-01-01 00:00:00", f"{i % 5}-X") for i in range(90)] + [(5, 1, "F", 1.0, "2024-02-01 00:00:00", "again"), (None, 1, "F", 1.0, "2024-02-01 00:00:00", "none")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, d string, o_orderpriority string") \
+        .selectExpr("* EXCEPT (d)", "CAST(d AS TIMESTAMP) AS o_orderdate").write.parquet(f"{tmp}/sf/orders.parquet")
+    lines = [(i, n, float(n), "ANR"[n % 3]) for i in range(60) for n in range(4)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_returnflag string").write.parquet(f"{tmp}/sf/lineitem.parquet")
+    sizes, scan = [], cx.el.scan_elements
+
+    def counted(spark, path, *args):
+        sizes.append(spark.read.text(path, lineSep="</Workout>").filter("value LIKE '%<Workout %'").count())
+        return scan(spark, path, *args)
+    monkeypatch.setattr(cx.el, "scan_elements", counted)
+    monkeypatch.setattr(cx, "scratch_dir", lambda *a: f"{tmp}/scratch")
+    monkeypatch.setattr(cx, "FILE_WORKOUTS", 3)
+    got = cx.workout_scan(spark, f"{tmp}/sf").collect()
+    bound = 3 * max(cx.FILES, spark.sparkContext.defaultParallelism)
+    assert len(sizes) >= 91 // bound and max(sizes) <= bound and sum(sizes) == 91
+    want = {(f"route_{i}.gpx", 3.0 if i < 60 else None, 1.0 if i < 60 else None, 2.0 if i < 60 else None, f"{i % 5}-X") for i in range(90)}
+    assert {(r["route_file"], r["active_calories"], r["basal_calories"], r["distance_walking"], r["avg_mets"]) for r in got} == want | {("route_5.gpx", 3.0, 1.0, 2.0, "again")}
+    assert len(got) == 91 and os.listdir(f"{tmp}/scratch") == ["rows"]
+
+
+def test_workouts_of_no_orders(spark, tmp):
+    from kardia.plans import catalog_xml as cx
+    spark.createDataFrame([], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp}/sf/orders.parquet")
+    spark.createDataFrame([], "l_orderkey long, l_linenumber int, l_quantity double, l_returnflag string").write.parquet(f"{tmp}/sf/lineitem.parquet")
+    assert cx.workout_scan(spark, f"{tmp}/sf").collect() == []
+
+
+def test_shuffle_files_go_with_their_query(spark, tmp):
+    from kardia.session import DROP_SHUFFLES, dropping_shuffles
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in (found.apply(i) for i in range(found.size())) if f.getName().startswith("shuffle_")}
+    before = files()
+    with dropping_shuffles(spark):
+        spark.range(1000).repartition(4, "id").write.parquet(f"{tmp}/t")
+    assert not files() - before
+    assert spark.conf.get(DROP_SHUFFLES) == "false"
+    assert spark.read.parquet(f"{tmp}/t").count() == 1000
+
+
+def test_children_of_a_workout_are_listed_once(spark):
+    """However many columns look into the lists of statistics, entries and route files."""
+    from kardia.manifest import default_manifest
+    from kardia.sources import elements as el
+    entry, stat = '<MetadataEntry key="{}" value="{}"/>', '<WorkoutStatistics type="HKQuantityTypeIdentifier{}" sum="{}"/>'
+    texts = [(1, "<Workout>" + entry.format("HKAverageMETs", "a") + stat.format("ActiveEnergyBurned", 1) + stat.format("BasalEnergyBurned", 2) + stat.format("ActiveEnergyBurned", 3)
+              + "<WorkoutRoute>" + entry.format("HKAverageMETs", "b") + '<FileReference path="/x/r1.gpx"/><FileReference/></WorkoutRoute>' + entry.format("HKWeatherHumidity", "9%") + "</Workout>"),
+             (2, "<Workout></Workout>"), (3, '<Workout><WorkoutRoute><FileReference path="r2.gpx/"/></WorkoutRoute><MetadataEntry value="x"/></Workout>')]
+    got = el.workouts_from_texts(spark.createDataFrame(texts, "i int, xml string"), default_manifest().tables["workouts"], keep=("i",))
+    rows = {r["i"]: (r["avg_mets"], r["humidity"], r["active_calories"], r["basal_calories"], r["distance_cycling"], r["route_file"]) for r in got.collect()}
+    assert rows == {1: ("b", "9%", 3.0, 2.0, None, "r1.gpx"), 2: (None,) * 6, 3: (None, None, None, None, None, "r2.gpx")}
+    assert plan(got).count("flatten(") == 2
